@@ -19,9 +19,8 @@ _MERGE = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.sum}
 def _combine(op: str, a: Column, b: Column) -> Column:
     """Merge of two partial results, either of which may be NULL (nothing seen)."""
     if op in ("sum", "count"):
-        return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
-    fold = F.greatest if op == "max" else F.least
-    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.when(a > b, a).otherwise(b) if op == "max" else F.when(a < b, a).otherwise(b))
+        return F.coalesce(a + b, a, b)
+    return F.greatest(a, b) if op == "max" else F.least(a, b)
 
 
 def _offsets(totals: DataFrame, key: str, specs: dict, levels: int, bits: int) -> DataFrame:
