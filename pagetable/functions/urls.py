@@ -83,7 +83,7 @@ def _dot_segments(path: Column) -> Column:
         segments,
         F.array().cast("array<string>"),
         lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1))))
         .otherwise(F.concat(acc, F.array(s))),
     )
     last = F.element_at(segments, -1)
@@ -116,7 +116,7 @@ def url_join(base, href) -> Column:
         .when(h_auth != "", F.concat(scheme, F.lit(":"), h_auth, h_path, h_query, h_frag))
         .when(
             h_path == "",
-            F.concat(root, b_path, F.when(h_query == "", part(b, 4)).otherwise(h_query), h_frag),
+            F.concat(root, b_path, F.when(h_query.isin("", "?"), part(b, 4)).otherwise(h_query), h_frag),
         )
         .when(h_path.startswith("/"), F.concat(root, _dot_segments(h_path), h_query, h_frag))
         .otherwise(F.concat(root, _dot_segments(merged), h_query, h_frag))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetable.operators.scan import number_rows, prefix_scan
+from pagetable.operators.scan import first_rows, number_rows, prefix_scan
 from pagetable.functions.values import size_to_bytes
 from pagetable.schemas import PENDING, STATUS_LABELS
 
@@ -117,14 +117,14 @@ def from_position(rows: DataFrame, position: int, order: str = "seq") -> DataFra
 
 def max_pages(log: DataFrame, n: int, seq: str = "seq") -> DataFrame:
     """The first n processed pages; no limit unless n > 0."""
-    return log.orderBy(seq).limit(n) if n > 0 else log
+    return first_rows(log, [seq], n) if n > 0 else log
 
 
 def within_size(candidates: DataFrame, current: int, limit: int, seq: str = "seq") -> DataFrame:
     """Candidates, in order, that a queue of at most `limit` URLs still takes (negative: no limit)."""
     if limit < 0:
         return candidates
-    return candidates.orderBy(seq).limit(max(limit - current, 0))
+    return first_rows(candidates, [seq], max(limit - current, 0))
 
 
 def within_bytes(candidates: DataFrame, current: int, limit, seq: str = "seq", url: str = "url") -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagetable.plans.checkpoints import new_folder, through_table
+
 BLOCK_BITS = 20
 
 _MERGE = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.sum}
@@ -67,15 +69,18 @@ def prefix_scan(df: DataFrame, seq: str, specs: dict, inclusive: bool = True, bi
     return joined.withColumns(result).select(*df.columns, *specs)
 
 
-def number_rows(df: DataFrame, order, name: str = "rn", start: int = 0) -> DataFrame:
-    """Dense global row numbers in the given (total) order.
+def ordered_table(df: DataFrame, order, name: str, start: int = 0, path: str | None = None) -> DataFrame:
+    """Rows written in order with an increasing (not dense) position: partition number, then row in it.
 
-    A distributed sort, then one offset per partition. The sorted table is checkpointed so that
-    both passes see the same partitions even if executors are lost.
+    The table is stored in the checkpoint folder, so every later use sees the same positions.
     """
-    from pagetable.plans.checkpoints import cut_lineage
+    ranked = df.orderBy(*order).withColumn(name, F.monotonically_increasing_id() + F.lit(start))
+    return through_table(ranked, path or new_folder(df.sparkSession, "ordered"))
 
-    ordered = cut_lineage(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
+
+def number_rows(df: DataFrame, order, name: str = "rn", start: int = 0) -> DataFrame:
+    """Dense global row numbers in the given (total) order: a distributed sort, then one offset per partition."""
+    ordered = ordered_table(df, order, "_mid")
     part = F.shiftright("_mid", 33)
     sizes = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,3 +88,14 @@ def number_rows(df: DataFrame, order, name: str = "rn", start: int = 0) -> DataF
     numbered = ordered.withColumn("_part", part).join(offsets, "_part")
     position = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_off") + F.lit(start)
     return numbered.select(*df.columns, position.cast("long").alias(name))
+
+
+# up to this many rows a sorted limit is one small task; beyond it rows are numbered instead
+_SMALL_LIMIT = 100_000
+
+
+def first_rows(df: DataFrame, order, n: int) -> DataFrame:
+    """The first n rows in the given (total) order."""
+    if n <= _SMALL_LIMIT:
+        return df.orderBy(*order).limit(max(n, 0))
+    return number_rows(df, order, "_place").where(F.col("_place") < n).drop("_place")

@@ -34,7 +34,9 @@ def _plain(name: str) -> str:
 def _split_list(css: str) -> list[str]:
     """Split at commas outside brackets, parentheses and quotes."""
     parts = re.findall(r"(?:[^,\[\](\"']|\[[^\]]*\]|\((?:[^()]|\([^()]*\))*\)|\"[^\"]*\"|'[^']*')+", css)
-    return [p.strip() for p in parts if p.strip()]
+    if len(css) != len(",".join(parts)) or not all(p.strip() for p in parts):
+        raise SelectorError(f"cannot read selector list {css!r}")
+    return [p.strip() for p in parts]
 
 
 @lru_cache(maxsize=4096)
@@ -52,6 +54,8 @@ def _steps(css: str) -> tuple:
         m = _COMBINATOR.match(css, pos)
         if m:
             comb, pos = m[1] or " ", m.end()
+            if pos == len(css):
+                raise SelectorError(f"selector {css!r} ends with a combinator")
         elif pos < len(css):
             raise SelectorError(f"cannot read selector {css!r} at {pos}")
     if not out:

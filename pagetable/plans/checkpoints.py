@@ -1,4 +1,4 @@
-"""Cutting lineage through the shared checkpoint folder."""
+"""Cutting lineage through tables in the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -21,12 +21,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder; survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,6 +1,6 @@
 """Expanding a link frontier over a captured corpus, one level of links per iteration.
 
-The corpus is parsed once: every page is reduced to its gate outcome, content hash, raw links and
+The corpus is parsed once: every page is reduced to its gate outcome, content hash, links and
 gated records, written to the checkpoint folder. The loop then joins small levels with that narrow
 table; page sources are not touched again. Each level is written before it is used, so no lineage
 grows and a lost executor costs one task.
@@ -27,15 +27,15 @@ from pagetable.functions.http import (
     is_html,
 )
 from pagetable.functions.urls import canonical_url
-from pagetable.functions.values import content_hash, content_length, format_accessed
+from pagetable.functions.values import content_hash, content_length, format_accessed, size_to_bytes
 from pagetable.operators.dom import parse_dom
-from pagetable.operators.frontier import new_links, within_bytes, within_size
+from pagetable.operators.frontier import new_links, within_bytes
 from pagetable.operators.quality import passes_gate
 from pagetable.operators.records import append
 from pagetable.operators.runlog import below_rate_streak, stop_seq
-from pagetable.operators.scan import number_rows
+from pagetable.operators.scan import first_rows, number_rows
 from pagetable.plans.checkpoints import new_folder, through_table
-from pagetable.plans.extraction import LINKS, href_array, page_rows, resolve_links, stamp
+from pagetable.plans.extraction import LINKS, link_array, page_rows, stamp
 from pagetable.plans.library import Library
 from pagetable.sources.tables import csv_view
 from pagetable.schemas import BAD_CONTENT_TYPE, BAD_SCHEME, EMPTY_BODY, NOT_CAPTURED, PENDING
@@ -84,7 +84,7 @@ def gate_captures(captures: DataFrame, content_types: str = ALLOWED_CONTENT, sch
 
 
 def corpus_facts(pages: DataFrame, lib: Library, content_types: str, schemes) -> DataFrame:
-    """One narrow row per captured page: gate outcome, hash, raw links, gated records."""
+    """One narrow row per captured page: gate outcome, hash, resolved links, gated records."""
     named = pages.withColumn("url", canonical_url("url"))
     gated = gate_captures(named, content_types, schemes)
     order = next((c for c in ("seq", "page_id") if c in pages.columns), None)
@@ -94,7 +94,9 @@ def corpus_facts(pages: DataFrame, lib: Library, content_types: str, schemes) ->
     narrow = gated.withColumn("_rank", rank).select(*kept, source)
     parsed = parse_dom(narrow)
     def links(by_key):
-        return {"hrefs": href_array(by_key[LINKS]) if LINKS in by_key else F.array().cast("array<string>")}
+        if LINKS not in by_key:
+            return {"links": F.array().cast("array<string>")}
+        return {"links": link_array(by_key[LINKS], lib.rule(LINKS).content_regex)}
 
     rows = page_rows(parsed, lib, extra=links)
     if lib.csv_cols:
@@ -105,7 +107,7 @@ def corpus_facts(pages: DataFrame, lib: Library, content_types: str, schemes) ->
     else:
         kept_rows = F.array()
     return rows.select(
-        *kept, F.when(F.col("html_page"), F.col("hrefs")).alias("hrefs"), F.when(F.col("html_page"), kept_rows).alias("rows")
+        *kept, F.when(F.col("html_page"), F.col("links")).alias("links"), F.when(F.col("html_page"), kept_rows).alias("rows")
     )
 
 
@@ -130,15 +132,35 @@ class _Walk:
         self.facts = through_table(facts.join(first, ["url", "_rank"], "left_semi"), f"{self.base}/corpus")
         self.queued: list[str] = []
         self.done: list[str] = []
+        self.size, self.top, self.bytes, self.fresh = 0, -1, 0, 0
+
+    def keep_earlier(self, earlier: DataFrame) -> None:
+        """URLs and hashes of an earlier run count as seen."""
+        queued, done = f"{self.base}/queue-earlier", f"{self.base}/done-earlier"
+        rows = earlier.withColumn("path", F.array().cast("array<bigint>"))
+        self.add(through_table(_queue_rows(rows), queued), queued)
+        through_table(earlier.select("hash"), done)
+        self.done.append(done)
 
     def read(self, paths):
         return self.spark.read.parquet(*paths)
 
-    def queue(self, rows: DataFrame) -> DataFrame:
+    def queue(self, rows: DataFrame, order: list[str]) -> DataFrame:
+        """Write new URLs in queue order; `seq` grows from level to level but is not dense yet."""
         path = f"{self.base}/queue-{len(self.queued)}"
-        out = through_table(_queue_rows(rows), path)
+        ordered = rows.orderBy(*order).withColumn("seq", F.monotonically_increasing_id() + F.lit(self.top + 1))
+        return self.add(through_table(_queue_rows(ordered), path), path)
+
+    def add(self, level: DataFrame, path: str) -> DataFrame:
         self.queued.append(path)
-        return out
+        state = level.agg(
+            F.count("*").alias("n"), F.max("seq").alias("top"), F.sum(F.octet_length("url")).alias("bytes")
+        ).first()
+        self.fresh = state["n"]
+        self.size += state["n"]
+        self.bytes += state["bytes"] or 0
+        self.top = max(self.top, -1 if state["top"] is None else state["top"])
+        return level
 
     def visit(self, level: DataFrame) -> DataFrame:
         """Join a level with the corpus and settle every row's outcome as if all of it were fetched."""
@@ -184,26 +206,22 @@ class _Walk:
         return out
 
     def next_level(self, done: DataFrame, max_size: int, max_bytes) -> DataFrame:
-        sources = done.where("reached").select(
-            F.col("url").alias("src_url"), "seq", "depth", "path", F.posexplode("hrefs").alias("pos", "href")
+        """New URLs on the reached pages, as far as the queue limits allow."""
+        links = done.where("reached").select(
+            F.col("url").alias("discovered_from"),
+            F.col("seq").alias("src_seq"),
+            (F.col("depth") + 1).alias("depth"),
+            F.col("path").alias("_above"),
+            F.posexplode("links").alias("pos", "url"),
         )
-        edges = resolve_links(sources.select("src_url", F.struct("seq", "depth", "path", "pos").alias("pos"), "href"), self.lib)
-        links = edges.select(
-            F.col("dst_url").alias("url"),
-            F.col("pos.seq").alias("src_seq"),
-            F.col("pos.pos").alias("pos"),
-            (F.col("pos.depth") + 1).alias("depth"),
-            F.col("src_url").alias("discovered_from"),
-            F.concat("pos.path", F.array(-F.col("pos.pos"))).alias("path"),
-        )
-        fresh = new_links(links, self.read(self.queued), order=("src_seq", "pos"))
-        state = self.read(self.queued).agg(
-            F.count("*").alias("n"), F.max("seq").alias("top"), F.sum(F.octet_length("url")).alias("bytes")
-        ).first()
-        numbered = number_rows(fresh, ["src_seq", "pos"], "seq", 0 if state["top"] is None else state["top"] + 1)
-        accepted = within_size(numbered, state["n"], max_size)
-        accepted = within_bytes(accepted, state["bytes"] or 0, max_bytes)
-        return self.queue(accepted)
+        placed = links.withColumn("path", F.concat("_above", F.array(-F.col("pos").cast("long")))).drop("_above")
+        fresh = new_links(placed, self.read(self.queued), order=("src_seq", "pos"))
+        order = ["src_seq", "pos"]
+        if max_size >= 0:
+            fresh = first_rows(fresh, order, max(max_size - self.size, 0))
+        if size_to_bytes(max_bytes) > 0:
+            fresh = within_bytes(number_rows(fresh, order, "_n"), self.bytes, max_bytes, "_n").drop("_n")
+        return self.queue(fresh, order)
 
 
 def crawl(
@@ -232,32 +250,31 @@ def crawl(
     if dfs and (min_hit_rate > 0 or max_queue_size >= 0 or max_queue_bytes not in (None, "-1", -1)):
         raise ValueError("depth-first order supports no limit but max_pages: the others depend on visiting one page at a time")
     walk = _Walk(pages, lib, accessed_at, content_types, schemes)
-    level = walk.queue(_starting_rows(seeds, frontier, max_queue_size))
-    processed, levels, stopped = 0, 0, False
     earlier = None
     if frontier is not None:
         old = frontier.where(F.col("status") != PENDING)
         kept = old.select(*[F.col(c) if c in old.columns else F.lit(None).alias(c) for c in FRONTIER_COLUMNS])
         earlier = kept.withColumn("seq", F.col("seq").cast("long"))
-        walk.queued.append(_queued_only(walk, earlier))
-        walk.done.append(_done_only(walk, earlier))
+        walk.keep_earlier(earlier)
+    level = walk.queue(_starting_rows(seeds, frontier, max_queue_size), ["_old", "_at"])
+    processed, levels, stopped = 0, 0, False
     pending_level = None
-    while not stopped and not level.isEmpty():
+    while not stopped and walk.fresh:
         visited = walk.visit(level)
         stop = None
         if max_pages > 0 and not dfs:
             reached = visited.where("reached").select("seq")
-            left = max_pages - processed
-            edge = reached.orderBy("seq").offset(left - 1).limit(1).first()
-            stop, stopped = (edge["seq"], True) if edge else (None, False)
+            n, left = reached.count(), max_pages - processed
+            processed += n
+            if n >= left:
+                stop = first_rows(reached, ["seq"], left).agg(F.max("seq")).first()[0]
+                stopped = True
         if min_hit_rate > 0:
             rate_edge = _rate_stop(walk, visited, min_hit_rate, hit_samples)
             if rate_edge is not None:
                 stop, stopped = (rate_edge if stop is None else min(stop, rate_edge)), True
         done = walk.settle(visited, stop)
         levels += 1
-        if max_pages > 0:
-            processed += done.where("reached").count()
         level = walk.next_level(done, max_queue_size, max_queue_bytes)
         if stopped or (max_levels is not None and levels >= max_levels):
             pending_level = level
@@ -266,37 +283,21 @@ def crawl(
 
 
 def _starting_rows(seeds: DataFrame, frontier: DataFrame | None, max_size: int) -> DataFrame:
-    """Seeds and pending URLs of a saved frontier, in queue order."""
-    first = seeds.groupBy("url").agg(F.min("seq").alias("seq"))
+    """Pending URLs of a saved frontier, then the seeds, each with its place (_old, _at)."""
+    first = seeds.groupBy("url").agg(F.min("seq").alias("_at")).withColumns({"_old": F.lit(1), "depth": F.lit(0)})
     if frontier is not None:
         first = first.join(frontier.select("url"), "url", "left_anti")
-        waiting = frontier.where(F.col("status") == PENDING)
-        top = frontier.agg(F.max("seq")).first()[0]
         depth = F.coalesce("depth", F.lit(0)) if "depth" in frontier.columns else F.lit(0)
-        old = waiting.select("url", "seq", depth.alias("depth"))
-        fresh = number_rows(first.select("url", "seq"), ["seq"], "_n", 0 if top is None else top + 1)
-        rows = old.unionByName(fresh.select("url", F.col("_n").alias("seq"), F.lit(0).alias("depth")))
-    else:
-        rows = within_size(number_rows(first.select("url", "seq"), ["seq"], "_n").select("url", F.col("_n").alias("seq")), 0, max_size)
-        rows = rows.withColumn("depth", F.lit(0))
-    return rows.withColumns(
-        {"discovered_from": F.lit(None).cast("string"), "path": F.array(-F.col("seq").cast("int"))}
+        waiting = frontier.where(F.col("status") == PENDING)
+        old = waiting.select("url", F.col("seq").alias("_at"), F.lit(0).alias("_old"), depth.alias("depth"))
+        first = old.unionByName(first)
+    elif max_size >= 0:
+        first = first_rows(first, ["_at"], max_size)
+    return first.withColumns(
+        {"discovered_from": F.lit(None).cast("string"), "path": F.array(-F.col("_at"))}
     )
 
 
-def _queued_only(walk: _Walk, earlier: DataFrame) -> str:
-    path = f"{walk.base}/queue-earlier"
-    rows = earlier.withColumn("path", F.array().cast("array<int>"))
-    through_table(_queue_rows(rows), path)
-    return path
-
-
-def _done_only(walk: _Walk, earlier: DataFrame) -> str:
-    path = f"{walk.base}/done-earlier"
-    through_table(earlier.select("hash", F.col("seq").cast("long").alias("seq"), F.lit(False).alias("reached"), "status"), path)
-    return path
-
-
 def _rate_stop(walk: _Walk, visited: DataFrame, min_rate: float, samples: int) -> int | None:
     """First page at which the below-minimum streak is long enough, over all levels so far."""
     log = visited.select("seq", "url", "reached")
@@ -324,10 +325,13 @@ def _result(walk: _Walk, earlier, pending_level, levels: int, dfs: bool, dfs_lim
         rows = rows.unionByName(
             pending_level.withColumns({"status": F.lit(PENDING), "reached": F.lit(False)}), allowMissingColumns=True
         )
-    if dfs:
-        rows = number_rows(rows.drop("seq"), ["path"], "seq")
-        if dfs_limit > 0:
-            rows = _cut_depth_first(rows, dfs_limit)
+    # dense positions: after those of an earlier run, pre-order for depth-first
+    top = None if earlier is None else earlier.agg(F.max("seq")).first()[0]
+    order = ["path"] if dfs else ["_order"]
+    renamed = rows.withColumnRenamed("seq", "_order")
+    rows = number_rows(renamed, order, "seq", 0 if top is None else top + 1).drop("_order")
+    if dfs and dfs_limit > 0:
+        rows = _cut_depth_first(rows, dfs_limit)
     pending = F.col("status") == PENDING
     view = rows.withColumn("fetched", F.when(~pending, format_accessed(at))).select(*FRONTIER_COLUMNS)
     if earlier is not None:
@@ -343,10 +347,11 @@ def _result(walk: _Walk, earlier, pending_level, levels: int, dfs: bool, dfs_lim
 
 def _cut_depth_first(rows: DataFrame, limit: int) -> DataFrame:
     """The first `limit` processed pages in pre-order, and the URLs those pages queued."""
-    edge = rows.where("reached").select("seq").orderBy("seq").offset(limit - 1).limit(1).first()
-    if edge is None:
+    reached = rows.where("reached").select("seq")
+    if reached.count() < limit:
         return rows
-    inside = F.col("seq") <= edge["seq"]
+    stop = first_rows(reached, ["seq"], limit).agg(F.max("seq")).first()[0]
+    inside = F.col("seq") <= stop
     seen = rows.where(inside & F.col("reached")).select(F.col("url").alias("discovered_from"))
     linked = rows.where(~inside).join(seen, "discovered_from", "left_semi")
     seeds = rows.where(~inside & F.col("discovered_from").isNull())

@@ -170,18 +170,21 @@ class LibraryPlan:
         if r.shape == "texts":
             return [listing(values_text(kept, r.remove), sound if r.content_regex else applied)]
         if r.shape == "named":
+            if _may_have_gaps(r) and not r.content_regex:
+                # only as many matches as there are names are read
+                sound = applied & ~has_gap(F.slice(m, 1, len(r.value_names)))
             out = []
             for name, value in values_positional(kept, r.value_names, r.remove).items():
-                out.append(KeyValue(name, i, "scalar", sound & value.isNotNull(), value))
+                out.append(KeyValue(name, i, "scalar", sound & value.isNotNull(), F.when(sound, value)))
             # a failed precondition leaves '' under the rule's own name
-            return out + [KeyValue(r.name, i, "scalar", failed, blank)]
+            return out + [KeyValue(r.name, i, "scalar", failed, F.when(failed, blank))]
         fields = r.record_fields
         if not fields:
             return [listing(empty, sound)]
         value = F.when(sound, records_of(kept, fields, r.remove))
         return [
             KeyValue(r.name, i, "records", sound, value, tuple(n for n, _ in fields)),
-            KeyValue(r.name, i, "scalar", failed, blank),
+            KeyValue(r.name, i, "scalar", failed, F.when(failed, blank)),
         ]
 
     def _script_value(self, r: Rule) -> Column:
@@ -280,7 +283,7 @@ def apply_rule(pages: DataFrame, lib: Library, name: str) -> DataFrame:
 def _tidy(kv: KeyValue, lib: Library) -> Column:
     rule = lib.rules[kv.rule_pos].name
     if kv.kind == "records":
-        texts = F.transform(kv.value, F.to_json)
+        texts = F.transform(kv.value, lambda record: F.to_json(record))
     else:
         texts = kv.value if kv.kind == "list" else F.array(kv.value)
     return F.transform(
@@ -432,6 +435,14 @@ def href_array(entries: list[KeyValue]) -> Column:
     return F.filter(hrefs, lambda h: h.isNotNull() & ~h.startswith("#"))
 
 
+def link_array(entries: list[KeyValue], pattern: str, url="url") -> Column:
+    """Canonical absolute URLs of a page's links that have the pattern, in page order."""
+    base = F.col(url) if isinstance(url, str) else url
+    absolute = F.transform(href_array(entries), lambda h: url_join(base, h))
+    links = F.transform(absolute, canonical_url)
+    return F.filter(links, lambda u: finds(u, pattern)) if pattern else links
+
+
 def resolve_links(hrefs: DataFrame, lib: Library) -> DataFrame:
     """(src_url, pos, href) rows to edges (src_url, dst_url, pos), canonical and filtered."""
     absolute = hrefs.withColumn("_abs", url_join("src_url", "href"))

@@ -30,8 +30,10 @@ def _match_count(i: int, rule: Rule) -> Column:
         n = F.size(F.filter(kept, lambda e: e.isNotNull()))
     else:
         n = F.size(kept)
-    if _may_have_gaps(rule) and (rule.shape != "texts" or rule.content_regex) and rule.shape != "text":
-        n = F.when(has_gap(m), F.lit(0)).otherwise(n)
+    if _may_have_gaps(rule) and (rule.content_regex or rule.shape in ("named", "records")) and rule.shape != "text":
+        # the rule failed on the page before its matches were counted
+        read = F.slice(m, 1, len(rule.value_names)) if rule.shape == "named" and not rule.content_regex else m
+        n = F.when(has_gap(read), F.lit(0)).otherwise(n)
     return F.coalesce(n, F.lit(0))
 
 
