@@ -18,13 +18,14 @@ def _strict_json(text: Column) -> Column:
         # comments outside quotes
         (rf'(?m)^((?:[^"#\n]|{_QUOTED})*+)#.*$', "$1"),
         # backslashes that start no JSON escape belong to a pattern
-        (r'(?<!\\)((?:\\\\)*)\\(?!["\\nrt/u])', r"$1\\\\\\\\"),
+        (r'(?<!\\)((?:\\\\)*)\\(?!["\\nrt]|u[0-9A-Fa-f]{4})', r"$1\\\\"),
         (r'("\s*:\s*)True\b', "$1true"),
         (r'("\s*:\s*)False\b', "$1false"),
         # a line end between two members, or between two elements, stands for a comma
         (r'(["\]}0-9el])([ \t\r]*\n\s*)(?=["{])', "$1,$2"),
-        (r",(\s*,)+", ","),
-        (r",(\s*[\]}])", "$1"),
+        # repeated and trailing commas outside quotes
+        (rf"({_QUOTED})|(,)(?:\s*,)+", "$1$2"),
+        (rf"({_QUOTED})|,(\s*[\]}}])", "$1$2"),
     ]
     for pattern, replacement in steps:
         text = F.regexp_replace(text, pattern, replacement)
@@ -36,7 +37,7 @@ def read_libraries(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     parsed = files.select(
         F.col("_metadata.file_path").alias("lib"),
-        F.from_json(_strict_json(F.col("value")), LIBRARY, {"mode": "PERMISSIVE"}).alias("l"),
+        F.from_json(_strict_json(F.col("value")), LIBRARY, {"mode": "PERMISSIVE", "allowUnquotedControlChars": "true"}).alias("l"),
     )
     return parsed.select("lib", F.col("l.library").isNull().alias("unreadable"), "l.*")
 
