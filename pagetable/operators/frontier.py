@@ -83,14 +83,16 @@ def first_seen(pages: DataFrame, key: str = "hash", order: str = "seq") -> DataF
     return pages.groupBy(key).agg(F.min(order).alias(order), F.count("*").alias("n_copies"))
 
 
+def first_links(links: DataFrame, order=("seq",)) -> DataFrame:
+    """Each URL once: its first row in `order`. Links are narrow rows, reduced before the shuffle."""
+    others = [c for c in links.columns if c != "url" and c not in order]
+    best = links.groupBy("url").agg(F.min(F.struct(*order, *others)).alias("_f"))
+    return best.select(*[F.col("url") if c == "url" else F.col(f"_f.{c}").alias(c) for c in links.columns])
+
+
 def new_links(links: DataFrame, frontier: DataFrame, order=("seq",)) -> DataFrame:
     """Links whose URL is not queued yet, each once (its first in `order`)."""
-    rank = F.struct(*order)
-    once = links.withColumn("_o", rank).groupBy("url").agg(
-        F.min_by(F.struct(*[c for c in links.columns if c != "url"]), "_o").alias("_f")
-    )
-    fresh = once.join(frontier.select("url"), "url", "left_anti")
-    return fresh.select(*[F.col("url") if c == "url" else F.col(f"_f.{c}").alias(c) for c in links.columns])
+    return first_links(links, order).join(frontier.select("url"), "url", "left_anti").select(*links.columns)
 
 
 def unseen_content(pages: DataFrame, frontier: DataFrame, key: str = "hash", order: str = "seq") -> DataFrame:

@@ -29,7 +29,7 @@ from pagetable.functions.http import (
 from pagetable.functions.urls import canonical_url
 from pagetable.functions.values import content_hash, content_length, format_accessed, size_to_bytes
 from pagetable.operators.dom import parse_dom
-from pagetable.operators.frontier import new_links, within_bytes
+from pagetable.operators.frontier import first_links, within_bytes
 from pagetable.operators.quality import passes_gate
 from pagetable.operators.records import append
 from pagetable.operators.runlog import below_rate_streak, stop_seq
@@ -121,6 +121,11 @@ def _queue_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def _met_in(seen: DataFrame, some: DataFrame, key: str) -> DataFrame:
+    """Keys of `some` that the growing table `seen` has; `seen` is only shuffled when `some` is large."""
+    return seen.select(key).join(some.select(key), key, "left_semi")
+
+
 class _Walk:
     def __init__(self, pages, lib, accessed_at, content_types, schemes):
         self.spark, self.lib, self.accessed_at = pages.sparkSession, lib, accessed_at
@@ -165,19 +170,18 @@ class _Walk:
     def visit(self, level: DataFrame) -> DataFrame:
         """Join a level with the corpus and settle every row's outcome as if all of it were fetched."""
         k = len(self.done)
-        met = level.join(self.facts.drop("rows", "_rank"), "url", "left")
-        looked_up = through_table(
-            met.withColumn(
-                "status",
-                F.when(~allowed_scheme("url", self.schemes), F.lit(BAD_SCHEME))
-                .otherwise(F.coalesce("status", F.lit(NOT_CAPTURED)))
-                .cast("int"),
-            ),
-            f"{self.base}/met-{k}",
+        # inner: a level below the broadcast threshold meets the corpus without shuffling it
+        met = through_table(self.facts.drop("rows", "_rank").join(level, "url"), f"{self.base}/met-{k}")
+        absent = level.join(met.select("url"), "url", "left_anti")
+        status = (
+            F.when(~allowed_scheme("url", self.schemes), F.lit(BAD_SCHEME))
+            .otherwise(F.coalesce("status", F.lit(NOT_CAPTURED)))
+            .cast("int")
         )
-        hashed = looked_up.where("hash is not null").select("hash", "seq")
+        looked_up = met.unionByName(absent, allowMissingColumns=True).withColumn("status", status)
+        hashed = met.where("hash is not null").select("hash", "seq")
         if self.done:
-            known = self.read(self.done).where("hash is not null").select("hash")
+            known = _met_in(self.read(self.done).where("hash is not null"), hashed, "hash")
             hashed = hashed.join(known, "hash", "left_anti")
         winners = hashed.groupBy("hash").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("_new"))
         flagged = looked_up.join(winners, "seq", "left")
@@ -215,7 +219,10 @@ class _Walk:
             F.posexplode("links").alias("pos", "url"),
         )
         placed = links.withColumn("path", F.concat("_above", F.array(-F.col("pos").cast("long")))).drop("_above")
-        fresh = new_links(placed, self.read(self.queued), order=("src_seq", "pos"))
+        once = first_links(placed, order=("src_seq", "pos"))
+        candidates = through_table(once, f"{self.base}/links-{len(self.queued)}")
+        known = _met_in(self.read(self.queued), candidates, "url")
+        fresh = candidates.join(known, "url", "left_anti")
         order = ["src_seq", "pos"]
         if max_size >= 0:
             fresh = first_rows(fresh, order, max(max_size - self.size, 0))
