@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetable.operators.scan import first_rows, number_rows, prefix_scan
 from pagetable.functions.values import size_to_bytes
+from pagetable.operators.joins import spread_join
+from pagetable.operators.scan import first_rows, number_rows, prefix_scan
+from pagetable.plans.checkpoints import new_folder, through_table
 from pagetable.schemas import PENDING, STATUS_LABELS
 
 
@@ -96,14 +98,18 @@ def new_links(links: DataFrame, frontier: DataFrame, order=("seq",)) -> DataFram
 
 
 def unseen_content(pages: DataFrame, frontier: DataFrame, key: str = "hash", order: str = "seq") -> DataFrame:
-    """Pages with a content hash that neither the frontier nor an earlier page has."""
-    known = frontier.where(F.col(key).isNotNull()).select(key)
-    return first_per_key(pages.join(known, key, "left_anti"), key, order).select(*pages.columns)
+    """Pages with a content hash that neither the frontier nor an earlier page has.
+
+    Both sides are reduced to one narrow row per hash before they meet.
+    """
+    known = frontier.where(F.col(key).isNotNull()).select(key).distinct()
+    winners = pages.groupBy(key).agg(F.min(order).alias(order)).join(known, key, "left_anti")
+    return pages.join(winners, [order, key], "left_semi").select(*pages.columns)
 
 
 def lookup(keys: DataFrame, frontier: DataFrame, key: str = "url", order: str = "seq") -> DataFrame:
     """Each key with its first frontier row, NULLs when there is none."""
-    return keys.join(first_per_key(frontier, key, order), key, "left")
+    return spread_join(keys, first_per_key(frontier, key, order), key)
 
 
 def frontier_order(frontier: DataFrame, traversal: str = "bfs") -> DataFrame:
@@ -176,6 +182,25 @@ def update_frontier(frontier: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def url_history(captures: DataFrame, seq: str = "seq", url: str = "url", state: str = "hash") -> DataFrame:
-    """Captures with the previous and next state of the same URL, in `seq` order."""
-    w = Window.partitionBy(url).orderBy(seq)
-    return captures.withColumns({f"prev_{state}": F.lag(state).over(w), f"next_{state}": F.lead(state).over(w)})
+    """Captures with the previous and next state of the same URL, in `seq` order (unique per URL).
+
+    Captures are numbered in (url, seq) order and meet their neighbours by number, so a URL with a
+    large part of all captures is spread like any other.
+    """
+    numbered = through_table(
+        number_rows(captures.select(url, seq, state), [url, seq], "_n"), new_folder(captures.sparkSession, "history")
+    )
+
+    def neighbour(shift: int, name: str) -> DataFrame:
+        return numbered.select(
+            (F.col("_n") + shift).alias("_n"), F.col(url).alias(f"_{name}_url"), F.col(state).alias(f"_{name}")
+        )
+
+    met = numbered.join(neighbour(1, "prev"), "_n", "left").join(neighbour(-1, "next"), "_n", "left")
+    states = met.select(
+        url,
+        seq,
+        F.when(F.col("_prev_url") == F.col(url), F.col("_prev")).alias(f"prev_{state}"),
+        F.when(F.col("_next_url") == F.col(url), F.col("_next")).alias(f"next_{state}"),
+    )
+    return captures.join(states, [url, seq]).select(*captures.columns, f"prev_{state}", f"next_{state}")

@@ -2,7 +2,8 @@
 
 Recovery rules for malformed markup: void elements take no children; a start tag listed in `_ENDS`
 first closes the open elements named there; an end tag closes the nearest open element of its name
-that is not outside the current table cell; other stray end tags are ignored. The contents of
+that is not outside the current table cell; other stray end tags are ignored; elements nested more than
+256 deep become siblings. The contents of
 `script` and `style` stay out of the text of their ancestors.
 """
 
@@ -18,7 +19,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Element classes of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset(["script", "style"])
 _INLINE = frozenset(
     "a abbr acronym b bdo big button cite code dfn em font i img input kbd label map mark object q s samp "
     "script select small span strong style sub sup textarea time tt u var wbr".split()
@@ -43,15 +43,22 @@ _ENDS = {
 }
 _TABLE_PART = _CELLS | _SECTIONS | {"tr", "table"}
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<close2>/?)(?P<tag2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)>",
+# text | comment or declaration | script or style with its content | tag | tag with a stray quote | lone <
+_TOKEN = re.compile(
+    r"([^<]+)"
+    r"|<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+    r"|<((?i:script|style))((?:[\s/][^>]*)?)>(.*?)(?:</(?i:\2)[^>]*>|\Z)"
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>"
+    r"|(<)",
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/\"'>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_SPACE = re.compile(r"[ \t\n\f\r]+")
+_SPACE = re.compile(r"[ \t\n\f\r]{2,}|[\t\n\f\r]")
 
+# open elements at a time; deeper ones are kept but take no children
+_MAX_DEPTH = 256
+_LOOSE_ENDS = 50
 # text parsed before a batch of results is handed on
 _SLICE_CHARS = 4 << 20
 
@@ -72,107 +79,101 @@ class Nodes:
 
     def add_page(self, html: str) -> None:
         s = self.scalar
-        base, text = len(s["idx"]), []
-        raw_ranges = []
-        # open elements: (index, tag, ancestors of a child, [last child index, number of children])
-        root = (-1, "", [], [-1, 0])
-        stack = [root]
-
-        def put(piece: str) -> None:
-            piece = _SPACE.sub(" ", piece)
-            if piece != " " or (text and text[-1][-1] not in " \n"):
-                text.append(piece)
-
-        def line_break() -> None:
-            if not text or text[-1] != "\n":
-                text.append("\n")
-
-        def close_top() -> None:
-            i, tag, _, _ = stack.pop()
-            s["sub_end"][base + i] = len(s["idx"]) - base - 1
-            s["c1"][base + i] = len(text)
-            if tag not in _INLINE:
-                line_break()
-
-        pos, size = 0, len(html)
-        while pos < size:
-            m = _MARKUP.search(html, pos)
-            end = m.start() if m else size
-            if end > pos:
-                piece = html[pos:end]
-                put(unescape(piece) if "&" in piece else piece)
-            if not m:
-                break
-            pos = m.end()
-            tag = m["tag"] or m["tag2"]
-            if not tag:
+        add_parent, add_prev, add_nth = s["parent"].append, s["prev"].append, s["nth"].append
+        add_tag, add_id, add_c0 = s["tag"].append, s["id"].append, s["c0"].append
+        sub_end, c1 = s["sub_end"], s["c1"]
+        text, raws = [], []
+        base, i = len(sub_end), -1
+        # open elements: [index, tag, ancestors of a child, last child, number of children]
+        stack = [[-1, "", [], -1, 0]]
+
+        def close_to(depth: int) -> None:
+            while len(stack) > depth:
+                at, tag, *_ = stack.pop()
+                sub_end[base + at] = i
+                c1[base + at] = len(text)
+                if tag not in _INLINE and text and text[-1] != "\n":
+                    text.append("\n")
+
+        tail = html.rfind(">") + 1
+        if html.count("<", tail) > _LOOSE_ENDS:
+            # no tag can end any more: do not try at every one of them
+            html = html[:tail] + html[tail:].replace("<", "&lt;")
+        for piece, raw_tag, raw_attrs, raw, end, tag, attrs, end2, tag2, attrs2, lone in _TOKEN.findall(html):
+            if piece or lone:
+                piece = piece or lone
+                if "&" in piece:
+                    piece = unescape(piece)
+                piece = _SPACE.sub(" ", piece)
+                if piece != " " or (text and text[-1][-1] not in " \n"):
+                    text.append(piece)
+                continue
+            if tag2:
+                end, tag, attrs = end2, tag2, attrs2
+            elif raw_tag:
+                tag, attrs = raw_tag, raw_attrs
+            elif not tag:
                 continue
             tag = tag.lower()
-            if m["close"] or m["close2"]:
+            if end:
                 for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][1] == tag:
-                        while len(stack) > depth:
-                            close_top()
+                    open_tag = stack[depth][1]
+                    if open_tag == tag:
+                        close_to(depth)
                         break
-                    if stack[depth][1] in _CELLS and tag not in _TABLE_PART:
+                    if open_tag in _CELLS and tag not in _TABLE_PART:
                         break
                 continue
             if tag in _ENDS:
                 ended, barrier = _ENDS[tag]
                 keep = len(stack)
                 for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][1] in barrier:
+                    open_tag = stack[depth][1]
+                    if open_tag in barrier:
                         break
-                    if stack[depth][1] in ended:
+                    if open_tag in ended:
                         keep = depth
-                while len(stack) > keep:
-                    close_top()
-            if tag == "br":
-                line_break()
-            elif tag not in _INLINE:
-                line_break()
-            i = len(s["idx"]) - base
-            parent, _, anc, family = stack[-1]
-            attrs = {}
-            for a in _ATTR.finditer(m["attrs"] or m["attrs2"] or ""):
-                v = a[2] if a[2] is not None else a[3] if a[3] is not None else a[4] or ""
-                attrs.setdefault(a[1].lower(), unescape(v) if "&" in v else v)
-            s["idx"].append(i)
-            s["parent"].append(parent)
-            s["prev"].append(family[0])
-            family[0], family[1] = i, family[1] + 1
-            s["nth"].append(family[1])
-            s["sub_end"].append(i)
-            s["tag"].append(tag)
-            s["id"].append(attrs.get("id"))
-            s["c0"].append(len(text))
-            s["c1"].append(len(text))
-            self.anc.extend(anc)
+                close_to(keep)
+            if (tag == "br" or tag not in _INLINE) and text and text[-1] != "\n":
+                text.append("\n")
+            i += 1
+            top = stack[-1]
+            add_parent(top[0])
+            add_prev(top[3])
+            top[3] = i
+            top[4] += 1
+            add_nth(top[4])
+            add_tag(tag)
+            add_c0(len(text))
+            sub_end.append(i)
+            c1.append(len(text))
+            self.anc.extend(top[2])
             self.anc_start.append(len(self.anc))
+            named = {}
             if attrs:
-                if "class" in attrs:
-                    self.classes.extend(attrs["class"].split())
-                self.attr_key.extend(attrs.keys())
-                self.attr_value.extend(attrs.values())
+                for name, double, single, bare in _ATTR.findall(attrs):
+                    value = double or single or bare
+                    named.setdefault(name.lower(), unescape(value) if "&" in value else value)
+                if "class" in named:
+                    self.classes.extend(named["class"].split())
+                self.attr_key.extend(named.keys())
+                self.attr_value.extend(named.values())
+            add_id(named.get("id"))
             self.class_start.append(len(self.classes))
             self.attr_start.append(len(self.attr_key))
-            if tag in _RAW:
-                stop = re.compile("</" + tag, re.I).search(html, pos)
-                end = stop.start() if stop else size
-                raw_ranges.append((base + i, html[pos:end]))
-                pos = html.find(">", end) + 1 if stop else size
-                pos = pos or size
-            elif tag not in _VOID and not (m["attrs"] or m["attrs2"] or "").endswith("/"):
-                stack.append((i, tag, anc + [i], [-1, 0]))
-        while len(stack) > 1:
-            close_top()
-        for i, raw in raw_ranges:
-            s["c0"][i] = len(text)
+            if raw_tag:
+                raws.append((base + i, raw))
+            elif tag not in _VOID and not attrs.endswith("/") and len(stack) <= _MAX_DEPTH:
+                stack.append([i, tag, top[2] + [i], -1, 0])
+        close_to(1)
+        s["idx"].extend(range(i + 1))
+        for at, raw in raws:
+            s["c0"][at] = len(text)
             text.append(raw)
-            s["c1"][i] = len(text)
+            c1[at] = len(text)
         self.chunks.extend(text)
         self.chunk_start.append(len(self.chunks))
-        self.page_start.append(len(s["idx"]))
+        self.page_start.append(len(sub_end))
 
     def arrays(self) -> tuple[pa.Array, pa.Array]:
         def ints(v):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetable.operators.joins import spread_join
 from pagetable.operators.scan import number_rows
 
 
@@ -17,14 +18,14 @@ def update_records(records: DataFrame, values: DataFrame) -> DataFrame:
     """`values` has one row per url: its non-NULL cells overwrite the known columns of all rows of that url."""
     cells = [c for c in values.columns if c != "url" and c in records.columns]
     fresh = values.select("url", *[F.col(c).alias(f"_new_{c}") for c in cells])
-    joined = records.join(fresh, "url", "left")
+    joined = spread_join(records, fresh, "url")
     return joined.select(
         *[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in cells else F.col(c) for c in records.columns]
     )
 
 
 def remove_records(records: DataFrame, urls: DataFrame) -> DataFrame:
-    return records.join(urls.select("url"), "url", "left_anti").select(*records.columns)
+    return spread_join(records, urls.select("url").distinct(), "url", "left_anti")
 
 
 def insert_at(records: DataFrame, position: int, rows: DataFrame, order: str = "ord") -> DataFrame:

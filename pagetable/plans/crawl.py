@@ -179,12 +179,11 @@ class _Walk:
             .cast("int")
         )
         looked_up = met.unionByName(absent, allowMissingColumns=True).withColumn("status", status)
-        hashed = met.where("hash is not null").select("hash", "seq")
+        first = met.where("hash is not null").groupBy("hash").agg(F.min("seq").alias("seq"))
         if self.done:
-            known = _met_in(self.read(self.done).where("hash is not null"), hashed, "hash")
-            hashed = hashed.join(known, "hash", "left_anti")
-        winners = hashed.groupBy("hash").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("_new"))
-        flagged = looked_up.join(winners, "seq", "left")
+            known = _met_in(self.read(self.done).where("hash is not null"), first, "hash")
+            first = first.join(known, "hash", "left_anti")
+        flagged = looked_up.join(first.select("seq", F.lit(True).alias("_new")), "seq", "left")
         new = F.coalesce("_new", F.lit(False))
         return flagged.select(
             *[c for c in looked_up.columns if c != "hash"],

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagetable.functions.http import header_get
 from pagetable.functions.values import content_hash, format_accessed
 from pagetable.operators.frontier import update_frontier
+from pagetable.operators.joins import spread_join
 from pagetable.operators.quality import any_present, passes_gate
 from pagetable.operators.records import append, remove_records, update_records
 from pagetable.plans.checkpoints import new_folder, through_table
@@ -40,7 +41,7 @@ def page_states(pages: DataFrame) -> DataFrame:
 def records_with_frontier(records: DataFrame, frontier: DataFrame) -> DataFrame:
     """Each record with its URL's frontier state (NULLs when the URL is unknown)."""
     state = frontier.select("url", *[F.col(c).alias(f"q_{c}") for c in ("status", "lastmodified", "hash")])
-    return records.join(state, "url", "left")
+    return spread_join(records, state, "url")
 
 
 def missing_urls(records: DataFrame, frontier: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagetable.operators.dom import spread
+from pagetable.operators.scan import number_rows
 from pagetable.schemas import PAGES
 
 
@@ -27,9 +28,14 @@ def read_pages(spark: SparkSession, path: str, format: str = "parquet", balanced
 def read_seeds(spark: SparkSession, source) -> DataFrame:
     """(seq, url): URLs of a text file (one per line), one URL, or a list; repeats keep their first place."""
     if isinstance(source, str) and not source.startswith(("http:", "https:")):
-        # one file is one line sequence: wholetext keeps it in a single row
-        lines = spark.read.text(source, wholetext=True).select(F.posexplode(F.split("value", "\r\n|\r|\n")))
-        rows = lines.select(F.col("pos").cast("long").alias("seq"), F.col("col").alias("url")).where("url <> ''")
+        lines = spark.read.text(source).select(
+            F.col("value").alias("url"),
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_line"),
+        )
+        # a large file is read in blocks, whose order in the file is part of the line's place
+        rows = number_rows(lines.where("url <> ''"), ["_file", "_block", "_line"], "seq").select("seq", "url")
     else:
         urls = [source] if isinstance(source, str) else list(source)
         rows = spark.createDataFrame(list(enumerate(urls)), "seq long, url string")

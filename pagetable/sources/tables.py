@@ -91,9 +91,10 @@ def mirror_plan(pages: DataFrame, root: str = "", content_type=None) -> DataFram
 def mirror_pages(pages: DataFrame, root: str) -> None:
     """Store pages below `root`, one folder per host; `mirror_path` is each page's place in a mirror.
 
-    Rows keep their partitions (no shuffle by host, so that a host with most pages stays spread out).
+    Range partitions over (host, url hash): small hosts share a task, a large one fills several.
     """
-    mirror_plan(pages, "").write.mode("append").partitionBy("host").parquet(root)
+    planned = mirror_plan(pages, "").repartitionByRange("host", F.xxhash64("url"))
+    planned.write.mode("append").partitionBy("host").parquet(root)
 
 
 def log_run(spark: SparkSession, run: dict, path: str) -> None:

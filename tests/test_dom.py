@@ -110,3 +110,12 @@ def test_long_batches_are_cut(spark, monkeypatch):
     monkeypatch.setattr(markup, "_SLICE_CHARS", 1000)
     out = list(markup.parse_batches(batches, "html", ["id"]))
     assert len(out) > 50 and [i for b in out for i in b.column("id").to_pylist()] == list(range(200))
+
+
+def test_hostile_sources_stay_linear(one_page):
+    import time
+
+    start = time.time()
+    sizes = one_page(("u", "<a" * 400_000), ("v", "<b>" * 20_000 + "x"), ("w", "<p '" * 100_000 + ">")).transform(parse_dom)
+    got = sizes.select("url", F.size("dom"), F.array_max(F.transform("dom", lambda n: F.size(n["anc"])))).collect()
+    assert {r[0]: r[2] for r in got}["v"] == 256 and time.time() - start < 60

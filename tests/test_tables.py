@@ -117,6 +117,23 @@ def test_hot_content_keeps_one_page(spark):
     assert kept.where("hash = 'hot'").first()["seq"] == 0 and kept.where("seq < 100").count() == 1
 
 
+@pytest.mark.parametrize("how", ["left", "left_anti", "left_semi", "inner"])
+def test_spread_join_equals_a_plain_join(spark, how):
+    from pagetable.operators.joins import spread_join
+
+    left = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 2500).alias("k"), F.lit("same").alias("v"))
+    right = spark.range(-1, 1500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    assert sorted(rows(spread_join(left, right, "k", how)), key=str) == sorted(rows(left.join(right, "k", how)), key=str)
+    empty = left.where("false")
+    assert spread_join(empty, right, "k", how).count() == 0
+
+
+def test_url_history(spark):
+    data = [(0, "a", "1"), (3, "a", "2"), (1, "b", "1"), (5, "a", None), (2, "c", "9")]
+    got = fr.url_history(spark.createDataFrame(data, "seq long, url string, hash string"))
+    assert rows(got, "seq") == [(0, "a", "1", None, "2"), (1, "b", "1", None, None), (2, "c", "9", None, None), (3, "a", "2", "1", None), (5, "a", None, "2", None)]
+
+
 def test_record_tables(spark):
     base = spark.createDataFrame([("a", "1", 0), ("b", "2", 1), ("a", "3", 2)], "url string, v string, ord long")
     new = spark.createDataFrame([("a", "9", "x")], "url string, v string, unknown string")
