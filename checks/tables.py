@@ -199,8 +199,10 @@ LINKS_SQL = f"""links AS (SELECT page_id, url, pos, {unescaped('href')} AS href
   SELECT page_id, url, unnest({HREFS}) AS href, generate_subscripts({HREFS}, 1) - 1 AS pos FROM pages))"""
 EDGES_SQL = rf"""{LINKS_SQL}, edges AS (SELECT url AS src_url,
   {ORIGIN} || regexp_replace(regexp_replace(href, '#.*$', ''), ';[^/?]*$', '') AS dst_url, pos FROM links)"""
-WALK_SQL = f"""keyed AS (SELECT page_id, {CANON_URL} AS url, html, count(*) OVER () AS n FROM pages),
+# of pages with one canonical URL the first counts
+WALK_SQL = f"""keyed AS (SELECT page_id, {CANON_URL} AS url, html, count(*) OVER () AS n,
+  min(page_id) OVER (PARTITION BY {CANON_URL}) AS first FROM pages),
 walk(id, depth) AS (SELECT 0::BIGINT, 0
-  UNION SELECT t.id, w.depth + 1 FROM walk w JOIN keyed k ON k.page_id = w.id,
-    LATERAL (SELECT (7 * w.id + 1) % k.n AS id UNION ALL SELECT (3 * w.id + 2) % k.n) t WHERE w.depth < 30),
+  UNION SELECT k.first, w.depth + 1 FROM walk w
+    JOIN keyed k ON k.page_id IN ((7 * w.id + 1) % k.n, (3 * w.id + 2) % k.n) WHERE w.depth < 30),
 reached AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"""
