@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.tables import AD, FOOTER, H1, HREFS, LINKS_SQL, N_LINKS, N_P, TRACK, flat, parsed, unescaped
 from pagetable.operators.dom import attr_of, script_capture, text_of, visible_text
-from pagetable.operators.selectors import containing, find_first, match_count, matches_frame, select
+from pagetable.operators.selectors import containing, find_first, match_count, matches_frame, nodes_frame, select
 
 TAGS = ["a", "article", "b", "body", "br", "div", "footer", "h1", "head", "html", "li", "meta", "nav", "p", "script", "style", "title", "ul"]
 
@@ -91,6 +91,15 @@ def holder(spark, sf):
     return parsed(spark, sf).select("page_id", text_of(item).alias("item"), item["nth"].cast("long").alias("nth"), none.isNull().alias("none"))
 
 
+def nested_elements(spark, sf):
+    """Links inside list items by an interval join of elements on the page."""
+    nodes = nodes_frame(parsed(spark, sf)).select("page_id", "idx", "sub_end", "tag")
+    item = nodes.where("tag = 'li'").alias("i")
+    link = nodes.where("tag = 'a'").alias("a")
+    inside = item.join(link, F.expr("i.page_id = a.page_id and i.idx < a.idx and a.idx <= i.sub_end"))
+    return inside.groupBy("i.page_id").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     "dom_tag_counts": (tag_counts, TAG_SQL),
     "select_type": (texts("h1"), f"SELECT page_id, 0 AS pos, {H1} AS text FROM pages"),
@@ -134,5 +143,6 @@ QUERIES = {
         holder,
         f"SELECT page_id, substr({unescaped(HREFS + '[1]')}, 2) AS item, 1 AS nth, true AS none FROM pages",
     ),
+    "element_intervals": (nested_elements, f"SELECT page_id, {N_LINKS} AS n FROM pages WHERE {N_LINKS} > 0"),
     "footer_text": (texts("footer"), f"SELECT page_id, 0 AS pos, {FOOTER} AS text FROM pages WHERE html LIKE '%</footer>%'"),
 }

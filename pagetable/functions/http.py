@@ -4,12 +4,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagetable.functions.regex import java_regex
-from pagetable.functions.urls import url_netloc, url_path
+from pagetable.functions.urls import url_netloc, url_path, url_scheme, url_unquote
 from pagetable.functions.values import TEXT_TYPES
 
-# Fixed value: content types accepted for processing unless told otherwise.
+# Patterns of content types (accepted unless told otherwise, text, HTML), accepted schemes,
+# and the commas that end a cookie rather than stand in its date.
 ALLOWED_CONTENT = "(?i)(text/html?|application/.*)"
+TEXT_CONTENT = r"(?i)(text/?|rss\+xml)"
+HTML_CONTENT = "(?i)text/html?"
 ALLOWED_SCHEMES = ("http", "https")
+COOKIE_COMMA = "(?<!Mon|Tue|Wed|Thu|Fri|Sat|Sun),"
 # Cookie attributes, which are not cookies of their own.
 COOKIE_ATTRIBUTES = [
     "expires", "path", "comment", "domain", "max-age", "secure", "httponly", "version", "samesite", "partitioned",
@@ -38,8 +42,6 @@ def header_get(headers, key: str, default: str = "") -> Column:
 
 
 def allowed_scheme(url, schemes=ALLOWED_SCHEMES) -> Column:
-    from pagetable.functions.urls import url_scheme, url_unquote
-
     return url_scheme(url_unquote(url)).isin([s.strip().lower() for s in schemes])
 
 
@@ -53,16 +55,16 @@ def is_text(content_type) -> Column:
 
 
 def ct_is_text(content_type) -> Column:
-    return _c(content_type).rlike(java_regex(r"(?i)(text/?|rss\+xml)"))
+    return _c(content_type).rlike(java_regex(TEXT_CONTENT))
 
 
 def is_html(content_type) -> Column:
-    return _c(content_type).rlike(java_regex("(?i)text/html?"))
+    return _c(content_type).rlike(java_regex(HTML_CONTENT))
 
 
 def split_set_cookie(text) -> Column:
     """Commas between cookies become line breaks; commas inside dates stay."""
-    return F.regexp_replace(_c(text), "(?<!Mon|Tue|Wed|Thu|Fri|Sat|Sun),", "\n")
+    return F.regexp_replace(_c(text), COOKIE_COMMA, "\n")
 
 
 def _cookie_pairs(text: Column) -> Column:

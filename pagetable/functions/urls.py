@@ -12,6 +12,12 @@ _CANONICAL = (
 _BLANKS = "".join(map(chr, range(33)))
 
 
+# Mirror file naming and the characters that flat names and mirrored paths do without.
+INDEX_NAME, QUERY_MARK, QUERY_REPLACED, QUERY_SLASH, QUERY_INDEX = "index.html", "X", "[&!@]", "oXo", "-index.html"
+FLAT_REPLACED = "/&|@\\*<>:?="
+PATH_REFUSED = "[:*?<>|\"']"
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -130,22 +136,22 @@ def url_to_path(root, url) -> Column:
     path, query = url_path(u), url_query(u)
     prefix = F.concat(F.when(r.endswith("/"), r).otherwise(F.concat(r, F.lit("/"))), url_netloc(u))
     has_extension = F.regexp_extract(path, r"([^/]*)$", 1).rlike(r"^\.*[^.].*\.")
-    tail = F.replace(F.regexp_replace(query, "[&!@]", "X"), F.lit("/"), F.lit("oXo"))
+    tail = F.replace(F.regexp_replace(query, QUERY_REPLACED, QUERY_MARK), F.lit("/"), F.lit(QUERY_SLASH))
     index = F.when(
-        query == "", F.when(path.endswith("/"), F.lit("index.html")).otherwise(F.lit("/index.html"))
-    ).otherwise(F.concat(F.lit("X"), tail, F.lit("-index.html")))
+        query == "", F.when(path.endswith("/"), F.lit(INDEX_NAME)).otherwise(F.lit("/" + INDEX_NAME))
+    ).otherwise(F.concat(F.lit(QUERY_MARK), tail, F.lit(QUERY_INDEX)))
     return F.concat(prefix, path, F.when(has_extension, F.lit("")).otherwise(index))
 
 
 def mirror_path(root, url) -> Column:
     """`url_to_path` without the characters that file systems refuse."""
-    return F.regexp_replace(url_to_path(root, url), "[:*?<>|\"']", "")
+    return F.regexp_replace(url_to_path(root, url), PATH_REFUSED, "")
 
 
 def url_to_plain_name(root: str, prefix: str, url) -> Column:
     """Flat file name: separators and reserved characters become `-`."""
     lead = root if root == "" or root.endswith("/") else root + "/"
-    return F.concat(F.lit(lead + prefix), F.translate(_c(url), "/&|@\\*<>:?=", "-" * 11))
+    return F.concat(F.lit(lead + prefix), F.translate(_c(url), FLAT_REPLACED, "-" * len(FLAT_REPLACED)))
 
 
 def registered_domain(urls: DataFrame, suffixes: DataFrame, url: str = "url") -> DataFrame:

@@ -118,6 +118,12 @@ def frontier_order(frontier: DataFrame, traversal: str = "bfs") -> DataFrame:
     return pending(frontier).orderBy(seq.desc() if traversal.lower() == "dfs" else seq.asc())
 
 
+def queue_places(frontier: DataFrame, traversal: str = "bfs") -> DataFrame:
+    """+ `place`: the turn (from 0) at which each pending URL would be taken."""
+    order = -F.col("seq") if traversal.lower() == "dfs" else F.col("seq")
+    return number_rows(pending(frontier).withColumn("_turn", order), ["_turn"], "place").drop("_turn")
+
+
 def from_position(rows: DataFrame, position: int, order: str = "seq") -> DataFrame:
     """Rows from a 0-based position on; the order column must be dense from 0 (see `number_rows`)."""
     return rows.where(F.col(order) >= position)

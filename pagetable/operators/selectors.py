@@ -212,3 +212,13 @@ def matches_frame(parsed, css: str):
     )
     rows = parsed.select(*keep, F.posexplode_outer(found).alias("pos", "_m")).where("pos is not null")
     return rows.select(*keep, "pos", "_m.tag", "_m.text", "_m.attrs")
+
+
+def nodes_frame(parsed):
+    """One row per element: page columns, then the element's fields.
+
+    For work across elements by joins: `d` lies inside `a` when a.idx < d.idx and d.idx <= a.sub_end
+    on the same page.
+    """
+    keep = [c for c in parsed.columns if c not in ("dom", "chunks")]
+    return parsed.select(*keep, F.inline_outer("dom")).where("idx is not null")

@@ -235,22 +235,22 @@ RELAXED = r"""
 
 
 def test_library_files(spark, tmp_path):
-    (tmp_path / "a.exr").write_text(RELAXED)
+    (tmp_path / "a.rules").write_text(RELAXED)
     (tmp_path / "b.json").write_text('{"libraryDescription": "plain", "library": [{"ruleName": "x"}], "requiredFilledFields": ["x"]}')
-    (tmp_path / "c.exr").write_text("not a library")
-    lib = load_library(spark, str(tmp_path / "a.exr"))
+    (tmp_path / "c.rules").write_text("not a library")
+    lib = load_library(spark, str(tmp_path / "a.rules"))
     title, links = lib.rules
     assert lib.descr == "Books # and more" and lib.csv_cols == ("title", "links") and lib.min_filled == 0.8 and lib.required == ()
     assert title.url_patterns == (r"books\.example/(?!cat\/x).*\d$", r"a\b") and title.css == "#first h1"
     assert title.remove == ("£", '"') and title.match_pos == -1 and not title.returns_more and title.pre_type == "ANY"
     assert links.pre[0].regex == r"([4-9]|\d{2,})" and links.returns_more and links.match_pos == 2 and links.target == "html"
-    assert rows(library_catalog(spark, str(tmp_path)), "file_name") == [("a.exr", "Books # and more", 2), ("b.json", "plain", 1)]
+    assert rows(library_catalog(spark, str(tmp_path)), "file_name") == [("a.rules", "Books # and more", 2), ("b.json", "plain", 1)]
     rules = load_rules(spark, str(tmp_path))
     assert [(r["rule_pos"], r["rule_name"], r["match_pos"]) for r in rules.orderBy("lib", "rule_pos").collect()] == [(0, "title", -1), (1, "links", 2), (0, "x", -1)]
     told = describe_library(rules).orderBy("lib", "rule_pos").collect()
     assert [(r["n_preconditions"], r["cond_css"]) for r in told] == [(0, None), (1, "a"), (0, None)]
     with pytest.raises(ValueError):
-        load_library(spark, str(tmp_path / "c.exr"))
+        load_library(spark, str(tmp_path / "c.rules"))
     assert read_libraries(spark, str(tmp_path)).where("unreadable").count() == 1
 
 
