@@ -37,14 +37,20 @@ from pagetable.operators.scan import first_rows, number_rows
 from pagetable.plans.checkpoints import new_folder, through_table
 from pagetable.plans.extraction import LINKS, link_array, page_rows, stamp
 from pagetable.plans.library import Library
-from pagetable.sources.tables import csv_view
 from pagetable.schemas import BAD_CONTENT_TYPE, BAD_SCHEME, EMPTY_BODY, NOT_CAPTURED, PENDING
+from pagetable.sources.tables import csv_view
 
 FRONTIER_COLUMNS = [
     "url", "seq", "depth", "discovered_from", "fetched", "status", "contenttype", "contentlength", "lastmodified", "hash",
 ]
 
 
+_SETTLED = (
+    "url string, seq long, depth int, discovered_from string, path array<bigint>, status int, contenttype string, "
+    "contentlength long, lastmodified string, hash string, reached boolean"
+)
+
+
 @dataclass(frozen=True)
 class CrawlResult:
     frontier: DataFrame
@@ -147,8 +153,9 @@ class _Walk:
         through_table(earlier.select("hash"), done)
         self.done.append(done)
 
-    def read(self, paths):
-        return self.spark.read.parquet(*paths)
+    def read(self, paths: list[str], columns: str) -> DataFrame:
+        """Some columns of several level tables; stating them spares a look into the files."""
+        return self.spark.read.schema(columns).parquet(*paths)
 
     def queue(self, rows: DataFrame, order: list[str]) -> DataFrame:
         """Write new URLs in queue order; `seq` grows from level to level but is not dense yet."""
@@ -181,7 +188,7 @@ class _Walk:
         looked_up = met.unionByName(absent, allowMissingColumns=True).withColumn("status", status)
         first = met.where("hash is not null").groupBy("hash").agg(F.min("seq").alias("seq"))
         if self.done:
-            known = _met_in(self.read(self.done).where("hash is not null"), first, "hash")
+            known = _met_in(self.read(self.done, "hash string").where("hash is not null"), first, "hash")
             first = first.join(known, "hash", "left_anti")
         flagged = looked_up.join(first.select("seq", F.lit(True).alias("_new")), "seq", "left")
         new = F.coalesce("_new", F.lit(False))
@@ -220,7 +227,7 @@ class _Walk:
         placed = links.withColumn("path", F.concat("_above", F.array(-F.col("pos").cast("long")))).drop("_above")
         once = first_links(placed, order=("src_seq", "pos"))
         candidates = through_table(once, f"{self.base}/links-{len(self.queued)}")
-        known = _met_in(self.read(self.queued), candidates, "url")
+        known = _met_in(self.read(self.queued, "url string"), candidates, "url")
         fresh = candidates.join(known, "url", "left_anti")
         order = ["src_seq", "pos"]
         if max_size >= 0:
@@ -309,7 +316,7 @@ def _rate_stop(walk: _Walk, visited: DataFrame, min_rate: float, samples: int) -
     log = visited.select("seq", "url", "reached")
     own = [p for p in walk.done if not p.endswith("-earlier")]
     if own:
-        log = walk.read(own).select("seq", "url", "reached").unionByName(log)
+        log = walk.read(own, "seq long, url string, reached boolean").unionByName(log)
     hits = walk.facts.select("url", F.size("rows").alias("_n"))
     log = log.join(hits, "url", "left").select(
         "seq", "reached", F.when(F.col("reached"), F.coalesce("_n", F.lit(0))).otherwise(F.lit(0)).alias("hit")
@@ -322,11 +329,7 @@ def _result(walk: _Walk, earlier, pending_level, levels: int, dfs: bool, dfs_lim
     spark = walk.spark
     at = F.current_timestamp() if accessed_at is None else F.lit(accessed_at).cast("timestamp")
     own = [p for p in walk.done if not p.endswith("-earlier")]
-    rows = walk.read(own) if own else walk.read(walk.queued[:1]).limit(0).withColumns(
-        {"status": F.lit(PENDING), "contenttype": F.lit(""), "contentlength": F.lit(0).cast("long"),
-         "lastmodified": F.lit(""), "hash": F.lit(""), "reached": F.lit(False)}
-    )
-    rows = rows.select("url", "seq", "depth", "discovered_from", "path", "status", "contenttype", "contentlength", "lastmodified", "hash", "reached")
+    rows = walk.read(own, _SETTLED) if own else spark.createDataFrame([], _SETTLED)
     if pending_level is not None:
         rows = rows.unionByName(
             pending_level.withColumns({"status": F.lit(PENDING), "reached": F.lit(False)}), allowMissingColumns=True
