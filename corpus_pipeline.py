@@ -3,23 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagetable.llm import queries
+from pagetable.llm import decontaminate, lines, quality, queries, simhash
 from pagetable.llm.store import stored
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.drop_rejected(docs, quality.learn(docs, queries.table(spark, sf_dir, "labels")))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go from the texts; n_chars follows."""
+    kept = lines.drop_repeated_lines(docs).drop("n_lines", "n_dropped")
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.one_per_group(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of what is left, as digests."""
     return queries.bpe_ids(docs)
 
 
-STAGES = [("bpe", encode)]
+STAGES = [
+    ("quality", classify),
+    ("lines", dedup_lines),
+    ("near", dedup_near),
+    ("benchmark", decontaminated),
+    ("encode", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on `documents`; each result is a table in the shared folder and the next one's input."""
+    docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
     return docs
 
 
+# fitted weights and tokenizers have no SQL form: tests compare with a brute-force version
 ORACLE_SQL = None

@@ -42,19 +42,20 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
 
     def run(batches):
         encoder = once(("encoder", path), lambda: ChunkEncoder(path))
-        for batch in small(batches):
-            start, ids, decoded, size = 0, [], [], 0
-            for at, data in enumerate(text_bytes(batch.column(inner))):
-                ids.append(encoder.encode(data))
-                size += len(ids[-1])
+        for batch in small(batches, 1024):
+            coded = encoder.encode_many(text_bytes(batch.column(inner)))
+            start, decoded, size = 0, [], 0
+            for at, ids in enumerate(coded):
+                size += len(ids)
                 if decode:
-                    decoded.append(encoder.decode(ids[-1]))
+                    decoded.append(encoder.decode(ids))
                     size += len(decoded[-1])
                 if size >= _OUT_BYTES or at == batch.num_rows - 1:
-                    new = {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64())}
+                    own = coded[start : at + 1]
+                    new = {"ids": pa.array(own, pa.binary()), "n_tokens": pa.array([len(i) // 4 for i in own], pa.int64())}
                     if decode:
                         new["decoded"] = pa.array(decoded, pa.binary())
                     yield with_columns(batch.slice(start, at + 1 - start), kept, **new)
-                    start, ids, decoded, size = at + 1, [], [], 0
+                    start, decoded, size = at + 1, [], 0
 
     return source.mapInArrow(run, schema)

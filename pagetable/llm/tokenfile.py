@@ -64,8 +64,9 @@ def write_token_files(
         encoder = once(("encoder", path), lambda: ChunkEncoder(path))
         kind = "<u2" if len(encoder.pieces) <= 1 << 16 and end_id < 1 << 16 else "<u4"
         tail = np.array([end_id], kind).tobytes()
-        for batch in small(batches):
-            ids = [np.frombuffer(encoder.encode(t), "<u4").astype(kind).tobytes() + tail for t in text_bytes(batch.column(1))]
+        for batch in small(batches, 1024):
+            coded = encoder.encode_many(text_bytes(batch.column(1)))
+            ids = [np.frombuffer(i, "<u4").astype(kind).tobytes() + tail for i in coded]
             wide = pa.array([kind == "<u4"] * len(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), wide, pa.array(ids, pa.binary())], names=["doc_id", "wide", "ids"])
 

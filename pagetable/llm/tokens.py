@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 from array import array
 
@@ -14,6 +15,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[48:58] = _PLAIN[97:123] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[33:48] = _PUNCTUATION[58:65] = _PUNCTUATION[91:97] = _PUNCTUATION[123:127] = True
+_PUNCTUATION[39] = False  # an apostrophe may begin a contraction
 
 
 def cuts(data: bytes, mean: int) -> list[int]:
@@ -39,26 +45,26 @@ def cuts(data: bytes, mean: int) -> list[int]:
     return [*ends, len(data)]
 
 
-class _Words(dict):
-    """Ids by word; a word not seen yet is encoded."""
+def _packed(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of up to 16 bytes as two integers each: their bytes, and zeros behind."""
+    around = np.lib.stride_tricks.as_strided(data, (len(data) - 15, 16), (1, 1))
+    pairs = around[start].view("<u8")
+    return pairs[:, 0] & _LOW[np.minimum(length, 8)], pairs[:, 1] & _LOW[np.maximum(length - 8, 0)]
 
-    def __init__(self, encode):
-        self.encode = encode
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self[word] = self.encode(word)
-        return ids
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class ChunkEncoder:
     """Encodes and decodes with a `tokenizers` file. Equal chunks are encoded once while they stay in the cache.
 
-    A text is the concatenation of its chunks' ids after the joins are repaired (`_joined`). Where the file says
-    that white space never is part of a token, a chunk is put together from its words, and words are encoded
-    once. Caches are emptied when full; results do not depend on them.
+    A text's ids are the concatenation of its chunks' ids after the joins are repaired (`_joined`). Where the file
+    says that white space never is part of a token, a chunk is put together from its words: the distinct words of
+    all new chunks are looked up at once. Caches are emptied when full (words: the older half); results do not
+    depend on them.
     """
 
-    def __init__(self, path: str, mean_chunk: int = 1024, chunks_kept: int = 10_000, words_kept: int = 700_000):
+    def __init__(self, path: str, mean_chunk: int = 1024, chunks_kept: int = 8_000, words_kept: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,15 +73,16 @@ class ChunkEncoder:
         self.lib.no_padding()
         spec = json.loads(self.lib.to_str())
         self.mean, self.chunks_kept, self.words_kept = mean_chunk, chunks_kept, words_kept
-        self.by_word = _drops_space(spec)
         added = spec.get("added_tokens", [])
+        self.by_word = _drops_space(spec)
         # upper-case ASCII may be folded before the cache where the file folds it anyway
         self.folds = self.by_word and "Lowercase" in json.dumps(spec.get("normalizer"))
-        self.marks = {form for t in added for form in (t["content"].encode(), t["content"].lower().encode())}
+        self.marks = {t["content"].encode().lower() for t in added}
         self.plain = spec.get("decoder") is None
         size = self.lib.get_vocab_size(with_added_tokens=True)
         self.pieces = [(self.lib.id_to_token(i) or "").encode() for i in range(size)]
-        self.words = _Words(self.direct)
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, bytes] = {}
         self.joins: dict[bytes, bool] = {}
 
@@ -83,34 +90,93 @@ class ChunkEncoder:
         ids = self.lib.encode(data.decode(), add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
-    def _chunk(self, chunk: bytes) -> bytes:
-        ids = self.chunks.get(chunk)
-        if ids is None:
-            ids = self._by_words(chunk) if self.by_word else self.direct(chunk)
-            if len(self.chunks) >= self.chunks_kept:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
-        return ids
-
-    def _by_words(self, chunk: bytes) -> bytes:
-        known = self.words
-        folded = chunk.lower() if self.folds else chunk
-        if any(mark in folded for mark in self.marks):  # special tokens are found in the text as it stands
-            return self.direct(chunk)
-        split = folded.split()
-        if len(known) >= self.words_kept:
-            known.clear()
-        return b"".join(map(known.__getitem__, split))
+    def _word_ids(self, words: list[bytes]) -> list[bytes]:
+        if len(self.words) >= self.words_kept:
+            self.words, self.older = {}, self.words
+        out, known, older = [], self.words, self.older
+        for word in words:
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = older.get(word) or self.direct(word)
+            out.append(ids)
+        return out
+
+    def _from_words(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of chunks without special tokens: of each distinct word once, then gathered for all words."""
+        text = b" ".join(chunks)
+        data = np.frombuffer((text.lower() if self.folds else text) + b" " * 16, np.uint8)
+        inside = (~_SPACE[data]).view(np.int8)
+        edges = np.diff(inside, prepend=np.int8(0), append=np.int8(0))
+        start, stop = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        core = stop.copy()  # punctuation behind an ASCII letter or digit is a word of its own
+        for _ in range(4):
+            core -= _PUNCTUATION[data[core - 1]] & (core - 1 > start)
+        core = core[(core < stop) & _PLAIN[data[core - 1]]]
+        start, stop = np.sort(np.concatenate([start, core])), np.sort(np.concatenate([stop, core]))
+        length = stop - start
+        short = length <= 16
+        low, high = _packed(data, np.where(short, start, 0), np.where(short, length, 0))
+        mixed = (low ^ (low >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (high ^ (high >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        far = np.flatnonzero(~short)
+        mixed[far] = np.arange(len(far), dtype=np.uint64)  # long words are looked up one by one
+        order = np.argsort(mixed, kind="stable")
+        ranked = mixed[order]
+        same = (ranked[1:] == ranked[:-1]) & (low[order[1:]] == low[order[:-1]]) & (high[order[1:]] == high[order[:-1]])
+        same &= short[order[1:]] & short[order[:-1]]
+        first = np.concatenate([[True], ~same]) if len(order) else np.zeros(0, bool)
+        kind = np.empty(len(order), np.int64)
+        kind[order] = np.cumsum(first) - 1
+        lead = order[first]
+        raw = data.tobytes()
+        ids = self._word_ids([raw[a:b] for a, b in zip(start[lead].tolist(), stop[lead].tolist())])
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        count = np.array([len(i) // 4 for i in ids], np.int64)
+        offset = np.cumsum(count) - count
+        own = count[kind]
+        ends = np.cumsum(own)
+        total = int(ends[-1]) if len(ends) else 0
+        gathered = pool.take(np.arange(total) + np.repeat(offset[kind] - (ends - own), own)).tobytes()
+        bounds = np.cumsum([len(c) + 1 for c in chunks])
+        ends = np.concatenate([[0], ends])[np.searchsorted(start, bounds)]
+        begins = np.concatenate([[0], ends[:-1]])
+        return [gathered[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist())]
+
+    def _marked(self, data: bytes) -> bool:
+        """Whether there may be a special token, which is found in the text as it stands."""
+        folded = data.lower()
+        return any(m in folded for m in self.marks)
+
+    def _encode_chunks(self, chunks: list[bytes]) -> None:
+        """Puts the ids of all these distinct chunks in the cache."""
+        if self.by_word:
+            marked = [c for c in chunks if self._marked(c)]
+            plain = [c for c in chunks if not self._marked(c)] if marked else chunks
+            self.chunks.update(zip(plain, self._from_words(plain)) if plain else ())
+        else:
+            marked = chunks
+        self.chunks.update((c, self.direct(c)) for c in marked)
+
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        """Per text its ids as little-endian unsigned 32-bit integers."""
+        if len(self.chunks) >= self.chunks_kept:
+            self.chunks.clear()
+        pieces = []
+        for data in texts:
+            ends = cuts(data, self.mean)
+            pieces.append([data[a:b] for a, b in zip([0, *ends], ends)])
+        self._encode_chunks(list({c for own in pieces for c in own if c not in self.chunks}))
+        self._compare_joins(pieces)
+        return [self._put_together(own) for own in pieces]
 
     def encode(self, data: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
+        return self.encode_many([data])[0]
+
+    def _put_together(self, chunks: list[bytes]) -> bytes:
         out: list[bytes] = []
-        start, before = 0, b""
-        for end in cuts(data, self.mean):
-            chunk = data[start:end]
-            ids = self._chunk(chunk)
-            start = end
-            if before and not self._agrees(before, chunk):
+        before = b""
+        for chunk in chunks:
+            ids = self.chunks[chunk]
+            if before and not self.joins.get(_join_key(before, chunk), False):
                 repaired = self._joined(before, chunk, out[-1], ids)
                 if repaired is None:
                     before += chunk
@@ -122,23 +188,19 @@ class ChunkEncoder:
             before = chunk
         return b"".join(out)
 
-    def _agrees(self, left: bytes, right: bytes) -> bool:
-        """Whether the words beside a join give the same ids together as apart. Kept by the pair of words."""
-        tail = left[left.rfind(b" ", max(0, len(left) - 65), -1) + 1 or max(0, len(left) - 65) :]
-        stop = right.find(b" ", 1, 65)
-        head = right[: stop if stop > 0 else 65]
-        try:
-            key = tail + b"\0" + head
-            kept = self.joins.get(key)
-            if kept is None:
-                alone = self._by_words if self.by_word else self.direct
-                kept = self.direct(tail + head) == alone(tail) + alone(head)
-                if len(self.joins) >= self.words_kept // 16:
-                    self.joins.clear()
-                self.joins[key] = kept
-            return kept
-        except UnicodeDecodeError:  # the limit of 65 bytes cut a character
-            return False
+    def _compare_joins(self, pieces: list[list[bytes]]) -> None:
+        """Notes for every join whether the words beside it give the same ids together as apart."""
+        if len(self.joins) > 1 << 15:
+            self.joins.clear()
+        keys = {_join_key(a, b) for own in pieces for a, b in zip(own, own[1:])}
+        new = [k for k in keys if k not in self.joins]
+        sides = [k.split(b"\0") for k in new]
+        good = [len(s) == 2 and not (self.by_word and self._marked(s[0] + s[1])) for s in sides]
+        both = [self.direct(s[0] + s[1]) for s, ok in zip(sides, good) if ok]
+        parts = [w for s, ok in zip(sides, good) if ok for w in s]
+        alone = self._from_words(parts) if self.by_word else [self.direct(w) for w in parts]
+        agree = iter([b == x + y for b, x, y in zip(both, alone[::2], alone[1::2])])
+        self.joins.update((k, ok and next(agree)) for k, ok in zip(new, good))
 
     def _joined(self, left: bytes, right: bytes, left_ids: bytes, right_ids: bytes) -> tuple[bytes, bytes, int] | None:
         """The ids of two chunks with the join repaired, and how many bytes of the right one moved to the left one.
@@ -167,6 +229,16 @@ class ChunkEncoder:
         return self.lib.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False).encode()
 
 
+def _join_key(left: bytes, right: bytes) -> bytes:
+    """The last word of a chunk with the space behind it, and the first word of the next."""
+    words = left.rstrip()
+    last = words[-256:].rsplit(None, 1)[-1:] if len(words) < 256 or b" " in words[-256:] else [words]
+    return b"%s%s\0%s" % (last[0] if last else b"", left[len(words) :], _FIRST.match(right)[0])
+
+
+_FIRST = re.compile(rb"[ \t-\r]*[^ \t-\r]*")
+
+
 def _drops_space(spec: dict) -> bool:
     """Whether white space separates words and is part of no token, so that words can be encoded alone."""
     steps = spec.get("pre_tokenizer") or {}
