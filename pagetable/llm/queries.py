@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetable.llm import bpe, decontaminate, language, lines, quality, secrets, simhash, tokenfile, vectors
+from pagetable.llm import bpe, decontaminate, language, lines, quality, repeats, secrets, simhash, tokenfile, vectors
 from pagetable.llm.store import folder
 
 END_ID = 2
@@ -89,6 +89,11 @@ FROM keyed LEFT JOIN holder USING (key) GROUP BY doc_id
 """
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     evidence = quality.learn(docs, table(spark, sf_dir, "labels"))
@@ -142,6 +147,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
+    "op4_repeats": op4_repeats,
     "op5_quality": op5_quality,
     "op6_lines": op6_lines,
     "op7_secrets": op7_secrets,

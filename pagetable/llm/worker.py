@@ -39,7 +39,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b if b is not None else b"" for b in column.cast(kind).to_pylist()]
 
 
-def with_columns(batch: pa.RecordBatch, kept: list[str], **new) -> pa.RecordBatch:
+def with_columns(batch: pa.RecordBatch, kept: list[str], /, **new) -> pa.RecordBatch:
     names = [*kept, *new]
     return pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *new.values()], names=names)
 
