@@ -6,6 +6,7 @@ import math
 import sys
 from operator import eq
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -17,9 +18,11 @@ from pagetable.llm.worker import small, text_bytes
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_LABELLED = 20_000
-MAX_FEATURES = 5_000
-LEAST_Z = 5.0
-LEAST_WEIGHT = math.log(4)
+MAX_FEATURES = 4_000
+LEAST_Z = 4.0
+LEAST_ODDS = math.log(3)
+PENALTY = 1.0
+TURNS = 400
 HEADS = ["low", "toxic"]
 
 _BLANKED = bytes(b if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
@@ -28,21 +31,28 @@ _UPPER = bytes(range(65, 91))
 
 
 def features(data: bytes) -> set[bytes]:
-    """What a text shows: its words (ASCII case ignored), its punctuation marks, and binned shares of capital letters,
-    of marks, of words that repeat the one before, and of distinct words."""
+    """What a text shows: its words (ASCII case ignored) and how they begin, its punctuation marks, and how far it goes in shares of
+    capital letters, marks, words that repeat the one before and repeated words, and in the longest run of one word."""
     words = data.lower().translate(_BLANKED).split()
     found = set(words)
-    distinct = len(found)
+    repeated = len(words) - len(found)
+    found.update([b"^" + w[:n] for w in found for n in _PREFIXES if len(w) > n])
     found.update(b"#%c" % b for b in _MARKS.intersection(data))
     n, size = max(len(words), 1), max(len(data), 1)
     capitals = size - len(data.translate(None, _UPPER))
     marks = size - len(data.translate(None, bytes(_MARKS)))
-    repeats = sum(map(eq, words, words[1:]))
-    shares = ((b"capitals", capitals / size), (b"marks", marks / size), (b"repeats", repeats / n), (b"distinct", distinct / n))
-    found.update(b"#%s %d" % (name, min(int(share * 10), 9)) for name, share in shares)
+    like_last = bytes(map(eq, words, words[1:]))
+    run = max(map(len, like_last.split(b"\0")))
+    shares = ((b"capitals", capitals / size), (b"marks", marks / size), (b"doubled", sum(like_last) / n), (b"repeated", repeated / n))
+    found.update(b"#%s %d" % (name, step) for name, share in shares for step in _STEPS if share * 100 >= step)
+    found.update(b"#run %d" % step for step in (2, 3, 4, 6, 9) if run >= step)
     return found
 
 
+_PREFIXES = (4, 5, 7)
+_STEPS = (2, 5, 10, 20, 40, 60, 80)
+
+
 def _logit(p: Column) -> Column:
     return F.log(p) - F.log(1 - p)
 
@@ -52,10 +62,38 @@ def _sigmoid(x: Column) -> Column:
 
 
 class Evidence:
-    """Weights of features for each head, what a text without any of them weighs, and the heads' global rates."""
+    """Per head the weights of features, what every text weighs (`base`), and the global rate."""
+
+    def __init__(self, weights: dict[str, dict[bytes, float]], base: dict[str, float], rates: dict[str, float]):
+        self.weights, self.base, self.rates = weights, base, rates
 
-    def __init__(self, weights: dict[str, dict[bytes, float]], nothing: dict[str, float], rates: dict[str, float]):
-        self.weights, self.nothing, self.rates = weights, nothing, rates
+
+def fit(rows: list[list[int]], ones: np.ndarray, n_features: int, penalty: float = PENALTY, turns: int = TURNS) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression with an absolute-value penalty, by accelerated proximal steps.
+
+    The penalty leaves weight on the features that explain most documents: words that merely accompany them, as
+    those of a text with many copies do, get none.
+    """
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    column = np.fromiter((f for r in rows for f in r), np.int64, len(owner))
+    weights = ahead = np.zeros(n_features + 1)
+    # the gradient changes at most by this factor: power steps on the matrix
+    v = np.ones(n_features + 1)
+    for _ in range(20):
+        u = np.bincount(owner, v[column], len(rows)) + v[-1]
+        v = np.append(np.bincount(column, u[owner], n_features), u.sum())
+        norm = float(np.linalg.norm(v))
+        v /= norm
+    step, speed = 4 / (norm * 1.05), 1.0
+    for _ in range(turns):
+        odds = np.bincount(owner, ahead[column], len(rows)) + ahead[-1]
+        off = 1 / (1 + np.exp(-np.clip(odds, -30, 30))) - ones
+        moved = ahead - step * np.append(np.bincount(column, off[owner], n_features), off.sum())
+        moved[:-1] = np.sign(moved[:-1]) * np.maximum(np.abs(moved[:-1]) - step * penalty, 0)
+        faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
+        ahead = moved + (speed - 1) / faster * (moved - weights)
+        weights, speed = moved, faster
+    return weights[:-1], float(weights[-1])
 
 
 def learn(
@@ -65,9 +103,9 @@ def learn(
     """Learns what marks low quality (quality 0) and toxic texts (toxic 1).
 
     Fitted on at most `max_labelled` labelled documents, chosen by a hash of their id: a bounded sample, so it is
-    broadcast to find their texts. Features are counted by grouped aggregation; a feature counts for a head if its
-    shrunken log-odds are at least LEAST_WEIGHT and LEAST_Z standard errors. NULL labels are left out of a head;
-    of several labels of a document the worse counts.
+    broadcast to find their texts. Features are counted by grouped aggregation; those whose log-odds are at least
+    LEAST_ODDS and LEAST_Z standard errors, at most MAX_FEATURES, enter a logistic regression per head. NULL labels
+    are left out of a head; of several labels of a document the worse counts.
     """
     own = labels.groupBy(F.col(doc_id).alias("key")).agg(
         (F.min(quality) == 0).cast("int").alias("low"), (F.max(toxic) == 1).cast("int").alias("toxic")
@@ -86,38 +124,32 @@ def learn(
     totals = sample.agg(*[F.count(h).alias(h) for h in HEADS], *[F.sum(h).alias(f"{h}_1") for h in HEADS]).first()
     counted = sample.select(*HEADS, F.explode("shown").alias("f")).groupBy("f")
     counted = counted.agg(*[F.count(h).alias(h) for h in HEADS], *[F.coalesce(F.sum(h), F.lit(0)).alias(f"{h}_1") for h in HEADS])
-    weights, nothing, rates = {}, {}, {}
+    counted = stored(counted.where("low + toxic > 8"), "features")
+    weights, base, rates = {}, {}, {}
     for head in HEADS:
         n, ones = totals[head], totals[f"{head}_1"] or 0
         rates[head] = (ones + 0.5) / (n + 1) if ones else 1e-6
-        weights[head], nothing[head] = {}, 0.0
+        weights[head], base[head] = {}, 0.0
         if not ones or ones == n:
             continue
         a, b = F.col(f"{head}_1") + 0.5, F.col(head) - F.col(f"{head}_1") + 0.5
-        weight = F.log(a / (ones + 1)) - F.log(b / (n - ones + 1))
-        picked = counted.select("f", weight.alias("w"), (weight / F.sqrt(1 / a + 1 / b)).alias("z"))
-        picked = picked.where((F.col("w") >= LEAST_WEIGHT) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "f")
-        weights[head] = {bytes(r["f"]): r["w"] for r in picked.limit(MAX_FEATURES).collect()}
-    evidence = Evidence(weights, nothing, rates)
-
-    def bare(batches):
-        for batch in batches:
-            plain = [[not (w.keys() & set(shown)) for shown in batch.column(2).to_pylist()] for w in weights.values()]
-            columns = [batch.column(0), batch.column(1), *(pa.array(p) for p in plain)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*HEADS, *(f"{h}_bare" for h in HEADS)])
-
-    marked = sample.mapInArrow(bare, "low int, toxic int, low_bare boolean, toxic_bare boolean")
-    counts = marked.agg(
-        *[F.count(F.when(F.col(f"{h}_bare"), F.col(h))).alias(h) for h in HEADS],
-        *[F.sum(F.when(F.col(f"{h}_bare"), F.col(h))).alias(f"{h}_1") for h in HEADS],
-    ).first()
-    for head in HEADS:
-        n, ones = totals[head], totals[f"{head}_1"] or 0
-        if weights[head]:
-            bare_1 = counts[f"{head}_1"] or 0
-            bare_0 = counts[head] - bare_1
-            nothing[head] = math.log((bare_1 + 0.5) / (ones + 1)) - math.log((bare_0 + 0.5) / (n - ones + 1))
-    return evidence
+        odds = F.log(a / (ones + 1)) - F.log(b / (n - ones + 1))
+        picked = counted.select("f", odds.alias("w"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
+        picked = picked.where((F.col("w") >= LEAST_ODDS) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "f")
+        names = [bytes(r["f"]) for r in picked.limit(MAX_FEATURES).collect()]
+        place = {f: i for i, f in enumerate(names)}
+
+        def known(batches, head=head, place=place):
+            for batch in batches:
+                rows = [sorted(place[f] for f in shown if f in place) for shown in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["one", "rows"])
+
+        chosen = sample.where(F.col(head).isNotNull()).select(head, "shown").mapInArrow(known, "one int, rows array<int>").toArrow()
+        rows = chosen.column("rows").to_pylist()
+        weight, intercept = fit(rows, chosen.column("one").to_numpy().astype(float), len(names))
+        weights[head] = {f: float(w) for f, w in zip(names, weight) if w}
+        base[head] = intercept - math.log(rates[head] / (1 - rates[head]))
+    return Evidence(weights, base, rates)
 
 
 def _shrunk(sites: DataFrame, heads: list[str]) -> DataFrame:
@@ -158,7 +190,7 @@ def judge(
     equal results; a NULL doc_id stays; extra columns are ignored; an empty table gives an empty one. Without labels
     everything is kept.
     """
-    weights, nothing = evidence.weights, evidence.nothing
+    weights, base = evidence.weights, evidence.base
 
     def weigh(batches):
         for batch in small(batches):
@@ -167,7 +199,7 @@ def judge(
                 shown = features(data)
                 for head in HEADS:
                     own = weights[head].keys() & shown
-                    scores[head].append(min(sum(map(weights[head].__getitem__, own)), 30.0) if own else nothing[head])
+                    scores[head].append(min(base[head] + math.fsum(map(weights[head].__getitem__, own)), 30.0))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(scores[h], pa.float64()) for h in HEADS]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "host", "path", *HEADS])
 
