@@ -60,10 +60,18 @@ def script_capture(pattern: str, group: int = 1, dom="dom", chunks="chunks") ->
 
 def visible_text(dom="dom", chunks="chunks") -> Column:
     """Text a reader sees: no head, title, style or script; pieces trimmed and joined by one space."""
-    hidden = F.filter(_c(dom), lambda n: n["tag"].isin("head", "title", "style", "script", "meta"))
-    shown = F.filter(
-        _c(chunks), lambda t, i: ~F.exists(hidden, lambda h: (h["c0"] <= i) & (i < h["c1"]))
-    )
+    pieces, end = _c(chunks), F.struct(F.size(_c(chunks)).alias("c0"), F.lit(0).alias("c1"))
+    unseen = F.transform(F.filter(_c(dom), lambda n: n["unseen"]), lambda n: F.struct(n["c0"].alias("c0"), n["c1"].alias("c1")))
+
+    def between(gaps):
+        # the gaps are disjoint and in order: what lies between two of them is shown
+        def part(g, i):
+            start = F.coalesce(F.get(gaps, i - 1)["c1"], F.lit(0))
+            return F.slice(pieces, start + 1, F.greatest(g["c0"] - start, F.lit(0)))
+
+        return F.flatten(F.transform(gaps, part))
+
+    shown = F.get(F.transform(F.array(F.array_sort(F.concat(unseen, F.array(end)))), between), F.lit(0))
     trimmed = F.transform(shown, lambda t: F.btrim(t, F.lit(" \n")))
     return F.array_join(F.filter(trimmed, lambda t: t != ""), " ")
 

@@ -139,13 +139,14 @@ def _chain(steps, n: Column, dom: Column, lo) -> Column:
         return here & at(n["parent"])
     if comb == "+":
         return here & at(n["prev"])
-    if comb == " ":
-        return here & F.exists(n["anc"], at)
-    siblings = F.filter(
-        F.sequence(n["parent"] + 1, n["idx"]),
-        lambda i: (i < n["idx"]) & (F.get(dom, i)["parent"] == n["parent"]),
-    )
-    return here & F.exists(siblings, at)
+    link, count = ("parent", n["depth"]) if comb == " " else ("prev", n["nth"] - 1)
+
+    def further(way, _):
+        found = way["found"] | at(way["at"])
+        return F.struct(F.get(dom, way["at"])[link].alias("at"), found.alias("found"))
+
+    start = F.struct(n[link].alias("at"), F.lit(False).alias("found"))
+    return here & (count > 0) & F.aggregate(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), start, further)["found"]
 
 
 def _element_matches(css: str, n: Column, dom: Column, lo=None) -> Column:
@@ -162,10 +163,55 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once: inside a lambda a plain expression is computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _reached(flags: Column, dom: Column, link: str) -> Column:
+    """Per element whether its flag or one further along the link (parent or earlier sibling) is set, by doubling."""
+
+    def double(way, _):
+        s, to = way["s"], way["to"]
+        return F.struct(
+            F.transform(s, lambda x, i: x | F.coalesce(F.get(s, F.get(to, i)), F.lit(False))).alias("s"),
+            F.transform(to, lambda t: F.coalesce(F.get(to, t), F.lit(-1))).alias("to"),
+        )
+
+    start = F.struct(flags.alias("s"), F.transform(dom, lambda n: n[link]).alias("to"))
+    rounds = F.ceil(F.log2(F.size(dom) + 1)).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), start, double)["s"]
+
+
+def _flags(steps, dom: Column) -> Column:
+    """Per element whether it matches the chain: one pass over the page for each step."""
+    if len(steps) == 1:
+        return F.transform(dom, lambda n: F.coalesce(_compound(steps[0][1], n, dom, None), F.lit(False)))
+    comb, rest = steps[0][0], _flags(steps[1:], dom)
+    link = "parent" if comb in " >" else "prev"
+    if comb in " ~":
+        rest = _let(rest, lambda flags: _reached(flags, dom, link))
+
+    def step(flags):
+        def here(n):
+            return F.coalesce(F.get(flags, n[link]), F.lit(False)) & F.coalesce(_compound(steps[0][1], n, dom, None), F.lit(False))
+
+        return F.transform(dom, here)
+
+    return _let(rest, step)
+
+
 def select(css: str, dom="dom") -> Column:
-    """ARRAY of the page's elements that match, in document order."""
+    """ARRAY of the page's elements that match, in document order; time is linear in the page but for a logarithm."""
     d = _c(dom)
-    return F.filter(d, lambda n: _element_matches(css, n, d))
+    chains = [_steps(part) for part in _split_list(css)]
+    if not any(comb in (" ", "~") for steps in chains for comb, _ in steps if comb):
+        return F.filter(d, lambda n: _element_matches(css, n, d))
+    flags = [_flags(steps, d) for steps in chains]
+    either = flags[0]
+    for other in flags[1:]:
+        either = F.zip_with(either, other, lambda a, b: a | b)
+    return _let(either, lambda hit: F.filter(d, lambda n: F.get(hit, n["idx"])))
 
 
 def match_count(css: str, dom="dom") -> Column:

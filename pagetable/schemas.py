@@ -47,7 +47,7 @@ NODE = T.StructType(
     [
         T.StructField("idx", T.IntegerType()),
         T.StructField("parent", T.IntegerType()),
-        T.StructField("anc", T.ArrayType(T.IntegerType())),
+        T.StructField("depth", T.IntegerType()),
         T.StructField("prev", T.IntegerType()),
         T.StructField("nth", T.IntegerType()),
         T.StructField("sub_end", T.IntegerType()),
@@ -57,6 +57,8 @@ NODE = T.StructType(
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
         T.StructField("c0", T.IntegerType()),
         T.StructField("c1", T.IntegerType()),
+        # text not shown: script and style, and the outermost of head, title and meta
+        T.StructField("unseen", T.BooleanType()),
     ]
 )
 

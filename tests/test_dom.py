@@ -91,9 +91,12 @@ def test_scope_of_sub_selectors(one_page):
 
 
 def test_scripts_and_visible_text(one_page):
-    html = "<head><title>T</title><style>s{}</style></head><body>a <b> b </b><!-- c --><script>data: {x labels: [1,2],}</script><script>data: {labels: [3],</script></body>"
+    html = (
+        "<head><title>T</title><style>s{}</style></head><body>a <b> b </b><!-- c -->"
+        "<script>chart({ticks: 'x', rows: [1,2], end: 1})</script><script>chart({rows: [3]})</script></body>"
+    )
     d = parse_dom(one_page(("u", html)))
-    got = d.select(script_capture(r"data: {.*labels: \[([^\]]*)\],"), script_capture(r"^nope(x)"), visible_text()).first()
+    got = d.select(script_capture(r"chart\(.*rows: \[([^\]]*)\], end"), script_capture(r"^nope(x)"), visible_text()).first()
     assert tuple(got) == ("1,2", None, "a b")
 
 
@@ -116,6 +119,66 @@ def test_hostile_sources_stay_linear(one_page):
     import time
 
     start = time.time()
-    sizes = one_page(("u", "<a" * 400_000), ("v", "<b>" * 20_000 + "x"), ("w", "<p '" * 100_000 + ">")).transform(parse_dom)
-    got = sizes.select("url", F.size("dom"), F.array_max(F.transform("dom", lambda n: F.size(n["anc"])))).collect()
-    assert {r[0]: r[2] for r in got}["v"] == 256 and time.time() - start < 60
+    pages = [
+        "<a" * 400_000, "<b>" * 20_000 + "x", "<p '" * 100_000 + ">", "<div>" * 20_000 + "<p>" * 20_000 + "</i>" * 20_000,
+        '<a ">"' * 50_001 + "<b>y</b>", "<div><td>" + "<b>" * 20_000 + "</div>" * 20_000, "<script>a</script" * 20_000,
+    ]
+    parsed = one_page(*[(str(i), h) for i, h in enumerate(pages)]).transform(parse_dom)
+    got = parsed.select("url", F.coalesce(F.array_max(F.transform("dom", lambda n: n["depth"])), F.lit(-1))).collect()
+    depths = {r[0]: r[1] for r in got}
+    assert depths["1"] == 19_999 and depths["3"] == 20_000 and depths["5"] == 20_001
+    assert time.time() - start < 60
+
+
+@pytest.mark.parametrize("n", [1, 100, 255, 256, 300, 1000])
+def test_deep_nesting_keeps_its_place(one_page, n):
+    html = "<body><div id=outer>" + "<div>" * n + "in" + "</div>" * n + "<p>y</p></div><p>z</p></body>"
+    d = parse_dom(one_page(("u", html)))
+    parent = lambda m: F.get("dom", m["parent"])
+    got = d.select(
+        F.transform(select("#outer p"), lambda m: text_of(m)),
+        F.transform(select("p"), lambda m: parent(m)["tag"]),
+        match_count("#outer div"),
+        text_of(find_first(F.get(select("body"), F.lit(0)), "#outer div p ~ p, #outer > p")),
+    ).first()
+    assert tuple(got) == (["y"], ["div", "body"], n, "y")
+
+
+@pytest.mark.parametrize("n", [0, 40, 60, 5000])
+def test_loose_tails_mean_the_same_at_every_length(one_page, n):
+    loose = "a<b " * n
+    pages = one_page(("comment", f"<p>x</p><!-- {loose}"), ("script", f"<script>if(a<b){loose}"), ("text", f"<p>x</p>{loose}"))
+    d = pages.transform(parse_dom).select("url", visible_text(), script_capture("(.*)"))
+    got = {r[0]: (r[1], r[2]) for r in d.collect()}
+    assert got["comment"] == ("x", None)
+    assert got["script"] == ("", f"if(a<b){loose}")
+    assert got["text"][0].replace(" ", "") == ("x" + loose).replace(" ", "")
+
+
+def test_quotes_without_a_partner(one_page):
+    html = "<a title='x>one</a><b class=\"k\">two</b><i data-q=\"a>b\" id=z>three</i>"
+    d = parse_dom(one_page(("u", html)))
+    assert d.select(F.transform("dom", lambda n: n["tag"]), match_count("b.k"), match_count("#z")).first()[:] == (["a", "b", "i"], 1, 1)
+
+
+def test_wide_pages_stay_linear(one_page):
+    """Four times the siblings or scripts take about four times as long."""
+    import time
+
+    def spent(html, column):
+        d = parse_dom(one_page(("u", html))).cache()
+        d.count()
+        best = 1e9
+        for _ in range(2):
+            start = time.time()
+            d.select(column).collect()
+            best = min(best, time.time() - start)
+        return best
+
+    for make, column in [
+        (lambda n: "<p>x</p>" * n, match_count("p ~ p")),
+        (lambda n: "<script>x</script>t" * n, visible_text()),
+        (lambda n: "<div><p>x</p>" * n, match_count("div p")),
+    ]:
+        spent(make(500), column)
+        assert spent(make(16_000), column) < 5 * spent(make(4_000), column) + 1
