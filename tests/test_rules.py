@@ -22,32 +22,32 @@ def records(pages, library, **options):
     return sorted((tuple(r) for r in out.drop("dateaccessed").collect()), key=str)
 
 
-PRODUCT = lib(
+PLANTS = lib(
     [
-        {"ruleName": "bookTitle", "ruleURLActivationCondition": [r"shop\.example/(?!catalogue/category).*$"], "ruleCSSSelector": "h1", **TEXT},
-        {"ruleName": "bookPrice", "ruleURLActivationCondition": [r"shop\.example/(?!catalogue/category).*$"],
-         "ruleCSSSelector": ".product_main .price_color", **TEXT, "ruleRemoveChars": ["£"]},
+        {"ruleName": "plant", "ruleURLActivationCondition": [r"garden\.example/(?!shelf/)\w+"], "ruleCSSSelector": "h2.name", **TEXT},
+        {"ruleName": "cost", "ruleURLActivationCondition": [r"garden\.example/(?!shelf/)\w+"],
+         "ruleCSSSelector": ".offer > .cost", **TEXT, "ruleRemoveChars": ["$"]},
     ],
-    ["bookTitle", "bookPrice"],
+    ["plant", "cost"],
 )
 
 
-def test_product_page(one_page):
-    html = "<h1> The  Book </h1><div class='product_main big'><p class=price_color>£51.77</p></div><p class=price_color>£1</p>"
-    pages = one_page(("http://shop.example/catalogue/x", html), ("http://shop.example/catalogue/category/x", html), ("http://shop.example/e", "<p>"))
-    out = extract(pages, PRODUCT, AT)
-    assert out.columns == ["dateaccessed", "url", "bookTitle", "bookPrice"]
-    assert records(pages, PRODUCT) == [
-        ("http://shop.example/catalogue/x", "The Book", "51.77"),
-        ("http://shop.example/e", "", ""),  # all empty, but present: kept without constraints
+def test_detail_page(one_page):
+    html = "<h2 class=name> Blue  Thistle </h2><div class='wide offer'><p class=cost>$4.20</p></div><p class=cost>$9</p>"
+    pages = one_page(("http://garden.example/thistle", html), ("http://garden.example/shelf/thistle", html), ("http://garden.example/e", "<p>"))
+    out = extract(pages, PLANTS, AT)
+    assert out.columns == ["dateaccessed", "url", "plant", "cost"]
+    assert records(pages, PLANTS) == [
+        ("http://garden.example/e", "", ""),  # all empty, but present: kept without constraints
+        ("http://garden.example/thistle", "Blue Thistle", "4.20"),
     ]
     assert csv_view(out).first()["dateaccessed"] == "06/05/2024 07:08:09"
 
 
 CONDITIONS = [
-    {"ecName": "p1", "ecCSSSelector": "#firstHeading"},
-    {"ecName": "p10", "ecCSSSelector": "#cats", "ecTextCondition": "(?i)roman"},
-    {"ecName": "p2", "ecCSSSelector": "#cats", "ecTextCondition": "emperors?$"},
+    {"ecName": "c1", "ecCSSSelector": "#lead"},
+    {"ecName": "c10", "ecCSSSelector": "#kinds", "ecTextCondition": "(?i)alpine"},
+    {"ecName": "c2", "ecCSSSelector": "#kinds", "ecTextCondition": "herbs?$"},
 ]
 
 
@@ -56,20 +56,20 @@ CONDITIONS = [
     [
         ("ANY", "", {"h", "r", "hre"}),
         ("all", "", {"hre"}),
-        ("Eval", "p1 and not p10", {"h"}),
-        ("EVAL", "(P10 OR p2) AND (not p1)", {"r"}),
-        ("EVAL", "p1 and (p10 and p2)", {"hre"}),
-        ("EVAL", "p1 and unknown", set()),
-        ("EVAL", "p1 and", set()),
-        ("EVAL", "p1 p2", set()),
-        ("EVAL", "((p1)", set()),
+        ("Eval", "c1 and not c10", {"h"}),
+        ("EVAL", "(C10 OR c2) AND (not c1)", {"r"}),
+        ("EVAL", "c1 and (c10 and c2)", {"hre"}),
+        ("EVAL", "c1 and unknown", set()),
+        ("EVAL", "c1 and", set()),
+        ("EVAL", "c1 c2", set()),
+        ("EVAL", "((c1)", set()),
         ("EVAL", "__import__('os')", set()),
         ("other", "", set()),
     ],
 )
 def test_precondition_modes(one_page, mode, expr, kept):
-    head, cats = "<h1 id=firstHeading>T</h1>", "<div id=cats>%s</div><div id=cats>roman</div>"
-    pages = one_page(("h", head), ("r", cats % "Roman x"), ("hre", head + cats % "Roman emperor"), ("-", "<p>x</p>"))
+    head, kinds = "<h1 id=lead>T</h1>", "<div id=kinds>%s</div><div id=kinds>alpine</div>"
+    pages = one_page(("h", head), ("r", kinds % "Alpine x"), ("hre", head + kinds % "Alpine herb"), ("-", "<p>x</p>"))
     library = lib([{"ruleName": "v", "rulePreconditionType": mode, "rulePreconditionExpression": expr, "rulePreconditions": CONDITIONS, "ruleCSSSelector": "*", **TEXT, "ruleReturnedMatchPos": 0}])
     got = {r["url"]: r["v"] for r in apply_library(pages, library).collect()}
     assert {u for u, v in got.items() if v != ""} == kept
@@ -78,55 +78,55 @@ def test_precondition_modes(one_page, mode, expr, kept):
 
 def test_eval_without_expression_skips_the_rule(one_page):
     library = lib([{"ruleName": "v", "rulePreconditionType": "EVAL", "rulePreconditions": CONDITIONS, "ruleCSSSelector": "h1", **TEXT}])
-    assert apply_library(one_page(("u", "<h1 id=firstHeading>T</h1>")), library).first()["v"] is None
+    assert apply_library(one_page(("u", "<h1 id=lead>T</h1>")), library).first()["v"] is None
 
 
 def test_selector_override(one_page):
-    rows = "".join(f"<tr><th class=label>{{{i}}}</th><td class=agent>a{i}</td></tr>" for i in range(4))
+    rows = "".join(f"<tr><th class=job>{{{i}}}</th><td class=who>a{i}</td></tr>" for i in range(4))
     rule = {
-        "ruleName": "manager", "rulePreconditionType": "ANY", "ruleCSSSelector": "h1", **TEXT,
+        "ruleName": "keeper", "rulePreconditionType": "ANY", "ruleCSSSelector": "h1", **TEXT,
         "rulePreconditions": [
-            {"ecCSSSelector": f"tr:nth-child({i}) .label", "ecTextCondition": "^Manager$", "ecRuleCSSSelector": f"tr:nth-child({i}) .agent"}
+            {"ecCSSSelector": f"tr:nth-child({i}) .job", "ecTextCondition": "^Keeper$", "ecRuleCSSSelector": f"tr:nth-child({i}) .who"}
             for i in (1, 2, 3)
         ] + [{"ecCSSSelector": "h1"}],
     }
-    team = "<h1>Team</h1><table>" + rows + "</table>"
-    pages = one_page(("a", team.format("x", "Manager", "Manager", "")), ("b", team.format("", "", "Manager", "")), ("c", team.format(*"abcd")), ("d", "<h2>"))
-    got = {r["url"]: r["manager"] for r in apply_library(pages, lib([rule])).collect()}
-    assert got == {"a": "a1", "b": "a2", "c": "Team", "d": ""}
+    zoo = "<h1>Zoo</h1><table>" + rows + "</table>"
+    pages = one_page(("a", zoo.format("x", "Keeper", "Keeper", "")), ("b", zoo.format("", "", "Keeper", "")), ("c", zoo.format(*"abcd")), ("d", "<h2>"))
+    got = {r["url"]: r["keeper"] for r in apply_library(pages, lib([rule])).collect()}
+    assert got == {"a": "a1", "b": "a2", "c": "Zoo", "d": ""}
 
 
-WINNERS = lib(
+ROWERS = lib(
     [
-        {"ruleName": "winners", "ruleCSSSelector": "h3 + table.plain tr", **TEXT, "ruleReturnsMore": True,
-         "ruleMatchPreconditions": [{"ecCSSSelector": "td:nth-child(2)", "ecTextCondition": r"^([4-9]|\d{2,})$"}],
-         "rulePostCSSSelector": ["th", "td:nth-child(2)", "td:nth-child(3)"], "ruleReturnedValueNames": ["name", "won", "lost", "more"],
+        {"ruleName": "rowers", "ruleCSSSelector": "h3 + table.plain tr", **TEXT, "ruleReturnsMore": True,
+         "ruleMatchPreconditions": [{"ecCSSSelector": "td:nth-child(2)", "ecTextCondition": r"^(1\d|[45])$"}],
+         "rulePostCSSSelector": ["th", "td:nth-child(2)", "td:nth-child(3)"], "ruleReturnedValueNames": ["rower", "races", "sunk", "more"],
          "ruleRemoveChars": ["[", "]†"]},
         {"ruleName": "title", "ruleCSSSelector": "h1", **TEXT},
     ],
-    ["name", "won", "lost", "title"],
+    ["rower", "races", "sunk", "title"],
     minimum=0.8,
 )
 
 
-def winners_page(rows):
+def rowers_page(rows):
     body = "".join(f"<tr><th>{n}<td>{w}" + (f"<td>{l}" if l is not None else "") for n, w, l in rows)
     return f"<h1>Cup</h1><h3>x</h3><table class='wide plain'><tr><th>name<th>w<th>l{body}</table><table class=plain><tr><th>no<td>9</table>"
 
 
 def test_record_list_with_match_filter(one_page):
-    page = winners_page([("A[1]", 12, 1), ("B†", 3, 0), ("C†", 4, None), ("D", 5, "")])
+    page = rowers_page([("A[1]", 12, 1), ("B†", 3, 0), ("C†", 4, None), ("D", 5, "")])
     # C and D have two of three fields: 0.67 < 0.8
-    assert records(one_page(("u", page)), WINNERS) == [("u", "A1", "12", "1", None)]
-    assert records(one_page(("u", page)), WINNERS, gate=False) == [
+    assert records(one_page(("u", page)), ROWERS) == [("u", "A1", "12", "1", None)]
+    assert records(one_page(("u", page)), ROWERS, gate=False) == [
         ("u", "A1", "12", "1", None), ("u", "C", "4", "", None), ("u", "D", "5", "", None),
     ]
-    assert records(one_page(("u", page)), WINNERS, attach_scalars=True)[0][-1] == "Cup"
+    assert records(one_page(("u", page)), ROWERS, attach_scalars=True)[0][-1] == "Cup"
 
 
 def test_empty_record_list_falls_back_to_the_record(one_page):
     # title is the only present field of the page record
-    assert records(one_page(("u", "<h1>Cup</h1>")), WINNERS) == [("u", None, None, None, "Cup")]
+    assert records(one_page(("u", "<h1>Cup</h1>")), ROWERS) == [("u", None, None, None, "Cup")]
 
 
 def test_match_replacement_with_attribute(one_page):
@@ -161,15 +161,15 @@ def test_missing_replacement_in_other_shapes(one_page):
 
 def test_script_target(one_page):
     rules = [
-        {"ruleName": "labels", "ruleTarget": "js", "ruleContentCondition": r"data: {.*labels: \[([^\]]*)\],"},
-        {"ruleName": "data", "ruleTarget": "js", "ruleContentCondition": r"datasets:.*data: \[([^\]]*)\],"},
+        {"ruleName": "ticks", "ruleTarget": "js", "ruleContentCondition": r"axis\(.*ticks=\[([^\]]*)\]"},
+        {"ruleName": "rows", "ruleTarget": "js", "ruleContentCondition": r"axis\(.*rows=\[([^\]]*)\]"},
         {"ruleName": "none", "ruleTarget": "js", "ruleContentCondition": r"zzz(.)"},
-        {"ruleName": "nogroup", "ruleTarget": "js", "ruleContentCondition": r"data"},
+        {"ruleName": "nogroup", "ruleTarget": "js", "ruleContentCondition": r"axis"},
         {"ruleName": "other", "ruleTarget": "js", "ruleContentCondition": r"x", "rulePreconditions": [{"ecCSSSelector": "script", "ecRuleCSSSelector": r"^v=(\d)"}]},
     ]
-    html = "<script>var a = '</p>';\nv=7</script><p>v=8</p><script>data: { labels: ['a','b'], datasets: [{ data: [1,2], }]}</script>"
+    html = "<script>var a = '</p>';\nv=7</script><p>v=8</p><script>axis(ticks=['a','b'], rows=[1,2])</script>"
     row = apply_library(one_page(("u", html)), lib(rules)).first()
-    assert (row["labels"], row["data"], row["none"], row["nogroup"], row["other"]) == ("'a','b'", "1,2", None, None, "7")
+    assert (row["ticks"], row["rows"], row["none"], row["nogroup"], row["other"]) == ("'a','b'", "1,2", None, None, "7")
 
 
 def test_mixed_detail_and_listing(one_page):
@@ -255,16 +255,16 @@ def test_two_record_lists(one_page):
 
 
 def test_preview_and_single_rule(one_page):
-    pages = one_page(("u", winners_page([("A", 12, 1)])))
-    rows = preview(pages, WINNERS).orderBy("rule", "pos").collect()
+    pages = one_page(("u", rowers_page([("A", 12, 1)])))
+    rows = preview(pages, ROWERS).orderBy("rule", "pos").collect()
     assert [(r["rule"], r["kind"], r["pos"], r["value"]) for r in rows] == [
-        ("title", "scalar", 0, "Cup"), ("winners", "records", 0, '{"name":"A","won":"12","lost":"1"}'),
+        ("rowers", "records", 0, '{"rower":"A","races":"12","sunk":"1"}'), ("title", "scalar", 0, "Cup"),
     ]
-    assert preview(pages, WINNERS, "title").count() == 1
-    assert apply_rule(pages, WINNERS, "title").columns == ["page_id", "url", "title"]
+    assert preview(pages, ROWERS, "title").count() == 1
+    assert apply_rule(pages, ROWERS, "title").columns == ["page_id", "url", "title"]
     with pytest.raises(KeyError):
-        apply_rule(pages, WINNERS, "none")
-    more = WINNERS.with_rule({"ruleName": "h3", "ruleCSSSelector": "h3", **TEXT})
+        apply_rule(pages, ROWERS, "none")
+    more = ROWERS.with_rule({"ruleName": "h3", "ruleCSSSelector": "h3", **TEXT})
     assert apply_rule(pages, more, "h3").first()["h3"] == "x"
 
 

@@ -200,36 +200,25 @@ def test_refresh(spark):
 # --- files -------------------------------------------------------------------------------------
 
 RELAXED = r"""
-# a library in the relaxed form
-{
-"libraryDescription": "Books # and more",   # trailing
-"renderPages":False,
-"csvLineFormat":["title", "links"],
-"library": [
-# first
-{
- "ruleName": "title"
- "ruleURLActivationCondition": ["books\.example/(?!cat\/x).*\d$", "a\\b"]
- "ruleCSSSelector": "#first h1"
- "ruleTargetAttribute": "text"
- "ruleReturnsMore": False
- "ruleRemoveChars": ["£", "\""],
-}
+{ # a library in the relaxed form
+  "allowedMinimumFilled": 0.8
+  "library": [ {
+      "ruleRemoveChars": ["$", "\""]
+      "ruleCSSSelector": "#first h1", "ruleTargetAttribute": "text",
+      "ruleURLActivationCondition": ["garden\.example/(?!old\/z).*[a-f]$", "a\\b"]
+      "ruleReturnsMore": False
+      "ruleName": "title",
+    }
 
-{
-"ruleName": "links",
-"rulePreconditions": [
-   {
-     "ecCSSSelector" : "a"
-     "ecTextCondition" : "([4-9]|\d{2,})",
-   }
-],
-"ruleReturnsMore": True,
-"ruleReturnedMatchPos": 2
-# "ruleTarget": "js"
-}
-]
-"allowedMinimumFilled": 0.8
+    # second
+    { "ruleReturnedMatchPos": 2 # "ruleTarget": "js"
+      "ruleName": "links", "ruleReturnsMore": True
+      "rulePreconditions": [
+        { "ecTextCondition" : "(x{2,}|[q-s])",
+          "ecCSSSelector" : "a" } ]
+    } ]
+  "renderPages":False,
+  "csvLineFormat":["title", "links"], "libraryDescription": "Plants # and more"   # trailing
 }
 """
 
@@ -240,11 +229,11 @@ def test_library_files(spark, tmp_path):
     (tmp_path / "c.rules").write_text("not a library")
     lib = load_library(spark, str(tmp_path / "a.rules"))
     title, links = lib.rules
-    assert lib.descr == "Books # and more" and lib.csv_cols == ("title", "links") and lib.min_filled == 0.8 and lib.required == ()
-    assert title.url_patterns == (r"books\.example/(?!cat\/x).*\d$", r"a\b") and title.css == "#first h1"
-    assert title.remove == ("£", '"') and title.match_pos == -1 and not title.returns_more and title.pre_type == "ANY"
-    assert links.pre[0].regex == r"([4-9]|\d{2,})" and links.returns_more and links.match_pos == 2 and links.target == "html"
-    assert rows(library_catalog(spark, str(tmp_path)), "file_name") == [("a.rules", "Books # and more", 2), ("b.json", "plain", 1)]
+    assert lib.descr == "Plants # and more" and lib.csv_cols == ("title", "links") and lib.min_filled == 0.8 and lib.required == ()
+    assert title.url_patterns == (r"garden\.example/(?!old\/z).*[a-f]$", r"a\b") and title.css == "#first h1"
+    assert title.remove == ("$", '"') and title.match_pos == -1 and not title.returns_more and title.pre_type == "ANY"
+    assert links.pre[0].regex == r"(x{2,}|[q-s])" and links.returns_more and links.match_pos == 2 and links.target == "html"
+    assert rows(library_catalog(spark, str(tmp_path)), "file_name") == [("a.rules", "Plants # and more", 2), ("b.json", "plain", 1)]
     rules = load_rules(spark, str(tmp_path))
     assert [(r["rule_pos"], r["rule_name"], r["match_pos"]) for r in rules.orderBy("lib", "rule_pos").collect()] == [(0, "title", -1), (1, "links", 2), (0, "x", -1)]
     told = describe_library(rules).orderBy("lib", "rule_pos").collect()
