@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from checks.tables import AD, FOOTER, H1, HREFS, LINKS_SQL, N_LINKS, N_P, TRACK, flat, parsed, unescaped
-from pagetable.operators.dom import attr_of, script_capture, text_of, visible_text
+from checks.tables import AD, FOOTER, H1, HREFS, LINKS_SQL, N_LINKS, N_P, TRACK, flat, pages, parsed, unescaped
+from pagetable.operators.dom import attr_of, parse_dom, script_capture, text_of, visible_text
 from pagetable.operators.selectors import containing, find_first, match_count, matches_frame, nodes_frame, select
 
 TAGS = ["a", "article", "b", "body", "br", "div", "footer", "h1", "head", "html", "li", "meta", "nav", "p", "script", "style", "title", "ul"]
@@ -85,6 +85,36 @@ VISIBLE_SQL = rf"""SELECT page_id, array_to_string([t FOR t IN [{flat(unescaped(
     '<[^>]*>', chr(1), 'g'), chr(1))] IF t <> ''], ' ') AS text FROM pages"""
 
 
+def _rewritten(spark, sf, html):
+    source = pages(spark, sf).select("page_id", html.alias("html"))
+    return parse_dom(source)
+
+
+def deep_nesting(spark, sf):
+    """Every page inside 600 more elements, with a paragraph behind them."""
+    n = 600
+    whole = F.concat(F.lit('<section id="outer">' + "<div>" * n), "html", F.lit("</div>" * n + "<p>behind</p></section>"))
+    d = _rewritten(spark, sf, whole)
+    return d.select(
+        "page_id",
+        text_of(F.get(select("#outer div article h1"), F.lit(0))).alias("title"),
+        match_count("#outer > p").cast("long").alias("behind"),
+        match_count("#outer p").cast("long").alias("inside"),
+    )
+
+
+def loose_tail(spark, sf):
+    """Every page with an unclosed comment of hundreds of < behind it."""
+    d = _rewritten(spark, sf, F.concat("html", F.lit("<!-- " + "a<b " * 300)))
+    return d.select("page_id", visible_text().alias("text"), script_capture(r"track\((\d+)\)").alias("track"))
+
+
+def by_id(spark, sf):
+    """The link list, once marked with an id."""
+    d = _rewritten(spark, sf, F.expr("replace(html, '<ul>', '<ul id=\"list\">')"))
+    return d.select("page_id", match_count("#list > li > a").cast("long").alias("n"))
+
+
 def holder(spark, sf):
     item = containing("li", "a")
     none = containing("nav", "h1")
@@ -139,6 +169,12 @@ QUERIES = {
         f"SELECT sum({N_LINKS})::BIGINT AS links, sum({N_P})::BIGINT AS paragraphs FROM pages",
     ),
     "visible_text": (text_shown, VISIBLE_SQL),
+    "dom_deep_nesting": (
+        deep_nesting,
+        f"SELECT page_id, {H1} AS title, 1 AS behind, {N_P} + 1 AS inside FROM pages",
+    ),
+    "dom_loose_tail": (loose_tail, f"SELECT page_id, text, {TRACK} AS track FROM ({VISIBLE_SQL}) JOIN pages USING (page_id)"),
+    "select_id": (by_id, f"SELECT page_id, {N_LINKS} AS n FROM pages"),
     "element_containing": (
         holder,
         f"SELECT page_id, substr({unescaped(HREFS + '[1]')}, 2) AS item, 1 AS nth, true AS none FROM pages",

@@ -4,14 +4,14 @@ from pyspark.sql import functions as F
 
 from checks.rules import FLAGSHIP_SQL
 from checks.tables import (
-    AT, CANON_URL, FLAGSHIP, H1, RUN_LOG_SQL, TRACK, WALK_SQL, library, linked_pages, pages, run_log, seed,
+    AT, FLAGSHIP, H1, PLACES_SQL, RUN_LOG_SQL, TRACK, WALK_SQL, library, linked_pages, pages, run_log, seed,
 )
 from pagetable import crawl, resume, stream_extract, stream_pages
 from pagetable.functions.values import content_hash
 from pagetable.operators import runlog as rl
 from pagetable.operators.frontier import pending
 from pagetable.plans.checkpoints import new_folder
-from pagetable.sources.tables import csv_view
+from pagetable.sources.tables import csv_view, read_frontier, write_frontier
 from pagetable.streaming.pages import current_frontier, save_stream, stream_dedup, stream_first_seen, stream_frontier, stream_progress
 
 L = f"WITH {RUN_LOG_SQL}"
@@ -116,10 +116,12 @@ NEXT_LINKS = library(
 
 def crawled(spark, sf):
     out = crawl(linked_pages(spark, sf), NEXT_LINKS, seed(spark, sf), accessed_at=AT).frontier
-    return out.select("url", F.col("depth").cast("long").alias("depth"), F.col("status").cast("long").alias("status"))
+    return out.select(
+        "url", "seq", F.col("depth").cast("long").alias("depth"), "discovered_from", F.col("status").cast("long").alias("status")
+    )
 
 
-CRAWLED_SQL = f"WITH RECURSIVE {WALK_SQL} SELECT url, depth, 200 AS status FROM reached JOIN keyed ON page_id = id"
+CRAWLED_SQL = f"WITH RECURSIVE {PLACES_SQL} SELECT url, seq, depth::BIGINT AS depth, discovered_from, 200 AS status FROM queued"
 
 
 def crawled_records(spark, sf):
@@ -131,11 +133,19 @@ CRAWLED_RECORDS_SQL = f"""WITH RECURSIVE {WALK_SQL} SELECT '01/01/2024 00:00:00'
 
 
 def crawl_resumed(spark, sf):
-    """Stopped after 15 pages, then continued: nothing is lost or repeated."""
+    """Stopped after 15 pages, saved, read back and continued for 20 more: the queue keeps its order."""
     corpus, start = linked_pages(spark, sf), seed(spark, sf)
     part = crawl(corpus, NEXT_LINKS, start, max_pages=15, accessed_at=AT)
-    whole = resume(corpus, NEXT_LINKS, part.frontier, part.records, accessed_at=AT)
-    return whole.frontier.select("url", F.col("status").cast("long").alias("status"))
+    path = new_folder(spark, "saved")
+    write_frontier(part.frontier, path)
+    whole = resume(corpus, NEXT_LINKS, read_frontier(spark, path), part.records, max_pages=20, accessed_at=AT)
+    return whole.frontier.select("url", "seq", F.col("status").cast("long").alias("status"))
+
+
+def _after(n):
+    """The queue after n pages, in its order."""
+    return f"""WITH RECURSIVE {PLACES_SQL} SELECT url, seq, CASE WHEN seq < {n} THEN 200 ELSE -1 END AS status, discovered_from
+  FROM queued WHERE coalesce(source_seq, 0) < {n}"""
 
 
 def crawl_depth_first(spark, sf):
@@ -226,9 +236,9 @@ QUERIES = {
     "run_progress": (progress, PROGRESS_SQL),
     "crawl_frontier": (crawled, CRAWLED_SQL),
     "crawl_records": (crawled_records, CRAWLED_RECORDS_SQL),
-    "crawl_resume": (crawl_resumed, f"WITH RECURSIVE {WALK_SQL} SELECT url, 200 AS status FROM reached JOIN keyed ON page_id = id"),
+    "crawl_resume": (crawl_resumed, f"SELECT url, seq, status FROM ({_after(35)})"),
     "crawl_depth_first": (crawl_depth_first, f"WITH RECURSIVE {WALK_SQL} SELECT url, 200 AS status FROM reached JOIN keyed ON page_id = id"),
-    "crawl_pending": (crawl_pending, None),
+    "crawl_pending": (crawl_pending, f"SELECT url, discovered_from FROM ({_after(15)}) WHERE status = -1"),
     "stream_extract": (streamed, FLAGSHIP_SQL),
     "stream_dedup": (streamed_dedup, "SELECT DISTINCT sha256(text) AS hash FROM documents"),
     "stream_first_seen": (streamed_first, "SELECT min(doc_id) AS doc_id, sha256(text) AS hash FROM documents GROUP BY 2"),

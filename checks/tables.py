@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,14 @@ from pagetable.operators.dom import parse_dom
 AT = "2024-01-01 00:00:00"
 
 
+def work_folder(spark: SparkSession) -> None:
+    """A folder for intermediate tables where the session names none, as in a local run."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagetable-"))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pages(spark, f"{sf_dir}/pages.parquet")
 
@@ -206,3 +216,15 @@ walk(id, depth) AS (SELECT 0::BIGINT, 0
   UNION SELECT k.first, w.depth + 1 FROM walk w
     JOIN keyed k ON k.page_id IN ((7 * w.id + 1) % k.n, (3 * w.id + 2) % k.n) WHERE w.depth < 30),
 reached AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"""
+# the same walk with the place of every page in the queue: level by level, by the place of its source, then of its link
+PLACES_SQL = f"""keyed AS (SELECT page_id, {CANON_URL} AS url, html, count(*) OVER () AS n,
+  min(page_id) OVER (PARTITION BY {CANON_URL}) AS first FROM pages),
+walk(id, depth, path, source) USING KEY (id) AS (SELECT 0::BIGINT, 0, []::INTEGER[], NULL::BIGINT
+  UNION SELECT id, min(depth), min(path), arg_min(source, path) FROM (
+    SELECT k.first AS id, w.depth + 1 AS depth, list_append(w.path, e.pos) AS path, w.id AS source
+    FROM walk w, keyed k, (VALUES (0), (1)) e(pos)
+    WHERE k.page_id = CASE e.pos WHEN 0 THEN (7 * w.id + 1) % k.n ELSE (3 * w.id + 2) % k.n END) c
+  WHERE id NOT IN (SELECT id FROM recurring.walk) GROUP BY id),
+placed AS (SELECT w.id, w.depth, w.source, k.url, row_number() OVER (ORDER BY w.depth, w.path) - 1 AS seq
+  FROM walk w JOIN keyed k ON k.page_id = w.id),
+queued AS (SELECT p.*, s.url AS discovered_from, s.seq AS source_seq FROM placed p LEFT JOIN placed s ON s.id = p.source)"""

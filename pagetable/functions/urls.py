@@ -157,21 +157,20 @@ def url_to_plain_name(root: str, prefix: str, url) -> Column:
 def registered_domain(urls: DataFrame, suffixes: DataFrame, url: str = "url") -> DataFrame:
     """Adds `domain`: the longest public suffix of the host plus one label.
 
-    `suffixes` has one column `suffix`. Each host is expanded to its tails (as many as it
-    has labels), which join the suffix list by equality.
+    `suffixes` has one column `suffix`. Each distinct host is expanded to its tails (as many as it
+    has labels), which join the suffix list by equality; URLs meet the result by host.
     """
     host = F.lower(F.regexp_replace(url_netloc(url), r"^.*@|:\d+$", ""))
-    hosts = urls.select(F.col(url).alias("_u"), host.alias("_h")).distinct()
+    placed = urls.withColumn("_h", host)
     labels = F.split("_h", r"\.")
-    tails = hosts.select("_u", "_h", F.posexplode(F.sequence(F.lit(1), F.size(labels)))).select(
-        "_u",
+    tails = placed.select("_h").distinct().select("_h", F.posexplode(F.sequence(F.lit(1), F.size(labels)))).select(
         "_h",
         F.col("col").alias("_k"),
         F.array_join(F.slice(labels, F.col("col"), F.size(labels)), ".").alias("suffix"),
     )
-    best = tails.join(suffixes.select("suffix").distinct(), "suffix").groupBy("_u", "_h").agg(F.min("_k").alias("_k"))
+    best = tails.join(suffixes.select("suffix").distinct(), "suffix").groupBy("_h").agg(F.min("_k").alias("_k"))
     named = best.select(
-        "_u",
+        "_h",
         F.array_join(F.slice(labels, F.greatest(F.col("_k") - 1, F.lit(1)), F.size(labels)), ".").alias("domain"),
     )
-    return urls.join(named, urls[url] == F.col("_u"), "left").drop("_u")
+    return placed.join(named, "_h", "left").select(*urls.columns, "domain")

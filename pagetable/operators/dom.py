@@ -74,13 +74,3 @@ def visible_text(dom="dom", chunks="chunks") -> Column:
     shown = F.get(F.transform(F.array(F.array_sort(F.concat(unseen, F.array(end)))), between), F.lit(0))
     trimmed = F.transform(shown, lambda t: F.btrim(t, F.lit(" \n")))
     return F.array_join(F.filter(trimmed, lambda t: t != ""), " ")
-
-
-def spread(pages: DataFrame, key: str = "url") -> DataFrame:
-    """Give every core a share when the input has fewer splits than cores (small inputs only)."""
-    if pages.isStreaming:
-        return pages
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() >= cores:
-        return pages
-    return pages.repartition(cores, F.col(key))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetable.functions.values import size_to_bytes
-from pagetable.operators.joins import spread_join
+from pagetable.operators.joins import greatest_per_key, spread_join
 from pagetable.operators.scan import first_rows, number_rows, prefix_scan
 from pagetable.plans.checkpoints import new_folder, through_table
 from pagetable.schemas import PENDING, STATUS_LABELS
@@ -178,10 +178,9 @@ def add_urls(frontier: DataFrame, urls: DataFrame, max_size: int = -1, max_bytes
 
 
 def update_frontier(frontier: DataFrame, results: DataFrame) -> DataFrame:
-    """Non-NULL cells of `results` (one row per url) replace those of the frontier."""
+    """Non-NULL cells of `results` replace those of the frontier; of several rows for a url the greatest counts."""
     cells = [c for c in results.columns if c != "url" and c in frontier.columns]
-    renamed = results.select("url", *[F.col(c).alias(f"_new_{c}") for c in cells])
-    joined = frontier.join(renamed, "url", "left")
+    joined = frontier.join(greatest_per_key(results, "url", cells), "url", "left")
     return joined.select(
         *[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in cells else F.col(c) for c in frontier.columns]
     )

@@ -5,27 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# a key is hot when it holds more than 1/1000 of the left rows, so there are fewer than 1000 hot keys
-_HOT_SHARE = 1000
-_SALTS = 256
-
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """`left` joined with `right` (at most one row per key) on `key`; rows of hot keys are spread.
 
-    Hot keys are found by a partial count. Their left rows get one of 256 salts and their right row
-    is repeated per salt; all other rows meet as in a plain join. The hot list is broadcast: by its
-    definition it has fewer than 1000 rows whatever the size of the data.
+    A plain equi-join, so that `left` is read once: if its size calls for a shuffle, adaptive execution cuts every
+    partition that is much larger than the others into tasks of the advisory size and repeats its right rows, as many
+    times as the partition's bytes ask for. All four join kinds used here (inner, left, semi, anti) allow that.
     """
-    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    hot = F.broadcast(counts.where(F.col("_n") * _HOT_SHARE > total).select(key, F.lit(True).alias("_hot")))
-    # a repeated task gives its rows the same salts: content and partition do not change
-    content = [c for c, kind in left.dtypes if "map<" not in kind]
-    salt = F.pmod(F.xxhash64(*content, F.spark_partition_id()), F.lit(_SALTS))
-    salted = left.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(copies.cast("array<bigint>"))).drop("_hot")
-    joined = salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    joined = left.join(right, key, how)
     names = left.columns if how in ("left_semi", "left_anti") else left.columns + [c for c in right.columns if c != key]
     return joined.select(*names)
+
+
+def greatest_per_key(rows: DataFrame, key: str, cells: list[str]) -> DataFrame:
+    """One row per key with `cells` as _new_<cell>: that of the greatest row, so repeated keys multiply nothing."""
+    if not cells:
+        return rows.select(key).distinct()
+    best = rows.groupBy(key).agg(F.max(F.struct(*cells)).alias("_best"))
+    return best.select(key, *[F.col(f"_best.{c}").alias(f"_new_{c}") for c in cells])

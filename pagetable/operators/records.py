@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetable.operators.joins import spread_join
+from pagetable.operators.joins import greatest_per_key, spread_join
 from pagetable.operators.scan import number_rows
 
 
@@ -15,10 +15,10 @@ def append(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def update_records(records: DataFrame, values: DataFrame) -> DataFrame:
-    """`values` has one row per url: its non-NULL cells overwrite the known columns of all rows of that url."""
+    """Non-NULL cells of `values` overwrite the known columns of all rows of their url; of several rows for a url the
+    greatest counts."""
     cells = [c for c in values.columns if c != "url" and c in records.columns]
-    fresh = values.select("url", *[F.col(c).alias(f"_new_{c}") for c in cells])
-    joined = spread_join(records, fresh, "url")
+    joined = spread_join(records, greatest_per_key(values, "url", cells), "url")
     return joined.select(
         *[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in cells else F.col(c) for c in records.columns]
     )

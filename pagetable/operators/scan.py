@@ -59,7 +59,9 @@ def prefix_scan(df: DataFrame, seq: str, specs: dict, inclusive: bool = True, bi
     window = Window.partitionBy("_blk").orderBy(seq)
     frame = window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = seeded.withColumns({f"_l_{n}": _MERGE[op](f"_i_{n}").over(frame) for n, (op, _) in specs.items()})
-    totals = seeded.groupBy("_blk").agg(*[_MERGE[op](f"_i_{n}").alias(n) for n, (op, _) in specs.items()])
+    # stored once: rows and block totals both come from it, so the input is read once and nested scans do not multiply it
+    local = through_table(local, new_folder(df.sparkSession, "scan"))
+    totals = local.groupBy("_blk").agg(*[_MERGE[op](f"_i_{n}").alias(n) for n, (op, _) in specs.items()])
     offsets = _offsets(totals, "_blk", specs, 1, bits).select("_blk", *[F.col(n).alias(f"_o_{n}") for n in specs])
     joined = local.join(offsets, "_blk")
     result = {}
@@ -90,12 +92,15 @@ def number_rows(df: DataFrame, order, name: str = "rn", start: int = 0) -> DataF
     return numbered.select(*df.columns, position.cast("long").alias(name))
 
 
-# up to this many rows a sorted limit is one small task; beyond it rows are numbered instead
-_SMALL_LIMIT = 100_000
-
-
 def first_rows(df: DataFrame, order, n: int) -> DataFrame:
-    """The first n rows in the given (total) order."""
-    if n <= _SMALL_LIMIT:
-        return df.orderBy(*order).limit(max(n, 0))
-    return number_rows(df, order, "_place").where(F.col("_place") < n).drop("_place")
+    """The first n rows in the given (total) order of columns.
+
+    Only the order columns are sorted, across all tasks; the n-th key then is a filter on the rows.
+    """
+    if n <= 0:
+        return df.limit(0)
+    keys = number_rows(df.select(*order), order, "_place").where(F.col("_place") == n - 1).first()
+    if keys is None:
+        return df
+    last = F.struct(*[F.lit(keys[c]).cast(df.schema[c].dataType).alias(c) for c in order])
+    return df.where(F.struct(*order) <= last)

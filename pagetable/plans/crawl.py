@@ -8,7 +8,11 @@ grows and a lost executor costs one task.
 Breadth-first results equal a page-by-page walk: `seq` orders URLs by (source page, link position),
 the first page with a content hash wins, and limits cut the level at the exact page. Depth-first
 order numbers the same discovery forest in pre-order; a URL that several pages link to belongs to
-the page that met it first breadth-first, which a page-by-page depth-first walk may do differently.
+the page that met it first breadth-first. A page-by-page depth-first walk may differ in order and
+parents, and no parallel walk can reproduce it (each turn depends on all before), so depth-first
+order takes no limit: with one, other pages would be extracted than such a walk extracts.
+
+Queue entries are kept as given; they meet the corpus by their canonical form.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pagetable.operators.quality import passes_gate
 from pagetable.operators.records import append
 from pagetable.operators.runlog import below_rate_streak, stop_seq
 from pagetable.operators.scan import first_rows, number_rows
-from pagetable.plans.checkpoints import new_folder, through_table
+from pagetable.plans.checkpoints import run_folder, through_table
 from pagetable.plans.extraction import LINKS, link_array, page_rows, stamp
 from pagetable.plans.library import Library
 from pagetable.schemas import BAD_CONTENT_TYPE, BAD_SCHEME, EMPTY_BODY, NOT_CAPTURED, PENDING
@@ -53,9 +57,12 @@ _SETTLED = (
 
 @dataclass(frozen=True)
 class CrawlResult:
+    """`folder` holds the run's tables; `plans.checkpoints.drop_folder` removes it when the results are used."""
+
     frontier: DataFrame
     records: DataFrame
     levels: int
+    folder: str
 
 
 def gate_captures(captures: DataFrame, content_types: str = ALLOWED_CONTENT, schemes=ALLOWED_SCHEMES) -> DataFrame:
@@ -133,10 +140,10 @@ def _met_in(seen: DataFrame, some: DataFrame, key: str) -> DataFrame:
 
 
 class _Walk:
-    def __init__(self, pages, lib, accessed_at, content_types, schemes):
+    def __init__(self, pages, lib, accessed_at, content_types, schemes, base):
         self.spark, self.lib, self.accessed_at = pages.sparkSession, lib, accessed_at
         self.schemes = schemes
-        self.base = new_folder(self.spark, "crawl")
+        self.base = base
         facts = through_table(corpus_facts(pages, lib, content_types, schemes), f"{self.base}/facts")
         # of several captures of one URL the earliest counts
         first = facts.groupBy("url").agg(F.min("_rank").alias("_rank"))
@@ -178,7 +185,9 @@ class _Walk:
         """Join a level with the corpus and settle every row's outcome as if all of it were fetched."""
         k = len(self.done)
         # inner: a level below the broadcast threshold meets the corpus without shuffling it
-        met = through_table(self.facts.drop("rows", "_rank").join(level, "url"), f"{self.base}/met-{k}")
+        facts = self.facts.drop("rows", "_rank").withColumnRenamed("url", "_key")
+        named = level.withColumn("_key", canonical_url("url"))
+        met = through_table(facts.join(named, "_key").drop("_key"), f"{self.base}/met-{k}")
         absent = level.join(met.select("url"), "url", "left_anti")
         status = (
             F.when(~allowed_scheme("url", self.schemes), F.lit(BAD_SCHEME))
@@ -259,10 +268,15 @@ def crawl(
     The run stops when nothing is pending, after `max_pages` processed pages, or after
     `hit_samples` consecutive pages below `min_hit_rate`.
     """
-    dfs = order.lower() == "dfs"
-    if dfs and (min_hit_rate > 0 or max_queue_size >= 0 or max_queue_bytes not in (None, "-1", -1)):
-        raise ValueError("depth-first order supports no limit but max_pages: the others depend on visiting one page at a time")
-    walk = _Walk(pages, lib, accessed_at, content_types, schemes)
+    limited = max_pages > 0 or min_hit_rate > 0 or max_queue_size >= 0 or size_to_bytes(max_queue_bytes) > 0 or max_levels
+    if order.lower() == "dfs" and limited:
+        raise ValueError("depth-first order takes no limit: which pages come first depends on visiting one page at a time")
+    with run_folder(pages.sparkSession, "crawl") as base:
+        walk = _Walk(pages, lib, accessed_at, content_types, schemes, base)
+        return _crawl(walk, seeds, order.lower() == "dfs", max_pages, max_queue_size, max_queue_bytes, min_hit_rate, hit_samples, max_levels, frontier)
+
+
+def _crawl(walk, seeds, dfs, max_pages, max_queue_size, max_queue_bytes, min_hit_rate, hit_samples, max_levels, frontier) -> CrawlResult:
     earlier = None
     if frontier is not None:
         old = frontier.where(F.col("status") != PENDING)
@@ -275,7 +289,7 @@ def crawl(
     while not stopped and walk.fresh:
         visited = walk.visit(level)
         stop = None
-        if max_pages > 0 and not dfs:
+        if max_pages > 0:
             reached = visited.where("reached").select("seq")
             n, left = reached.count(), max_pages - processed
             processed += n
@@ -292,7 +306,7 @@ def crawl(
         if stopped or (max_levels is not None and levels >= max_levels):
             pending_level = level
             break
-    return _result(walk, earlier, pending_level, levels, dfs, max_pages if dfs else -1, accessed_at)
+    return _result(walk, earlier, pending_level, levels, dfs)
 
 
 def _starting_rows(seeds: DataFrame, frontier: DataFrame | None, max_size: int) -> DataFrame:
@@ -317,16 +331,16 @@ def _rate_stop(walk: _Walk, visited: DataFrame, min_rate: float, samples: int) -
     own = [p for p in walk.done if not p.endswith("-earlier")]
     if own:
         log = walk.read(own, "seq long, url string, reached boolean").unionByName(log)
-    hits = walk.facts.select("url", F.size("rows").alias("_n"))
-    log = log.join(hits, "url", "left").select(
+    hits = walk.facts.select(F.col("url").alias("_key"), F.size("rows").alias("_n"))
+    log = log.withColumn("_key", canonical_url("url")).join(hits, "_key", "left").select(
         "seq", "reached", F.when(F.col("reached"), F.coalesce("_n", F.lit(0))).otherwise(F.lit(0)).alias("hit")
     )
     streaks = below_rate_streak(log, min_rate, samples, reached="reached")
     return stop_seq(streaks.where("reached"), samples).first()["stop"]
 
 
-def _result(walk: _Walk, earlier, pending_level, levels: int, dfs: bool, dfs_limit: int, accessed_at) -> CrawlResult:
-    spark = walk.spark
+def _result(walk: _Walk, earlier, pending_level, levels: int, dfs: bool) -> CrawlResult:
+    spark, accessed_at = walk.spark, walk.accessed_at
     at = F.current_timestamp() if accessed_at is None else F.lit(accessed_at).cast("timestamp")
     own = [p for p in walk.done if not p.endswith("-earlier")]
     rows = walk.read(own, _SETTLED) if own else spark.createDataFrame([], _SETTLED)
@@ -339,34 +353,18 @@ def _result(walk: _Walk, earlier, pending_level, levels: int, dfs: bool, dfs_lim
     order = ["path"] if dfs else ["_order"]
     renamed = rows.withColumnRenamed("seq", "_order")
     rows = number_rows(renamed, order, "seq", 0 if top is None else top + 1).drop("_order")
-    if dfs and dfs_limit > 0:
-        rows = _cut_depth_first(rows, dfs_limit)
     pending = F.col("status") == PENDING
     view = rows.withColumn("fetched", F.when(~pending, format_accessed(at))).select(*FRONTIER_COLUMNS)
     if earlier is not None:
         view = earlier.select(*FRONTIER_COLUMNS).unionByName(view)
     extracted = rows.where("reached").select("url")
-    gated = walk.facts.select("url", "rows").join(extracted, "url", "left_semi")
+    named = extracted.withColumn("_key", canonical_url("url"))
+    gated = walk.facts.select(F.col("url").alias("_key"), "rows").join(named, "_key").select("url", "rows")
     if walk.lib.csv_cols:
         records = gated.select("url", F.inline("rows"))
     else:
         records = gated.select("url").limit(0)
-    return CrawlResult(view, stamp(records, accessed_at), levels)
-
-
-def _cut_depth_first(rows: DataFrame, limit: int) -> DataFrame:
-    """The first `limit` processed pages in pre-order, and the URLs those pages queued."""
-    reached = rows.where("reached").select("seq")
-    if reached.count() < limit:
-        return rows
-    stop = first_rows(reached, ["seq"], limit).agg(F.max("seq")).first()[0]
-    inside = F.col("seq") <= stop
-    seen = rows.where(inside & F.col("reached")).select(F.col("url").alias("discovered_from"))
-    linked = rows.where(~inside).join(seen, "discovered_from", "left_semi")
-    seeds = rows.where(~inside & F.col("discovered_from").isNull())
-    blank = {c: F.lit(None).cast(rows.schema[c].dataType) for c in ("contenttype", "contentlength", "lastmodified", "hash")}
-    later = linked.unionByName(seeds).withColumns({**blank, "status": F.lit(PENDING), "reached": F.lit(False)})
-    return rows.where(inside).unionByName(later)
+    return CrawlResult(view, stamp(records, accessed_at), levels, walk.base)
 
 
 def resume(pages: DataFrame, lib: Library, frontier: DataFrame, records: DataFrame, seeds: DataFrame | None = None, **options) -> CrawlResult:
@@ -379,4 +377,4 @@ def resume(pages: DataFrame, lib: Library, frontier: DataFrame, records: DataFra
     fresh = more.records
     if dict(records.dtypes).get("dateaccessed") == "string":
         fresh = csv_view(fresh)
-    return CrawlResult(more.frontier, append(records, fresh), more.levels)
+    return CrawlResult(more.frontier, append(records, fresh), more.levels, more.folder)

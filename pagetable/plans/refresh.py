@@ -13,7 +13,7 @@ from pagetable.operators.frontier import update_frontier
 from pagetable.operators.joins import spread_join
 from pagetable.operators.quality import any_present, passes_gate
 from pagetable.operators.records import append, remove_records, update_records
-from pagetable.plans.checkpoints import new_folder, through_table
+from pagetable.plans.checkpoints import run_folder, through_table
 from pagetable.plans.extraction import page_rows, parse_active, stamp
 from pagetable.plans.library import Library
 from pagetable.schemas import PENDING
@@ -22,20 +22,31 @@ from pagetable.sources.tables import csv_view
 
 @dataclass(frozen=True)
 class RefreshResult:
+    """`folder` holds the run's intermediate tables; `plans.checkpoints.drop_folder` removes it after use."""
+
     records: DataFrame
     frontier: DataFrame
     changed: DataFrame
+    folder: str
 
 
 def page_states(pages: DataFrame) -> DataFrame:
-    """(url, status, lastmodified, hash) of captured pages."""
+    """(url, status, lastmodified, hash): the latest capture of each URL, by `seq` or `page_id` where there is one."""
+    return _states(pages).select("url", "status", "lastmodified", "hash")
+
+
+def _states(pages: DataFrame) -> DataFrame:
     has_headers = "headers" in pages.columns
-    return pages.select(
+    order = next((F.col(c).cast("long") for c in ("seq", "page_id") if c in pages.columns), F.lit(0).cast("long"))
+    rows = pages.select(
         "url",
+        order.alias("_at"),
         (F.col("status") if "status" in pages.columns else F.lit(200)).alias("status"),
         (header_get("headers", "Last-Modified") if has_headers else F.lit("")).alias("lastmodified"),
         content_hash("html").alias("hash"),
     )
+    latest = rows.groupBy("url").agg(F.max(F.struct("_at", "hash", "status", "lastmodified")).alias("_s"))
+    return latest.select("url", "_s._at", "_s.status", "_s.lastmodified", "_s.hash")
 
 
 def records_with_frontier(records: DataFrame, frontier: DataFrame) -> DataFrame:
@@ -69,14 +80,20 @@ def refresh(
     a record list replaces the rows of its URL. `gate=True` applies the library's constraints.
     Only hashes and dates of all pages are compared; sources are read again for changed pages only.
     """
-    spark = records.sparkSession
-    base = new_folder(spark, "refresh")
+    with run_folder(records.sparkSession, "refresh") as base:
+        return _refresh(records, frontier, pages_now, lib, accessed_at, gate, base)
+
+
+def _refresh(records, frontier, pages_now, lib, accessed_at, gate, base) -> RefreshResult:
     tracked = records.select("url").distinct()
     absent = missing_urls(records, frontier)
-    states = page_states(pages_now).join(tracked, "url", "left_semi")
+    states = _states(pages_now).join(tracked, "url", "left_semi")
     changed = through_table(changed_pages(states, frontier), f"{base}/changed")
-    sources = pages_now.join(changed.select("url"), "url", "left_semi")
-    rows = page_rows(parse_active(sources.select("url", "html"), lib), lib)
+    at = next((F.col(c).cast("long") for c in ("seq", "page_id") if c in pages_now.columns), F.lit(0).cast("long"))
+    latest = pages_now.select("url", "html", at.alias("_at"), content_hash("html").alias("hash"))
+    sources = latest.join(changed.select("url", "_at", "hash"), ["url", "_at", "hash"], "left_semi")
+    # the same capture twice is one
+    rows = page_rows(parse_active(sources.dropDuplicates(["url"]).select("url", "html"), lib), lib)
     shaped = through_table(rows.select("url", "_rows", "_is_list"), f"{base}/rows")
     flat = shaped.select("url", "_is_list", F.inline_outer("_rows"))
     if gate:
@@ -108,4 +125,4 @@ def refresh(
     results = changed.select("url", "status", "lastmodified", "hash")
     if "fetched" in frontier.columns:
         results = results.withColumn("fetched", format_accessed(at))
-    return RefreshResult(merged, update_frontier(frontier.unionByName(added), results), changed)
+    return RefreshResult(merged, update_frontier(frontier.unionByName(added), results), changed.drop("_at"), base)

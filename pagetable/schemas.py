@@ -89,6 +89,10 @@ FRONTIER = T.StructType(
         T.StructField("contentlength", T.LongType()),
         T.StructField("lastmodified", T.StringType()),
         T.StructField("hash", T.StringType()),
+        # place in the queue; files of other origin may lack these
+        T.StructField("seq", T.LongType()),
+        T.StructField("depth", T.IntegerType()),
+        T.StructField("discovered_from", T.StringType()),
     ]
 )
 

@@ -6,23 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagetable.operators.dom import spread
 from pagetable.operators.scan import number_rows
 from pagetable.schemas import PAGES
 
 
-def read_pages(spark: SparkSession, path: str, format: str = "parquet", balanced: bool = True) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, format: str = "parquet", tasks: int | None = None) -> DataFrame:
     """A table of captured pages.
 
     `format` is any Spark table format, or 'files': a folder (or glob) of saved pages, one page per
-    file, whose url is the file's location. `balanced` spreads an input with fewer splits than
-    cores, so that parsing uses all of them; larger inputs are left as they are.
+    file, whose url is the file's location. `tasks` deals the pages out to that many tasks, for a small
+    table in a few large row groups; without it the table's splits are the tasks and nothing is shuffled.
     """
     if format == "files":
         files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
         return files.select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
     pages = spark.read.format(format).load(path)
-    return spread(pages) if balanced else pages
+    return pages.repartition(tasks) if tasks else pages
 
 
 def read_seeds(spark: SparkSession, source) -> DataFrame:

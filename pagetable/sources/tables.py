@@ -10,6 +10,7 @@ from pyspark.sql.utils import AnalysisException
 from pagetable.functions.http import is_text
 from pagetable.functions.urls import mirror_path, url_host
 from pagetable.functions.values import format_accessed
+from pagetable.operators.scan import number_rows
 from pagetable.plans.library import Library
 from pagetable.schemas import FRONTIER, RUNS
 
@@ -33,25 +34,44 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_frontier(spark: SparkSession, path: str, statuses=None, sep: str = ";") -> DataFrame:
-    """Saved frontier, optionally only some statuses; an empty table when there is none."""
+    """Saved frontier in queue order (`seq`), optionally only some statuses; an empty table when there is none.
+
+    A file without `seq` keeps the order of its lines.
+    """
     if not _exists(spark, path):
         return spark.createDataFrame([], FRONTIER)
     # numbers may be written as 200 or 200.0
     loose = T.StructType([T.StructField(f.name, T.StringType()) for f in FRONTIER])
-    raw = spark.read.schema(loose).options(sep=sep, header=True, quote='"', escape='"', multiLine=True).csv(path)
-    typed = raw.select(
-        *[
-            F.col(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name).try_cast("double").cast(f.dataType).alias(f.name)
-            for f in FRONTIER
-        ]
-    )
+    # a quoted empty text would come back as NULL: it is read as a mark
+    raw = spark.read.schema(loose).options(sep=sep, header=True, quote='"', escape='"', emptyValue="\u0001").csv(path)
+    cells = [
+        (
+            F.when(F.col(f.name) == "\u0001", F.lit("")).otherwise(F.col(f.name))
+            if isinstance(f.dataType, T.StringType)
+            else F.col(f.name).try_cast("double").cast(f.dataType)
+        ).alias(f.name)
+        for f in FRONTIER
+    ]
+    typed = raw.select(*cells)
+    if typed.where("seq is not null").isEmpty():
+        lines = raw.select(
+            *cells,
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_line"),
+        )
+        typed = number_rows(lines.drop("seq"), ["_file", "_block", "_line"], "seq").select(*FRONTIER.names)
     return typed if statuses is None else typed.where(F.col("status").isin(list(statuses)))
 
 
 def write_frontier(frontier: DataFrame, path: str, sep: str = ";") -> None:
+    """One line per queued URL, in queue order where there is one."""
     names = [f for f in FRONTIER.names if f in frontier.columns]
-    quoted = frontier.select(*names)
-    quoted.write.mode("overwrite").options(sep=sep, header=True, quoteAll=True, escape='"', emptyValue="").csv(path)
+    rows = frontier.select(*names)
+    if "seq" in names:
+        rows = rows.orderBy("seq")
+    # NULL is nothing between separators, an empty text is ""
+    rows.write.mode("overwrite").options(sep=sep, header=True, escape='"').csv(path)
 
 
 def read_records(spark: SparkSession, path: str, lib: Library, sep: str = ";") -> DataFrame:
@@ -88,13 +108,15 @@ def mirror_plan(pages: DataFrame, root: str = "", content_type=None) -> DataFram
     )
 
 
-def mirror_pages(pages: DataFrame, root: str) -> None:
-    """Store pages below `root`, one folder per host; `mirror_path` is each page's place in a mirror.
+def mirror_pages(pages: DataFrame, root: str, content_type=None, buckets: int = 256) -> None:
+    """Store pages below `root`; `mirror_path` is each page's place in a mirror, `as_text` whether it is text.
 
-    Range partitions over (host, url hash): small hosts share a task, a large one fills several.
+    Folders are hash buckets of hosts, so their number does not grow with the hosts; `host` stays a column and
+    files are sorted by it. Range partitions over (bucket, host, url hash): a large host fills several tasks.
     """
-    planned = mirror_plan(pages, "").repartitionByRange("host", F.xxhash64("url"))
-    planned.write.mode("append").partitionBy("host").parquet(root)
+    planned = mirror_plan(pages, "", content_type).withColumn("bucket", F.pmod(F.xxhash64("host"), F.lit(buckets)))
+    dealt = planned.repartitionByRange("bucket", "host", F.xxhash64("url")).sortWithinPartitions("bucket", "host", "mirror_path")
+    dealt.write.mode("append").partitionBy("bucket").parquet(root)
 
 
 def log_run(spark: SparkSession, run: dict, path: str) -> None:

@@ -8,6 +8,7 @@ from urllib.parse import urljoin
 import pytest
 from pyspark.sql import functions as F
 
+from pagetable.functions.http import ALLOWED_CONTENT
 from pagetable import Library, crawl, resume
 
 AT = "2024-01-01 00:00:00"
@@ -69,7 +70,7 @@ def walk(pages, seeds, max_pages=-1, max_size=-1, min_rate=-1.0, samples=50):
         state[u] = status
         if status != 200:
             continue
-        if not re.search("(?i)(text/html?|application/.*)", kind):
+        if not re.search(ALLOWED_CONTENT, kind):
             state[u] = -700
             continue
         if not body:
@@ -150,11 +151,54 @@ def test_depth_first_numbers_the_forest_in_preorder(spark):
     seeds = spark.createDataFrame([(0, "http://h.example/p0")], "seq long, url string")
     rows, _ = outcome(crawl(corpus, LIB, seeds, order="dfs", accessed_at=AT))
     assert [u[-1] for u, _ in rows] == ["0", "2", "5", "4", "1", "3"]
-    rows, records = outcome(crawl(corpus, LIB, seeds, order="dfs", max_pages=3, accessed_at=AT))
-    assert [(u[-1], s) for u, s in rows] == [("0", 200), ("2", 200), ("5", 200), ("4", -1), ("1", -1)]
-    assert len(records) == 3
-    with pytest.raises(ValueError):
-        crawl(corpus, LIB, seeds, order="dfs", max_queue_size=3)
+    for limit in ({"max_queue_size": 3}, {"max_pages": 3}, {"min_hit_rate": 0.5}, {"max_levels": 2}, {"max_queue_bytes": "1K"}):
+        with pytest.raises(ValueError):
+            crawl(corpus, LIB, seeds, order="dfs", **limit)
+
+
+def test_seeds_meet_the_corpus_by_canonical_form(spark):
+    pages = [(0, "http://h.example/p0#top", "<h1>T0</h1><a href=/p1#x>x</a>"), (1, "http://h.example/p1", "<h1>T1</h1>")]
+    corpus = spark.createDataFrame(pages, "page_id long, url string, html string")
+    seeds = spark.createDataFrame([(0, "http://h.example/p0#top")], "seq long, url string")
+    rows, records = outcome(crawl(corpus, LIB, seeds, accessed_at=AT))
+    assert rows == [("http://h.example/p0#top", 200), ("http://h.example/p1", 200)]
+    assert records == [("http://h.example/p0#top", "T0"), ("http://h.example/p1", "T1")]
+
+
+def test_saved_queue_resumes_in_order(spark, tmp_path):
+    """Through files: after one page the first link, not the first name, is next; a file without places keeps its lines."""
+    from pagetable.sources.tables import read_frontier, write_frontier
+
+    links = {0: ["z", "b", "m"], "z": [], "b": [], "m": []}
+    pages = [(i, f"http://h.example/p{k}", f"<h1>T{k}</h1>" + "".join(f"<a href=/p{j}>x</a>" for j in js)) for i, (k, js) in enumerate(links.items())]
+    corpus = spark.createDataFrame(pages, "page_id long, url string, html string")
+    seeds = spark.createDataFrame([(0, "http://h.example/p0")], "seq long, url string")
+    part = crawl(corpus, LIB, seeds, max_pages=1, accessed_at=AT)
+    write_frontier(part.frontier, str(tmp_path / "f"))
+    saved = read_frontier(spark, str(tmp_path / "f"))
+    assert [r["url"][-1] for r in saved.where("status = -1").orderBy("seq").collect()] == ["z", "b", "m"]
+    more = resume(corpus, LIB, saved, part.records, max_pages=1, accessed_at=AT)
+    assert [(r["url"][-1], r["status"], r["depth"]) for r in more.frontier.orderBy("seq").collect()] == [
+        ("0", 200, 0), ("z", 200, 1), ("b", -1, 1), ("m", -1, 1),
+    ]
+    bare = part.frontier.orderBy("seq").select("url", "fetched", "status", "contenttype", "contentlength", "lastmodified", "hash").coalesce(1)
+    write_frontier(bare, str(tmp_path / "g"))
+    assert [r["url"][-1] for r in read_frontier(spark, str(tmp_path / "g")).orderBy("seq").collect()] == ["0", "z", "b", "m"]
+
+
+def test_run_folders_can_be_removed(spark):
+    import os
+
+    from pagetable.plans.checkpoints import drop_folder
+
+    corpus = spark.createDataFrame([(0, "http://h.example/p0", "<h1>x</h1>")], "page_id long, url string, html string")
+    seeds = spark.createDataFrame([(0, "http://h.example/p0")], "seq long, url string")
+    got = crawl(corpus, LIB, seeds, max_pages=5, accessed_at=AT)
+    got.frontier.collect()
+    folder = got.folder.removeprefix("file:")
+    assert os.listdir(folder)
+    drop_folder(spark, got.folder)
+    assert not os.path.exists(folder)
 
 
 def test_queue_bytes_and_levels(spark):
