@@ -80,16 +80,16 @@ class Automata:
         active = [int(np.searchsorted(-length, -step)) for step in range(PIECE)]
         for j, root in enumerate(self.roots):
             state = np.full(len(pieces), root, np.int32)
-            made = np.ones(len(pieces), np.int64)
+            made = np.zeros(len(pieces), np.int64)
             for step in range(int(length[0])):
                 n = active[step]
                 symbol = grid[step, :n]
                 reached = self.table.take(state[:n] + symbol)
+                # a phrase begins where none is under way and where the longest match ends
+                made[:n] += (reached < 0) | (state[:n] == root)
                 lost = np.flatnonzero(reached < 0)
-                made[lost] += state[lost] != root  # a symbol without any match is a phrase of its own
-                again = self.table.take(root + symbol[lost])
-                made[lost[again < 0]] += 1
-                reached[lost] = np.maximum(again, root)
+                # a symbol without any match is a phrase of its own
+                reached[lost] = np.maximum(self.table.take(root + symbol[lost]), root)
                 state[:n] = reached
             np.add.at(counts[:, j], owner, made)
         return counts
