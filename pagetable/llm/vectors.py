@@ -28,7 +28,8 @@ class Quantiser:
     """Binary codes by iterative quantisation: principal directions turned so that their signs lose least."""
 
     def __init__(self, sample: np.ndarray, turns: int = 30):
-        self.mean = sample.mean(axis=0) if len(sample) else np.zeros(sample.shape[1])
+        # the mean of a small sample says little: it is drawn to zero
+        self.mean = sample.sum(axis=0) / (len(sample) + 1000)
         centred = sample - self.mean
         _, _, axes = np.linalg.svd(centred.T @ centred)
         bits = min(CODE_BITS, sample.shape[1])
@@ -40,7 +41,7 @@ class Quantiser:
             u, _, v = np.linalg.svd(np.where(flat @ turn >= 0, 1.0, -1.0).T @ flat)
             turn = (u @ v).T
         self.axes = main @ turn
-        width = min(CHUNK_BITS, bits)
+        width = max(min(CHUNK_BITS, bits // 4), 1)
         orders = [np.arange(bits)] + [random.permutation(bits) for _ in range(ROUNDS - 1)]
         # in every round the code is cut into disjoint chunks, each the key of one table
         self.chunks = np.array([o[i : i + width] for o in orders for i in range(0, bits - width + 1, width)])
