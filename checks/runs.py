@@ -12,7 +12,9 @@ from pagetable.operators import runlog as rl
 from pagetable.operators.frontier import pending
 from pagetable.plans.checkpoints import new_folder
 from pagetable.sources.tables import csv_view, read_frontier, write_frontier
-from pagetable.streaming.pages import current_frontier, save_stream, stream_dedup, stream_first_seen, stream_frontier, stream_progress
+from pagetable.streaming.pages import (
+    current_frontier, current_windows, first_seen, save_stream, stream_dedup, stream_first_seen, stream_frontier, stream_progress, stream_windows,
+)
 
 L = f"WITH {RUN_LOG_SQL}"
 BEFORE = "OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -186,9 +188,20 @@ def streamed_dedup(spark, sf):
 
 def streamed_first(spark, sf):
     path = new_folder(spark, "stream-first")
-    query = stream_first_seen(_document_stream(spark, sf), f"{path}/out", order="doc_id")
+    docs = _document_stream(spark, sf)
+    query = stream_first_seen(docs, f"{path}/out", order="doc_id")
     query.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("doc_id", "hash")
+    return first_seen(spark, f"{path}/out", docs.schema).select("doc_id", "hash")
+
+
+def streamed_interval(spark, sf):
+    """Saved every half second until all pages are there."""
+    path = new_folder(spark, "stream-interval")
+    stream = stream_extract(_page_stream(spark, sf), FLAGSHIP, AT)
+    query = save_stream(stream, f"{path}/out", f"{path}/progress", interval="500 milliseconds")
+    query.processAllAvailable()
+    query.stop()
+    return csv_view(spark.read.schema(stream.schema).parquet(f"{path}/out"))
 
 
 def streamed_frontier(spark, sf):
@@ -200,17 +213,16 @@ def streamed_frontier(spark, sf):
 
 
 def streamed_progress(spark, sf):
-    """Windows that the watermark has closed, i.e. all but the last ones."""
+    """All windows of the log, those still open at the end too."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     events = stream_pages(spark, sf, schema, pathGlobFilter="events.parquet")
     log = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("handling_s"), (F.col("event_type") == "purchase").cast("int").alias("hit"))
-    return _progress_view(_drained(stream_progress(log, width="6 hours"), "stream-progress"))
-
+    path = new_folder(spark, "stream-progress")
+    query = stream_windows(log, f"{path}/out", width="6 hours")
+    query.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+    schema = stream_progress(log, width="6 hours").schema
+    return _progress_view(current_windows(spark, f"{path}/out", schema))
 
-CLOSED_SQL = f"""{L} SELECT * FROM (SELECT strftime(b, '%Y-%m-%d %H:%M') AS window_start, count(*) AS fetched,
-  sum(hit)::BIGINT AS extracted, round(sum(hit) / count(*), 9) AS hit_rate
-  FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS b FROM run_log)
-  WHERE b + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM run_log) GROUP BY b)"""
 
 QUERIES = {
     "run_hit_rate_running": (rate_running, f"{L}, {RATED} SELECT seq, round(hit_rate, 9) AS hit_rate FROM rated"),
@@ -243,5 +255,6 @@ QUERIES = {
     "stream_dedup": (streamed_dedup, "SELECT DISTINCT sha256(text) AS hash FROM documents"),
     "stream_first_seen": (streamed_first, "SELECT min(doc_id) AS doc_id, sha256(text) AS hash FROM documents GROUP BY 2"),
     "stream_frontier": (streamed_frontier, "SELECT url, page_id AS seq, 200 AS status, sha256(html) AS hash FROM pages"),
-    "stream_progress": (streamed_progress, CLOSED_SQL),
+    "stream_progress": (streamed_progress, PROGRESS_SQL),
+    "stream_interval": (streamed_interval, FLAGSHIP_SQL),
 }

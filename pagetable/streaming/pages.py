@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pagetable.functions.values import content_hash
 from pagetable.operators.runlog import progress_windows
+from pagetable.plans.checkpoints import drop_folder
 from pagetable.plans.crawl import gate_captures
 from pagetable.plans.extraction import extract
 from pagetable.plans.library import Library
@@ -18,64 +20,132 @@ def stream_extract(page_stream: DataFrame, lib: Library, accessed_at=None, **opt
     return extract(page_stream, lib, accessed_at, **options)
 
 
+DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_dedup(page_stream: DataFrame, key: str = "hash", event_time: str | None = None, delay: str = "1 day") -> DataFrame:
-    """First capture per key. With `event_time`, state is bounded and copies further apart than `delay` pass."""
+    """First capture per key. With `event_time`, state is bounded and copies further apart than `delay` pass.
+
+    Without it every key is remembered: the session's state store is set to the one that keeps state on disk, so
+    memory does not grow with the keys.
+    """
     keyed = page_stream if key in page_stream.columns else page_stream.withColumn(key, content_hash("html"))
     if event_time is None:
+        page_stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", DISK_STATE)
         return keyed.dropDuplicates([key])
     return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def _parts(path: str, batch_id: int) -> str:
-    return f"{path.rstrip('/')}/batch={batch_id:012d}"
+class BatchLog:
+    """A table that grows by one folder per micro-batch (overwritten if the batch is repeated), compacted now and then.
 
+    `fold` reduces the rows of many batches to those that still matter. Every `every` batches all earlier ones are folded
+    into one table beside the log and their folders removed, so a reader meets one folded table and fewer than 2 * `every` folders.
+    """
 
-def _earlier(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
-    """Rows of the batches before this one: a repeated batch does not see its own first attempt."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    table = spark.read.schema(schema.add("batch", "long")).parquet(path)
-    return table.where(F.col("batch") < batch_id).drop("batch")
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, fold, every: int = 20):
+        self.spark, self.path, self.fold, self.every = spark, path.rstrip("/"), fold, every
+        self.schema = T.StructType([f for f in schema.fields if f.name != "batch"])
+
+    def _numbers(self, folder: str, prefix: str) -> list[int]:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []
+        return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
+
+    def _folded(self, upto: int) -> str:
+        return f"{self.path}-folded/upto={upto:012d}"
+
+    def _batch(self, number: int) -> str:
+        return f"{self.path}/batch={number:012d}"
+
+    def rows(self, before: int | None = None) -> DataFrame:
+        """All rows with their `batch`, or those of earlier batches: a repeated batch does not see its first attempt."""
+        folded = [n for n in self._numbers(f"{self.path}-folded", "upto=") if before is None or n < before]
+        start = folded[-1] + 1 if folded else 0
+        single = [n for n in self._numbers(self.path, "batch=") if n >= start and (before is None or n < before)]
+        whole = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
+        out = self.spark.read.schema(whole).parquet(self._folded(folded[-1])) if folded else self.spark.createDataFrame([], whole)
+        if single:
+            recent = self.spark.read.schema(whole).option("basePath", self.path).parquet(*[self._batch(n) for n in single])
+            out = out.unionByName(recent)
+        return out
+
+    def append(self, rows: DataFrame, number: int) -> None:
+        if number and number % self.every == 0 and number - 1 not in self._numbers(f"{self.path}-folded", "upto="):
+            old = self._numbers(f"{self.path}-folded", "upto=")
+            self.fold(self.rows(before=number)).write.mode("overwrite").parquet(self._folded(number - 1))
+            for n in self._numbers(self.path, "batch="):
+                if n < number:
+                    drop_folder(self.spark, self._batch(n))
+            for n in old:
+                drop_folder(self.spark, self._folded(n))
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(self._batch(number))
+
+
+def _latest(key: str, order: list[str]):
+    """Folds a log to the row per key that is greatest in `order`."""
+
+    def fold(log: DataFrame) -> DataFrame:
+        others = [c for c in log.columns if c != key and c not in order]
+        best = log.groupBy(key).agg(F.max(F.struct(*order, *others)).alias("_b"))
+        return best.select(*[F.col(key) if c == key else F.col(f"_b.{c}").alias(c) for c in log.columns])
+
+    return fold
 
 
 def stream_first_seen(page_stream: DataFrame, path: str, key: str = "hash", order: str = "page_id"):
-    """Exact dedup against everything ever seen: a writer whose table at `path` holds the first captures.
+    """Exact dedup against everything ever seen: a writer whose log at `path` holds the first captures.
 
-    One folder per micro-batch, overwritten if the batch is repeated.
+    Of the earlier batches only the keys are read, from one folded table and the batches since.
     """
     from pagetable.operators.frontier import first_per_key
 
     keyed = page_stream if key in page_stream.columns else page_stream.withColumn(key, content_hash("html"))
-    schema = keyed.schema
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        seen = _earlier(batch.sparkSession, path, batch_id, type(schema)(list(schema.fields))).select(key)
-        fresh = first_per_key(batch, key, order).join(seen, key, "left_anti")
-        fresh.select(*schema.names).write.mode("overwrite").parquet(_parts(path, batch_id))
+        log = BatchLog(batch.sparkSession, path, keyed.schema, lambda rows: rows)
+        seen = log.rows(before=batch_id).select(key)
+        log.append(first_per_key(batch, key, order).join(seen, key, "left_anti"), batch_id)
 
     return keyed.writeStream.foreachBatch(merge)
 
 
+def first_seen(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The captures that a `stream_first_seen` log holds."""
+    return BatchLog(spark, path, schema, lambda rows: rows).rows().drop("batch")
+
+
+OUTCOMES = T.StructType(
+    [
+        T.StructField("url", T.StringType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("status", T.IntegerType()),
+        T.StructField("contenttype", T.StringType()),
+        T.StructField("contentlength", T.LongType()),
+        T.StructField("lastmodified", T.StringType()),
+        T.StructField("hash", T.StringType()),
+    ]
+)
+
+
+def _outcomes(spark: SparkSession, path: str) -> BatchLog:
+    return BatchLog(spark, path, OUTCOMES, _latest("url", ["batch", "seq"]))
+
+
 def stream_frontier(capture_stream: DataFrame, path: str):
-    """State of every captured URL as a change log: one folder of outcomes per micro-batch.
+    """State of every captured URL as a log of outcomes; `current_frontier` gives the latest state per URL.
 
-    Appending costs what the batch holds; `current_frontier` gives the latest state per URL.
+    Appending costs what the batch holds; folding keeps the latest outcome per URL.
     """
     gated = gate_captures(capture_stream)
-    names = ["url", "seq", "status", "contenttype", "contentlength", "lastmodified", "hash"]
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        batch.select(*names).write.mode("overwrite").parquet(_parts(path, batch_id))
-
-    return gated.writeStream.foreachBatch(merge)
+    rows = gated.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in OUTCOMES])
+    return rows.writeStream.foreachBatch(lambda batch, number: _outcomes(batch.sparkSession, path).append(batch, number))
 
 
 def current_frontier(spark: SparkSession, path: str) -> DataFrame:
     """Latest outcome per URL of a `stream_frontier` log."""
-    log = spark.read.parquet(path)
-    latest = log.groupBy("url").agg(F.max(F.struct("batch", "seq")).alias("_at"))
-    rows = log.withColumn("_at", F.struct("batch", "seq"))
-    return rows.join(latest, ["url", "_at"], "left_semi").drop("_at", "batch")
+    return _latest("url", ["batch", "seq"])(_outcomes(spark, path).rows()).drop("batch")
 
 
 def stream_progress(log_stream: DataFrame, ts: str = "ts", width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
@@ -83,6 +153,19 @@ def stream_progress(log_stream: DataFrame, ts: str = "ts", width: str = "1 hour"
     return progress_windows(log_stream.withWatermark(ts, delay), ts, width)
 
 
+def stream_windows(log_stream: DataFrame, path: str, ts: str = "ts", width: str = "1 hour", delay: str = "1 hour"):
+    """Progress windows as a log of their states, so that windows still open are there too; see `current_windows`."""
+    progress = stream_progress(log_stream, ts, width, delay)
+    log = lambda spark: BatchLog(spark, path, progress.schema, _latest("window_start", ["batch"]))
+    return progress.writeStream.outputMode("update").foreachBatch(lambda batch, number: log(batch.sparkSession).append(batch, number))
+
+
+def current_windows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The latest state of every window of a `stream_windows` log."""
+    fold = _latest("window_start", ["batch"])
+    return fold(BatchLog(spark, path, schema, fold).rows()).drop("batch")
+
+
 def save_stream(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None, **options) -> StreamingQuery:
     """Write a stream as Parquet, saving every `interval`; without one, drain what is there and stop."""
     writer = stream.writeStream.format("parquet").outputMode("append").options(path=path, checkpointLocation=checkpoint, **options)

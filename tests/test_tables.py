@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagetable import Library, extract, library_catalog, load_library, load_rules, read_pages, read_seeds, refresh, stream_extract, stream_pages
 from pagetable.functions.values import content_hash
@@ -326,6 +327,23 @@ def test_streams_equal_batches(spark, tmp_path):
     batch = extract(spark.read.parquet(path), LIB, AT)
     assert sorted(rows(spark.read.parquet(str(tmp_path / "records")))) == sorted(rows(batch))
     assert spark.read.parquet(str(tmp_path / "dedup")).count() == 4
-    assert sorted(r["page_id"] for r in spark.read.parquet(str(tmp_path / "first")).collect()) == [1, 2, 4, 6]
+    kept = sp.first_seen(spark, str(tmp_path / "first"), T.StructType([*PAGES.fields, T.StructField("hash", T.StringType())]))
+    assert sorted(r["page_id"] for r in kept.collect()) == [1, 2, 4, 6]
     latest = {r["url"]: r["seq"] for r in sp.current_frontier(spark, str(tmp_path / "frontier")).collect()}
     assert latest == {"one/a": 4, "many/b": 2, "one/c": 3, "one/d": 5, "one/e": 6}
+
+
+def test_batch_logs_are_folded(spark, tmp_path):
+    """Old batches become one table with the latest row per key; a repeated batch does not see itself."""
+    schema = T.StructType([T.StructField("url", T.StringType()), T.StructField("seq", T.LongType())])
+    log = sp.BatchLog(spark, str(tmp_path / "log"), schema, sp._latest("url", ["batch", "seq"]), every=3)
+    want = {}
+    for number in range(10):
+        new = [(f"u{number % 4}", number * 10 + k) for k in range(3)] + [(f"own{number}", number)]
+        for _ in range(2 if number in (3, 6) else 1):
+            seen = {(r["url"], r["batch"]) for r in log.rows(before=number).collect()}
+            assert all(b < number for _, b in seen) and {u for u, _ in seen} == set(want)
+            log.append(spark.createDataFrame(new, schema), number)
+        want.update(new)
+    assert {r["url"]: r["seq"] for r in log.fold(log.rows()).collect()} == want
+    assert len(os.listdir(tmp_path / "log")) <= 3 + 1 and len([d for d in os.listdir(tmp_path / "log-folded") if d.startswith("upto")]) == 1
