@@ -21,7 +21,7 @@ MAX_LABELLED = 20_000
 MAX_FEATURES = 4_000
 LEAST_Z = 4.0
 LEAST_ODDS = math.log(3)
-PENALTY = 1.0
+PENALTY = 0.1
 TURNS = 400
 HEADS = ["low", "toxic"]
 
