@@ -63,29 +63,27 @@ def write_token_files(
     def ids_of(batches):
         encoder = once(("encoder", path), lambda: ChunkEncoder(path))
         kind = "<u2" if len(encoder.pieces) <= 1 << 16 and end_id < 1 << 16 else "<u4"
-        tail = np.array([end_id], kind).tobytes()
-        for batch in small(batches, 1024):
-            coded = encoder.encode_many(text_bytes(batch.column(1)))
-            ids = [np.frombuffer(i, "<u4").astype(kind).tobytes() + tail for i in coded]
+        tail, total = np.array([end_id], kind).tobytes(), np.zeros(max(len(encoder.pieces), end_id + 1), np.int64)
+        for batch in small(batches, 1536):
+            coded = [np.frombuffer(i, "<u4") for i in encoder.encode_many(text_bytes(batch.column(1)))]
+            total += np.bincount(np.concatenate([*coded, np.full(len(coded), end_id, "<u4")]), minlength=len(total))
+            ids = [i.astype(kind).tobytes() + tail for i in coded]
             wide = pa.array([kind == "<u4"] * len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), wide, pa.array(ids, pa.binary())], names=["doc_id", "wide", "ids"])
-
-    staged = docs.select(F.col(doc_id).cast("long"), text).mapInArrow(ids_of, "doc_id long, wide boolean, ids binary")
-    staged.write.option("compression", "zstd").parquet(stage)
-    staged = spark.read.schema(staged.schema).parquet(stage)
-
-    def count(batches):
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for wide, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = np.bincount(_raw(wide, ids))
-                if len(got) > len(total):
-                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-                total[: len(got)] += got
+            nothing = pa.nulls(len(ids), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), wide, pa.array(ids, pa.binary()), nothing, nothing], names=names)
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
-
-    counts = staged.select("wide", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        row = [None, None, None, used.tolist(), total[used].tolist()]
+        kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+
+    # one row per document, and one per task with the counts of its ids
+    names = ["doc_id", "wide", "ids", "used", "times"]
+    schema = "doc_id long, wide boolean, ids binary, used array<long>, times array<long>"
+    docs.select(F.col(doc_id).cast("long"), text).mapInArrow(ids_of, schema).write.option("compression", "zstd").parquet(stage)
+    table = spark.read.schema(schema).parquet(stage)
+    staged = table.where("used is null").select("doc_id", "wide", "ids")
+    pairs = table.where("used is not null").select(F.explode(F.arrays_zip("used", "times")).alias("p"))
+    counts = pairs.groupBy(F.col("p.used").alias("id")).agg(F.sum("p.times").alias("n"))
     # at most one row per vocabulary entry
     by_rank = [(rank, r["id"], r["n"]) for rank, r in enumerate(counts.orderBy(F.desc("n"), "id").collect())]
     spark.createDataFrame(by_rank, "rank long, id long, n long").coalesce(1).write.parquet(f"{out}/ranks")

@@ -22,14 +22,13 @@ _PUNCTUATION[33:48] = _PUNCTUATION[58:65] = _PUNCTUATION[91:97] = _PUNCTUATION[1
 _PUNCTUATION[39] = False  # an apostrophe may begin a contraction
 
 
-def cuts(data: bytes, mean: int) -> list[int]:
-    """Ends of the content-defined chunks of `data`: after white space, where a rolling hash of 16 bytes says so.
+def cuts(texts: list[bytes], mean: int) -> list[list[bytes]]:
+    """The content-defined chunks of each text: cut after white space, where a rolling hash of 16 bytes says so.
 
-    A cut depends on the 16 bytes before it alone, so equal passages are cut alike wherever they stand.
-    `mean` (a power of two) is about the mean length of a chunk.
+    A cut depends on the 16 bytes before it alone, so equal passages are cut alike wherever they stand; there is
+    none in the first 16 bytes of a text. `mean` is about the mean length of a chunk.
     """
-    if len(data) <= 64:
-        return [len(data)] if data else []
+    data = b"".join(texts)
     octets = np.frombuffer(data, np.uint8)
     rolled = octets.astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(0x85EBCA6B)
     step, factor = 1, 0x01000193
@@ -37,12 +36,20 @@ def cuts(data: bytes, mean: int) -> list[int]:
         rolled[step:] += rolled[:-step] * np.uint32(factor)
         factor = factor * factor & 0xFFFFFFFF
         step *= 2
-    rolled ^= rolled >> np.uint32(15)
-    rolled *= np.uint32(0x2C1B3C6D)
+    at = np.flatnonzero(_SPACE[octets])
+    mixed = rolled[at]
+    mixed = (mixed ^ mixed >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
     per_space = max(mean // 6, 1)  # white space is about every sixth byte of prose
-    ends = np.flatnonzero(_SPACE[octets] & ((rolled >> np.uint32(16)) % np.uint32(per_space) == 0)) + 1
-    ends = ends[ends < len(data)].tolist()
-    return [*ends, len(data)]
+    ends = at[(mixed >> np.uint32(16)) % np.uint32(per_space) == 0] + 1
+    out, first = [], 0
+    bounds = np.cumsum([len(t) for t in texts])
+    low = np.searchsorted(ends, bounds - [len(t) - 16 for t in texts])
+    high = np.searchsorted(ends, bounds)
+    for text, a, b, end in zip(texts, low.tolist(), high.tolist(), bounds.tolist()):
+        own = [first, *ends[a:b].tolist(), end] if a < b else [first, end]
+        out.append([data[x:y] for x, y in zip(own, own[1:]) if y > x])
+        first = end
+    return out
 
 
 def _packed(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +71,7 @@ class ChunkEncoder:
     depend on them.
     """
 
-    def __init__(self, path: str, mean_chunk: int = 1024, chunks_kept: int = 8_000, words_kept: int = 250_000):
+    def __init__(self, path: str, mean_chunk: int = 2048, chunks_kept: int = 4_000, words_kept: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -93,12 +100,11 @@ class ChunkEncoder:
     def _word_ids(self, words: list[bytes]) -> list[bytes]:
         if len(self.words) >= self.words_kept:
             self.words, self.older = {}, self.words
-        out, known, older = [], self.words, self.older
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = older.get(word) or self.direct(word)
-            out.append(ids)
+        known, older = self.words, self.older
+        out = list(map(known.get, words))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            word = words[i]
+            out[i] = known[word] = older.get(word) or self.direct(word)
         return out
 
     def _from_words(self, chunks: list[bytes]) -> list[bytes]:
@@ -160,10 +166,7 @@ class ChunkEncoder:
         """Per text its ids as little-endian unsigned 32-bit integers."""
         if len(self.chunks) >= self.chunks_kept:
             self.chunks.clear()
-        pieces = []
-        for data in texts:
-            ends = cuts(data, self.mean)
-            pieces.append([data[a:b] for a, b in zip([0, *ends], ends)])
+        pieces = cuts(texts, self.mean)
         self._encode_chunks(list({c for own in pieces for c in own if c not in self.chunks}))
         self._compare_joins(pieces)
         return [self._put_together(own) for own in pieces]
