@@ -14,36 +14,53 @@ from pagetable.functions.values import elapsed_hms
 from pagetable.operators.scan import prefix_scan
 
 
-def running_hit_rate(log: DataFrame, seq: str = "seq", hit: str = "hit") -> DataFrame:
-    """+ `hit_rate`: records extracted / pages fetched before each page starts (0 for the first)."""
+def running_hit_rate(log: DataFrame, seq: str = "seq", hit: str = "hit", start: tuple[int, int] = (0, 0)) -> DataFrame:
+    """+ `hit_rate`: records extracted / pages fetched before each page starts (0 for the first).
+
+    `start`: (records, pages) before the log begins.
+    """
     scanned = prefix_scan(
         log,
         seq,
         {"_hits": ("sum", F.col(hit).cast("long")), "_done": ("count", F.col(seq))},
         inclusive=False,
     )
-    rate = F.when(F.col("_done") > 0, F.coalesce("_hits", F.lit(0)) / F.col("_done")).otherwise(F.lit(0.0))
+    hits, done = F.coalesce("_hits", F.lit(0)) + F.lit(start[0]), F.col("_done") + F.lit(start[1])
+    rate = F.when(done > 0, hits / done).otherwise(F.lit(0.0))
     return scanned.select(*log.columns, rate.alias("hit_rate"))
 
 
 def below_rate_streak(
-    log: DataFrame, min_rate: float, samples: int, seq: str = "seq", hit: str = "hit", reached: str | None = None
+    log: DataFrame,
+    min_rate: float,
+    samples: int,
+    seq: str = "seq",
+    hit: str = "hit",
+    reached: str | None = None,
+    start: tuple[int, int, int] = (0, 0, 0),
 ) -> DataFrame:
     """+ `hit_rate`, `streak` (consecutive pages below the minimum up to here).
 
-    Only pages that reached extraction are tested; the others keep the streak as it is.
+    Only pages that reached extraction are tested; the others keep the streak as it is. `start`: (records, pages,
+    streak) before the log begins, as `streak_state` gives them for the part before.
     """
-    rated = running_hit_rate(log, seq, hit)
+    rated = running_hit_rate(log, seq, hit, start[:2])
     tested = F.col(reached) if reached else F.lit(True)
     below = F.col("hit_rate") < F.lit(float(min_rate))
     marked = rated.withColumn("_below", F.when(tested, below))
     counted = prefix_scan(marked, seq, {"_low": ("count", F.when(F.col("_below"), F.lit(1)))})
     # count of low pages up to the last page that reset the streak
     scanned = prefix_scan(counted, seq, {"_base": ("max", F.when(~F.col("_below"), F.col("_low")))})
-    streak = (F.col("_low") - F.coalesce("_base", F.lit(0))).cast("long")
+    streak = (F.col("_low") - F.coalesce(F.col("_base"), F.lit(-start[2]))).cast("long")
     return scanned.select(*rated.columns, streak.alias("streak"))
 
 
+def streak_state(streaks: DataFrame, start: tuple[int, int, int] = (0, 0, 0), seq: str = "seq", hit: str = "hit") -> tuple[int, int, int]:
+    """(records, pages, streak) at the end of a log that began with `start`."""
+    row = streaks.agg(F.sum(hit).alias("hits"), F.count("*").alias("n"), F.max_by("streak", seq).alias("streak")).first()
+    return start[0] + (row["hits"] or 0), start[1] + row["n"], start[2] if row["streak"] is None else row["streak"]
+
+
 def stop_seq(streaks: DataFrame, samples: int, seq: str = "seq") -> DataFrame:
     """One row: the first page whose streak is long enough, NULL if none."""
     return streaks.where(F.col("streak") >= samples).agg(F.min(seq).alias("stop"))

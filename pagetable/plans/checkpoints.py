@@ -46,3 +46,12 @@ def through_table(df: DataFrame, path: str) -> DataFrame:
     """Write as Parquet and read back."""
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed_table(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Write in buckets of `key`, sorted, and read back: joins on the key then leave these rows where they are."""
+    spark = df.sparkSession
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"pagetable_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key)
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)

@@ -36,9 +36,9 @@ from pagetable.operators.dom import parse_dom
 from pagetable.operators.frontier import first_links, within_bytes
 from pagetable.operators.quality import passes_gate
 from pagetable.operators.records import append
-from pagetable.operators.runlog import below_rate_streak, stop_seq
+from pagetable.operators.runlog import below_rate_streak, stop_seq, streak_state
 from pagetable.operators.scan import first_rows, number_rows
-from pagetable.plans.checkpoints import run_folder, through_table
+from pagetable.plans.checkpoints import bucketed_table, run_folder, through_table
 from pagetable.plans.extraction import LINKS, link_array, page_rows, stamp
 from pagetable.plans.library import Library
 from pagetable.schemas import BAD_CONTENT_TYPE, BAD_SCHEME, EMPTY_BODY, NOT_CAPTURED, PENDING
@@ -147,10 +147,13 @@ class _Walk:
         facts = through_table(corpus_facts(pages, lib, content_types, schemes), f"{self.base}/facts")
         # of several captures of one URL the earliest counts
         first = facts.groupBy("url").agg(F.min("_rank").alias("_rank"))
-        self.facts = through_table(facts.join(first, ["url", "_rank"], "left_semi"), f"{self.base}/corpus")
+        once = facts.join(first, ["url", "_rank"], "left_semi")
+        # bucketed by URL: of a level that is not broadcast, only its own rows are shuffled
+        self.facts = bucketed_table(once, f"{self.base}/corpus", "url")
         self.queued: list[str] = []
         self.done: list[str] = []
         self.size, self.top, self.bytes, self.fresh = 0, -1, 0, 0
+        self.rate = (0, 0, 0)
 
     def keep_earlier(self, earlier: DataFrame) -> None:
         """URLs and hashes of an earlier run count as seen."""
@@ -326,16 +329,14 @@ def _starting_rows(seeds: DataFrame, frontier: DataFrame | None, max_size: int)
 
 
 def _rate_stop(walk: _Walk, visited: DataFrame, min_rate: float, samples: int) -> int | None:
-    """First page at which the below-minimum streak is long enough, over all levels so far."""
-    log = visited.select("seq", "url", "reached")
-    own = [p for p in walk.done if not p.endswith("-earlier")]
-    if own:
-        log = walk.read(own, "seq long, url string, reached boolean").unionByName(log)
+    """First page of the level at which the below-minimum streak is long enough; what the next level needs is carried."""
+    log = visited.select("seq", "url", "reached").withColumn("_key", canonical_url("url"))
     hits = walk.facts.select(F.col("url").alias("_key"), F.size("rows").alias("_n"))
-    log = log.withColumn("_key", canonical_url("url")).join(hits, "_key", "left").select(
+    log = log.join(hits, "_key", "left").select(
         "seq", "reached", F.when(F.col("reached"), F.coalesce("_n", F.lit(0))).otherwise(F.lit(0)).alias("hit")
     )
-    streaks = below_rate_streak(log, min_rate, samples, reached="reached")
+    streaks = below_rate_streak(log, min_rate, samples, reached="reached", start=walk.rate)
+    walk.rate = streak_state(streaks, walk.rate)
     return stop_seq(streaks.where("reached"), samples).first()["stop"]
 
 
