@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from checks.tables import AT, CANON_URL, ORIGIN, captures, documents, pages, run_log
 from pagetable.functions import http, urls, values
+from pagetable.plans.checkpoints import new_folder
+from pagetable.sources.tables import mirror_pages
 
 HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 PATH = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
@@ -56,6 +58,19 @@ MIRROR_SQL = rf"""SELECT page_id, regexp_replace('root/' || host || path ||
   FROM (SELECT page_id, {HOST} AS host, {PATH} AS path, {QUERY} AS query FROM pages)"""
 
 
+def mirror_saved(spark, sf):
+    """The pages stored by the mirror sink and read back, text or not by their content type."""
+    kind = F.when(F.col("page_id") % 3 == 0, F.lit("image/png")).otherwise(F.lit("text/html; charset=utf-8"))
+    root = new_folder(spark, "mirror")
+    mirror_pages(pages(spark, sf).withColumn("kind", kind), root, F.col("kind"))
+    saved = spark.read.parquet(root)
+    return saved.select("page_id", F.concat(F.lit("root"), "mirror_path").alias("path"), "as_text", F.char_length("html").cast("long").alias("n"))
+
+
+MIRROR_SAVED_SQL = f"""SELECT m.page_id, m.path, m.page_id % 3 <> 0 AS as_text, length(p.html) AS n
+  FROM ({MIRROR_SQL}) m JOIN pages p USING (page_id)"""
+
+
 def url_plain_name(spark, sf):
     return pages(spark, sf).select("page_id", urls.url_to_plain_name("out", "p-", "url").alias("name"))
 
@@ -223,6 +238,7 @@ QUERIES = {
     ),
     "url_joined": (url_joined, URL_JOIN_SQL),
     "url_mirror_path": (url_mirror_path, MIRROR_SQL),
+    "mirror_saved": (mirror_saved, MIRROR_SAVED_SQL),
     "url_plain_name": (
         url_plain_name,
         r"SELECT page_id, 'out/p-' || translate(url, '/&|@\*<>:?=', '-----------') AS name FROM pages",

@@ -23,8 +23,12 @@ def work_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagetable-"))
 
 
+# set by the benchmark, whose table is one small row group; None leaves the table's splits as they are
+PAGE_TASKS: int | None = None
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_pages(spark, f"{sf_dir}/pages.parquet")
+    return read_pages(spark, f"{sf_dir}/pages.parquet", tasks=PAGE_TASKS)
 
 
 def parsed(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
