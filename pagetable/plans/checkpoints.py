@@ -54,4 +54,6 @@ def bucketed_table(df: DataFrame, path: str, key: str) -> DataFrame:
     buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"pagetable_{uuid.uuid4().hex}"
     dealt = df.repartition(buckets, key)
     dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # only the name: files at a stated path stay, and the plan knows their buckets
+    return table
