@@ -112,6 +112,7 @@ def drop_repeated_lines(
         runs.add(held.where(F.col("batch") == k).select("h", F.col("doc").alias("first")))
     goes = held.join(runs.all(), "h").where("first < doc")
     goes = goes.groupBy("doc").agg(F.collect_set("h").alias("goes"))
+    runs.drop()  # the files stay, and are read by path
 
     key, gone = spare("doc_key", docs.columns), spare("goes", docs.columns)
     left = docs.withColumn(key, F.col(doc_id).cast("long"))

@@ -6,6 +6,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,13 +88,11 @@ def near_vectors(
     total = nodes.count()
     share = min(1.0, SAMPLE / max(total, 1))
     picked = nodes.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    sample: dict[int, list] = {}
-    for r in picked.select("dim", "v").limit(2 * SAMPLE).collect():
-        sample.setdefault(r["dim"], []).append(r["v"])
+    sample = picked.select("dim", "v").limit(SAMPLE).toArrow().combine_chunks()
     models = {}
-    for dim, own in sample.items():
-        own = np.array(own)
-        models[dim] = Quantiser(own / np.linalg.norm(own, axis=1, keepdims=True))
+    for dim in sample.column("dim").unique().to_pylist():
+        own = sample.filter(pc.equal(sample.column("dim"), dim)).column("v").combine_chunks()
+        models[dim] = Quantiser(_unit(own))
     index = spark.sparkContext.broadcast(models)  # a rotation per length of vectors
 
     def key_rows(batches):
