@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.tables import AD, FOOTER, H1, HREFS, LINKS_SQL, N_LINKS, N_P, TRACK, flat, pages, parsed, unescaped
 from pagetable.operators.dom import attr_of, parse_dom, script_capture, text_of, visible_text
-from pagetable.operators.selectors import containing, find_first, match_count, matches_frame, nodes_frame, select
+from pagetable.operators.selectors import containing, find_first, inside_join, match_count, matches_frame, nodes_frame, select
 
 TAGS = ["a", "article", "b", "body", "br", "div", "footer", "h1", "head", "html", "li", "meta", "nav", "p", "script", "style", "title", "ul"]
 
@@ -124,10 +124,15 @@ def holder(spark, sf):
 def nested_elements(spark, sf):
     """Links inside list items by an interval join of elements on the page."""
     nodes = nodes_frame(parsed(spark, sf)).select("page_id", "idx", "sub_end", "tag")
-    item = nodes.where("tag = 'li'").alias("i")
-    link = nodes.where("tag = 'a'").alias("a")
-    inside = item.join(link, F.expr("i.page_id = a.page_id and i.idx < a.idx and a.idx <= i.sub_end"))
-    return inside.groupBy("i.page_id").agg(F.count("*").alias("n"))
+    met = inside_join(nodes.where("tag = 'li'"), nodes.where("tag = 'a'"))
+    return met.groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+def inside_all(spark, sf):
+    """Elements below the body, which is as long as the page."""
+    nodes = nodes_frame(parsed(spark, sf)).select("page_id", "idx", "sub_end", "tag")
+    met = inside_join(nodes.where("tag = 'body'"), nodes)
+    return met.groupBy("page_id").agg(F.count("*").alias("n"), F.countDistinct("inner_idx").alias("different"))
 
 
 QUERIES = {
@@ -180,5 +185,10 @@ QUERIES = {
         f"SELECT page_id, substr({unescaped(HREFS + '[1]')}, 2) AS item, 1 AS nth, true AS none FROM pages",
     ),
     "element_intervals": (nested_elements, f"SELECT page_id, {N_LINKS} AS n FROM pages WHERE {N_LINKS} > 0"),
+    "element_intervals_long": (
+        inside_all,
+        """SELECT page_id, n, n AS different FROM (SELECT page_id, len(regexp_extract_all(regexp_replace(
+  regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)^.*<body[^>]*>', ''), '<([a-z0-9]+)', 1)) AS n FROM pages) WHERE n > 0""",
+    ),
     "footer_text": (texts("footer"), f"SELECT page_id, 0 AS pos, {FOOTER} AS text FROM pages WHERE html LIKE '%</footer>%'"),
 }

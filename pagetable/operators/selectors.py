@@ -263,8 +263,22 @@ def matches_frame(parsed, css: str):
 def nodes_frame(parsed):
     """One row per element: page columns, then the element's fields.
 
-    For work across elements by joins: `d` lies inside `a` when a.idx < d.idx and d.idx <= a.sub_end
-    on the same page.
+    `d` lies inside `a` when a.idx < d.idx and d.idx <= a.sub_end on the same page; see `inside_join`.
     """
     keep = [c for c in parsed.columns if c not in ("dom", "chunks")]
     return parsed.select(*keep, F.inline_outer("dom")).where("idx is not null")
+
+
+_SPAN = 64
+
+
+def inside_join(outer, inner, page: str = "page_id"):
+    """(page, outer_idx, inner_idx): every element of `inner` below one of `outer`; both have `page`, `idx`, `sub_end`.
+
+    Elements meet by the stretch of 64 places that they share, so only neighbours are compared, not all pairs of a page.
+    """
+    stretches = F.sequence(F.floor(F.col("idx") / _SPAN), F.floor(F.col("sub_end") / _SPAN))
+    o = outer.select(page, F.col("idx").alias("outer_idx"), "sub_end", F.explode(stretches).alias("_stretch"))
+    i = inner.select(page, F.col("idx").alias("inner_idx"), F.floor(F.col("idx") / _SPAN).alias("_stretch"))
+    met = o.join(i, [page, "_stretch"])
+    return met.where("outer_idx < inner_idx and inner_idx <= sub_end").select(page, "outer_idx", "inner_idx")

@@ -347,3 +347,32 @@ def test_batch_logs_are_folded(spark, tmp_path):
         want.update(new)
     assert {r["url"]: r["seq"] for r in log.fold(log.rows()).collect()} == want
     assert len(os.listdir(tmp_path / "log")) <= 3 + 1 and len([d for d in os.listdir(tmp_path / "log-folded") if d.startswith("upto")]) == 1
+
+
+def test_streaks_carry_over_parts(spark):
+    """A log cut in parts, each begun with the state of the one before, gives what the whole log gives."""
+    import random
+
+    from pagetable.operators.runlog import below_rate_streak, streak_state
+
+    draw = random.Random(2)
+    log = [(i, int(draw.random() < 0.3), draw.random() < 0.8) for i in range(120)]
+    df = spark.createDataFrame(log, "seq long, hit int, reached boolean")
+    whole = {r["seq"]: (r["hit_rate"], r["streak"]) for r in below_rate_streak(df, 0.3, 5, reached="reached").collect()}
+    state, got = (0, 0, 0), {}
+    for a, b in ((0, 1), (1, 40), (40, 41), (41, 120)):
+        part = below_rate_streak(df.where(f"seq >= {a} and seq < {b}"), 0.3, 5, reached="reached", start=state)
+        got.update({r["seq"]: (r["hit_rate"], r["streak"]) for r in part.collect()})
+        state = streak_state(part, state)
+    assert got == whole and state[:2] == (sum(h for _, h, _ in log), 120)
+
+
+def test_elements_meet_by_stretches(spark, one_page):
+    from pagetable import parse_dom
+    from pagetable.operators.selectors import inside_join, nodes_frame
+
+    html = "<div>" + "<ul><li><b>x</b></li></ul>" * 100 + "</div>" + "<p><i>y</i></p>" * 90
+    nodes = nodes_frame(parse_dom(one_page(("u", html), ("v", "<p><i>z</i></p>")))).select("page_id", "idx", "sub_end", "tag")
+    rows_of = [tuple(r) for r in nodes.select("page_id", "idx", "sub_end").collect()]
+    want = sorted((p, a, b) for p, a, end in rows_of for q, b, _ in rows_of if p == q and a < b <= end)
+    assert sorted(tuple(r) for r in inside_join(nodes, nodes).collect()) == want
