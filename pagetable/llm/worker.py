@@ -26,11 +26,20 @@ def once(key, make):
     return held[key]
 
 
-def small(batches, rows: int = ROWS):
-    """Batches cut to at most `rows` rows."""
+def small(batches, rows: int = ROWS, size: int = 16 << 20):
+    """Batches cut to at most `rows` rows and about `size` bytes, or one row."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+            yield from _halved(batch.slice(start, rows), size)
+
+
+def _halved(batch: pa.RecordBatch, size: int):
+    if batch.num_rows > 1 and batch.nbytes > size:
+        half = batch.num_rows // 2
+        yield from _halved(batch.slice(0, half), size)
+        yield from _halved(batch.slice(half), size)
+    else:
+        yield batch
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
