@@ -76,7 +76,6 @@ def near_vectors(
     link and count, but name a component only if it has no other id. Extra columns are ignored; an empty table gives
     an empty one.
     """
-    spark = rows.sparkSession
     wide = rows.select(
         F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label")
     )
@@ -89,14 +88,12 @@ def near_vectors(
     share = min(1.0, SAMPLE / max(total, 1))
     picked = nodes.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) <= int(share * (1 << 30)))
     sample = picked.select("dim", "v").limit(SAMPLE).toArrow().combine_chunks()
-    models = {}
+    models = {}  # a rotation per length of vectors
     for dim in sample.column("dim").unique().to_pylist():
         own = sample.filter(pc.equal(sample.column("dim"), dim)).column("v").combine_chunks()
         models[dim] = Quantiser(_unit(own))
-    index = spark.sparkContext.broadcast(models)  # a rotation per length of vectors
 
     def key_rows(batches):
-        known = index.value
         for batch in small(batches, 4096):
             dims = np.array(batch.column(1).to_pylist())
             nid = batch.column(0).to_numpy()
@@ -104,7 +101,7 @@ def near_vectors(
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 own = batch.column(2).take(pa.array(at))
-                model = known.get(int(dim)) or Quantiser(_unit(own)[:0])
+                model = models.get(int(dim)) or Quantiser(_unit(own)[:0])
                 for i, k in zip(at.tolist(), model.keys(_unit(own)).tolist()):
                     keys[i] = k
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int32()))], names=["nid", "keys"])
