@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetable.functions.values import size_to_bytes
 from pagetable.operators.joins import greatest_per_key, spread_join
-from pagetable.operators.scan import first_rows, number_rows, prefix_scan
-from pagetable.plans.checkpoints import new_folder, through_table
+from pagetable.operators.scan import first_rows, number_rows, ordered_table, prefix_scan
 from pagetable.schemas import PENDING, STATUS_LABELS
 
 
@@ -189,23 +188,21 @@ def update_frontier(frontier: DataFrame, results: DataFrame) -> DataFrame:
 def url_history(captures: DataFrame, seq: str = "seq", url: str = "url", state: str = "hash") -> DataFrame:
     """Captures with the previous and next state of the same URL, in `seq` order (unique per URL).
 
-    Captures are numbered in (url, seq) order and meet their neighbours by number, so a URL with a
-    large part of all captures is spread like any other.
+    Captures are stored in (url, seq) order; neighbours meet inside the stored partitions, and one row per partition
+    joins their ends. A URL with a large part of all captures fills several partitions like any other rows.
     """
-    numbered = through_table(
-        number_rows(captures.select(url, seq, state), [url, seq], "_n"), new_folder(captures.sparkSession, "history")
-    )
-
-    def neighbour(shift: int, name: str) -> DataFrame:
-        return numbered.select(
-            (F.col("_n") + shift).alias("_n"), F.col(url).alias(f"_{name}_url"), F.col(state).alias(f"_{name}")
-        )
-
-    met = numbered.join(neighbour(1, "prev"), "_n", "left").join(neighbour(-1, "next"), "_n", "left")
+    ordered = ordered_table(captures.select(url, seq, state), [url, seq], "_mid")
+    placed = ordered.withColumn("_part", F.shiftright("_mid", 33))
+    here, inside = F.struct(F.col(url).alias("u"), F.col(state).alias("s")), Window.partitionBy("_part").orderBy("_mid")
+    near = placed.withColumns({"_prev": F.lag(here).over(inside), "_next": F.lead(here).over(inside)})
+    ends = placed.groupBy("_part").agg(F.min_by(here, "_mid").alias("_first"), F.max_by(here, "_mid").alias("_last"))
+    across = Window.orderBy("_part")  # one row per partition
+    edges = ends.select("_part", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after"))
+    met = near.join(edges, "_part").withColumns({"_prev": F.coalesce("_prev", "_before"), "_next": F.coalesce("_next", "_after")})
     states = met.select(
         url,
         seq,
-        F.when(F.col("_prev_url") == F.col(url), F.col("_prev")).alias(f"prev_{state}"),
-        F.when(F.col("_next_url") == F.col(url), F.col("_next")).alias(f"next_{state}"),
+        F.when(F.col("_prev.u") == F.col(url), F.col("_prev.s")).alias(f"prev_{state}"),
+        F.when(F.col("_next.u") == F.col(url), F.col("_next.s")).alias(f"next_{state}"),
     )
     return captures.join(states, [url, seq]).select(*captures.columns, f"prev_{state}", f"next_{state}")
