@@ -125,23 +125,27 @@ class ChunkEncoder:
         mixed = (low ^ (low >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (high ^ (high >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         far = np.flatnonzero(~short)
         mixed[far] = np.arange(len(far), dtype=np.uint64)  # long words are looked up one by one
-        order = np.argsort(mixed, kind="stable")
-        ranked = mixed[order]
-        same = (ranked[1:] == ranked[:-1]) & (low[order[1:]] == low[order[:-1]]) & (high[order[1:]] == high[order[:-1]])
-        same &= short[order[1:]] & short[order[:-1]]
+        order = np.argsort(mixed)
+        same = np.ones(max(len(order) - 1, 0), bool)
+        for key in (mixed, low, high):
+            ranked = key[order]
+            same &= ranked[1:] == ranked[:-1]
+        if len(far):
+            ranked = short[order]
+            same &= ranked[1:] & ranked[:-1]
         first = np.concatenate([[True], ~same]) if len(order) else np.zeros(0, bool)
-        kind = np.empty(len(order), np.int64)
-        kind[order] = np.cumsum(first) - 1
+        kind = np.empty(len(order), np.int32)
+        kind[order] = np.cumsum(first, dtype=np.int32) - 1
         lead = order[first]
         raw = data.tobytes()
         ids = self._word_ids([raw[a:b] for a, b in zip(start[lead].tolist(), stop[lead].tolist())])
         pool = np.frombuffer(b"".join(ids), "<u4")
-        count = np.array([len(i) // 4 for i in ids], np.int64)
-        offset = np.cumsum(count) - count
+        count = np.array([len(i) // 4 for i in ids], np.int32)
+        offset = np.cumsum(count, dtype=np.int32) - count
         own = count[kind]
-        ends = np.cumsum(own)
+        ends = np.cumsum(own, dtype=np.int32)  # of one slice of texts: far below 2^31
         total = int(ends[-1]) if len(ends) else 0
-        gathered = pool.take(np.arange(total) + np.repeat(offset[kind] - (ends - own), own)).tobytes()
+        gathered = pool.take(np.arange(total, dtype=np.int32) + np.repeat(offset[kind] - (ends - own), own)).tobytes()
         bounds = np.cumsum([len(c) + 1 for c in chunks])
         ends = np.concatenate([[0], ends])[np.searchsorted(start, bounds)]
         begins = np.concatenate([[0], ends[:-1]])
