@@ -18,7 +18,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH = 200
 GRAM = 32
-BLOCK = 256
+BLOCK = 1024
+CELL = 20
+_TOGETHER = 2048
 
 
 def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -104,63 +106,121 @@ def _refine(strings: np.ndarray, length: int) -> np.ndarray:
     return bucket
 
 
+def _surroundings(table, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts of a table as rows of bytes with their anchors in one column, and which strings in them are real."""
+    reach = length - GRAM
+    strings = np.zeros((table.num_rows, reach + length), np.uint8)
+    left, right = np.zeros(table.num_rows, int), np.zeros(table.num_rows, int)
+    for r, (off, data) in enumerate(zip(table.column("off").to_pylist(), table.column("context").to_pylist())):
+        left[r], right[r] = reach - off, reach - off + len(data)
+        strings[r, left[r] : right[r]] = np.frombuffer(data, np.uint8)
+    place = np.arange(reach + 1)
+    return strings, (place >= left[:, None]) & (place + length <= right[:, None])
+
+
+def _names(bucket: np.ndarray, gram: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """A name for each string: its bucket, the bucket's gram, and its place around the anchor."""
+    return bucket[row, col] + gram[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (col.astype(np.uint64) << np.uint64(40))
+
+
+_CELLS = "array<struct<core long, cell int, single int, open int>>"
+_CELL_TYPE = pa.list_(pa.struct([("core", pa.int64()), ("cell", pa.int32()), ("single", pa.int32()), ("open", pa.int32())]))
+_MET = f"rid long, a int, b int, at int, gram long, off int, context binary, cells {_CELLS}"
+
+
 def _repeats_in_blocks(contexts: DataFrame, length: int) -> DataFrame:
-    """(rid, a, b, key) for strings through an anchor that another context of the same block has at the same place.
+    """Spans (rid, a, b) of strings through an anchor that another context of the same block has at the same place.
 
-    Rows with a key are strings that the block has once, of buckets that have other blocks: they are still open.
+    A row with `cells` instead is a context of a bucket with other blocks: per CELL consecutive strings the hash of what
+    all of them hold, and as bits those that this row speaks for: open ones, and one of each that the block knows.
     """
     reach = length - GRAM
-    width = reach + length
 
     def run(batches):
-        for table, bounds in whole_groups(batches, "g", 512):
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                for lo in range(a, b, 4 * BLOCK):
-                    yield from block(table.slice(lo, min(b - lo, 4 * BLOCK)) if b - a > 4 * BLOCK else table.slice(a, b - a))
+        for table, bounds in whole_groups(batches, "g", _TOGETHER):
+            start = 0
+            for stop in bounds[1:].tolist():  # some groups at a time: names keep their buckets apart
+                if stop - start >= _TOGETHER or stop == len(table):
+                    yield from block(table.slice(start, stop - start))
+                    start = stop
 
     def block(table):
         rid, at, gram = (table.column(c).to_numpy() for c in ("rid", "at", "gram"))
         done, blocks = table.column("n").to_numpy() > 1, table.column("blocks").to_numpy()
-        rows = len(rid)
-        strings, left, right = np.zeros((rows, width), np.uint8), np.zeros(rows, int), np.zeros(rows, int)
-        for r, (off, data) in enumerate(zip(table.column("off").to_pylist(), table.column("context").to_pylist())):
-            strings[r, reach - off : reach - off + len(data)] = np.frombuffer(data, np.uint8)
-            left[r], right[r] = reach - off, reach - off + len(data)
-        bucket = _refine(strings, length)
-        place = np.arange(reach + 1)
-        real = (place >= left[:, None]) & (place + length <= right[:, None])
+        strings, real = _surroundings(table, length)
         row, col = np.nonzero(real)
-        name = bucket[row, col] + gram[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (col.astype(np.uint64) << np.uint64(40))
+        name = _names(_refine(strings, length), gram, row, col)
         order = np.argsort(name, kind="stable")
-        ranked = name[order]
-        same = ranked[1:] == ranked[:-1]
-        twice = np.zeros(len(name), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        found = twice & ~done[row]
-        f = np.flatnonzero(found)
+        same = name[order[1:]] == name[order[:-1]]
+        twice, single = np.zeros(len(name), bool), np.ones(len(name), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        single[order[1:][same]] = False
+        f = np.flatnonzero(twice & ~done[row])
         r, c = row[f], col[f]
         if len(f):  # runs of consecutive strings of a row become one span
             new = np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1] + 1)])
             last = np.concatenate([new[1:], [True]])
-            base = at[r[new]] - reach
-            spans = rid[r[new]], base + c[new], at[r[last]] - reach + c[last] + length
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(spans[0]), pa.array(spans[1].astype(np.int32)), pa.array(spans[2].astype(np.int32)), pa.nulls(len(base), pa.int64())],
-                names=["rid", "a", "b", "key"],
-            )
-        # strings that the block has twice are open to single ones of other blocks through one of their rows
-        single = np.ones(len(name), bool)
-        single[order[1:][same]] = False
+            start, stop = at[r[new]] - reach + c[new], at[r[last]] - reach + c[last] + length
+            nothing = [pa.nulls(len(start), t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.binary(), _CELL_TYPE)]
+            columns = [pa.array(rid[r[new]]), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), *nothing]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        speaks, opened = np.zeros(real.shape, bool), np.zeros(real.shape, bool)
         o = np.flatnonzero(single & (blocks[row] > 1))
-        if len(o):
-            start = at[row[o]] - reach + col[o]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rid[row[o]]), pa.array(start.astype(np.int32)), pa.array((start + length).astype(np.int32)), pa.array(name[o].view(np.int64))],
-                names=["rid", "a", "b", "key"],
-            )
+        speaks[row[o], col[o]] = True
+        opened[row[o], col[o]] = ~(twice[o] | done[row[o]])
+        rows, cells = np.flatnonzero(speaks.any(axis=1)).tolist(), []
+        for r in rows:
+            own = []
+            for j in range(0, reach + 1, CELL):
+                if speaks[r, j : j + CELL].any():
+                    core = xxhash.xxh3_64_intdigest(strings[r, j + CELL - 1 : j + length].tobytes() + gram[r].tobytes(), j)
+                    bits = [int((1 << np.flatnonzero(x[r, j : j + CELL])).sum()) for x in (speaks, opened)]
+                    own.append({"core": core - (1 << 64) if core >> 63 else core, "cell": j, "single": bits[0], "open": bits[1]})
+            cells.append(own)
+        if rows:
+            kept = table.take(pa.array(rows))
+            blank = pa.nulls(len(rows), pa.int32())
+            columns = [kept.column("rid"), blank, blank, *(kept.column(c) for c in ("at", "gram", "off", "context")), pa.array(cells, _CELL_TYPE)]
+            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = ["rid", "a", "b", "at", "gram", "off", "context", "cells"]
+    return contexts.mapInArrow(run, _MET)
+
+
+def _across_blocks(met: DataFrame, length: int) -> DataFrame:
+    """Spans (rid, a, b) of open strings that another block of the bucket has: first cells meet by what their strings
+    have in common, then the strings of those cells by name."""
+    reach = length - GRAM
+    open_rows = met.where("cells is not null")
+    cells = open_rows.select("rid", "at", F.explode("cells").alias("c"))
+    shared = cells.groupBy("c.core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    alive = cells.select("rid", "at", "c", F.col("c.core").alias("core")).join(shared, "core", "left_semi")
+    alive = alive.groupBy("rid", "at").agg(F.collect_list("c").alias("cells"))
+    again = open_rows.drop("cells", "a", "b").join(alive, ["rid", "at"]).select("rid", "at", "gram", "off", "context", "cells")
 
-    return contexts.mapInArrow(run, "rid long, a int, b int, key long")
+    def run(batches):
+        for batch in small(batches, 1024):
+            table = pa.Table.from_batches([batch])
+            rid, at, gram = (table.column(c).to_numpy() for c in ("rid", "at", "gram"))
+            strings, _ = _surroundings(table, length)
+            row, col, told = [], [], []
+            for r, own in enumerate(table.column("cells").to_pylist()):
+                for c in own:
+                    for k in range(CELL):
+                        if c["single"] >> k & 1:
+                            row.append(r)
+                            col.append(c["cell"] + k)
+                            told.append(not c["open"] >> k & 1)
+            row, col = np.array(row, int), np.array(col, int)
+            name = _names(_refine(strings, length), gram, row, col) if len(row) else np.zeros(0, np.uint64)
+            start = pa.array((at[row] - reach + col).astype(np.int32), mask=np.array(told, bool))
+            yield pa.RecordBatch.from_arrays([pa.array(rid[row]), start, pa.array(name.view(np.int64))], names=["rid", "a", "key"])
+
+    keyed = again.mapInArrow(run, "rid long, a int, key long")
+    twice = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    late = keyed.where("a is not null").join(twice, "key", "left_semi")
+    return late.select("rid", "a", (F.col("a") + length).alias("b"))
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -173,7 +233,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     surroundings (all that such a string can reach) occur again need no more; a bucket with one surrounding only is done.
     Of the others the surroundings are fetched, one for each distinct one, and refined by doubling from the buckets of
     later offsets until strings of `length` bytes have names. Large buckets are cut into blocks; strings that a block
-    holds once meet those of the other blocks by name, in a grouped count.
+    holds once meet those of the other blocks in grouped counts, first by what CELL neighbours have in common.
 
     NULL is an empty text. Repeated rows are repeats of each other. A NULL doc_id is a doc_id like others. An empty
     table gives an empty one. Columns called like a result are an error; other names are free. Texts are compared by
@@ -215,10 +275,8 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     dealt = dealt.withColumn("g", F.xxhash64("gram", F.pmod(F.xxhash64("rid", "at"), "blocks")))
     dealt = dealt.select("g", "rid", "at", "gram", "n", "blocks", "off", "context").repartition("g").sortWithinPartitions("g")
     met = stored(_repeats_in_blocks(dealt, length), "met")
-    keyed = met.where("key is not null")
-    twice = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    late = keyed.join(twice, "key", "left_semi").select("rid", "a", "b")
-    spans = sure.union(met.where("key is null").select("rid", "a", "b")).union(late)
+    inside = met.where("a is not null").select("rid", "a", "b")
+    spans = sure.union(inside).union(_across_blocks(met, length))
     spans = spans.groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
     key, gone = spare("rid", docs.columns), spare("spans", docs.columns)
