@@ -247,7 +247,8 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     rows = _anchor_rows(source, length)
     classes = rows.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("one"))
     classes = stored(classes, "surroundings")
-    wide = classes.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
+    # stored, so that the join below shuffles both sides and adaptive execution can cut the rows of a frequent gram
+    wide = stored(classes.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "buckets")
     again = classes.where("n > 1").select("gram", "around")
     reach = length - GRAM
     sure = rows.join(again, ["gram", "around"]).select("rid", (F.col("at") - reach).alias("a"), (F.col("at") + length).alias("b"))
