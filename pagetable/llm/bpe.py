@@ -20,7 +20,7 @@ _OUT_BYTES = 8 << 20
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decode: bool = True) -> DataFrame:
     """The columns `keep` (default: all) with `ids`, `n_tokens` and, if asked for, `decoded`.
 
-    Texts are cut into chunks by a rolling hash of their own bytes; a worker encodes a chunk that several documents
+    Texts are cut into chunks by a rolling hash of their own bytes; a task encodes a chunk that several documents
     share once, and the joins between chunks are repaired by encoding the words around them again until they agree.
     `ids` equals the tokenizers library's encode(text, add_special_tokens=False) without truncation, as little-endian
     unsigned 32-bit integers; `decoded` is its decode(ids, skip_special_tokens=False) in UTF-8.
@@ -41,7 +41,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     schema = T.StructType([docs.schema[k] for k in kept] + added)
 
     def run(batches):
-        encoder = once(("encoder", path), lambda: ChunkEncoder(path))
+        encoder = once(("encoder", path), lambda: ChunkEncoder(path, words_kept=150_000))
         for batch in small(batches, 1024):
             coded = encoder.encode_many(text_bytes(batch.column(inner)))
             start, decoded, size = 0, [], 0
@@ -57,5 +57,6 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
                         new["decoded"] = pa.array(decoded, pa.binary())
                     yield with_columns(batch.slice(start, at + 1 - start), kept, **new)
                     start, decoded, size = at + 1, [], 0
+        encoder.forget()  # the worker goes on to other stages
 
     return source.mapInArrow(run, schema)

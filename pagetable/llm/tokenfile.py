@@ -61,7 +61,7 @@ def write_token_files(
     stage = folder(spark, "token-stage")
 
     def ids_of(batches):
-        encoder = once(("encoder", path), lambda: ChunkEncoder(path))
+        encoder = once(("file encoder", path), lambda: ChunkEncoder(path))
         kind = "<u2" if len(encoder.pieces) <= 1 << 16 and end_id < 1 << 16 else "<u4"
         tail, total = np.array([end_id], kind).tobytes(), np.zeros(max(len(encoder.pieces), end_id + 1), np.int64)
         for batch in small(batches, 1536):

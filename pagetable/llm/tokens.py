@@ -229,6 +229,10 @@ class ChunkEncoder:
             words *= 2
         return None
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.words, self.older, self.chunks, self.joins = {}, {}, {}, {}
+
     def decode(self, ids: bytes) -> bytes:
         """The text of the ids, special tokens kept, in UTF-8."""
         if self.plain:  # without a decoder the library joins the pieces with spaces
