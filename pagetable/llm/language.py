@@ -130,19 +130,20 @@ def _automaton(symbols: list[int], width: int) -> np.ndarray:
 def training_texts(labelled: DataFrame, text: str, lang: str, symbols: int = TRAIN_SYMBOLS, texts: int = TRAIN_TEXTS) -> dict[str, str]:
     """Per language up to `symbols` / languages characters from at most `texts` texts, chosen by a hash of the text.
 
-    The sample is bounded whatever the table: languages are counted by grouped aggregation, rows thinned by hash to
-    about four times the number asked for, and only then ranked within their language.
+    Copies of a text within a language are one text. The sample is bounded whatever the table: the distinct texts of
+    languages are counted by their hashes, rows thinned by hash to about four times the number of texts asked for, copies
+    reduced to one, and only then ranked within their language.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[lang]: r["count"] for r in rows.groupBy(lang).count().collect()}
+    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(text, F.lit("train")).alias("mixed"), F.col(text).alias("text"))
+    counts = {r["lang"]: r["count"] for r in rows.select("lang", "mixed").distinct().groupBy("lang").count().collect()}
     if not counts:
         return {}
     room = max(symbols // len(counts), 1000)
     spread = 1 << 30
     limits = [F.lit(x) for name, n in counts.items() for x in (name, min(spread, 4 * texts * spread // n + 1))]
-    mixed = F.xxhash64(text, F.lit("train"))
-    ranked = rows.select(F.col(lang).alias("lang"), mixed.alias("mixed"), F.substring(text, 1, room // 8).alias("text"))
-    ranked = ranked.where(F.pmod("mixed", F.lit(spread)) <= F.element_at(F.create_map(*limits), F.col("lang")))
+    thinned = rows.where(F.pmod("mixed", F.lit(spread)) <= F.element_at(F.create_map(*limits), F.col("lang")))
+    ranked = thinned.groupBy("lang", "mixed").agg(F.min(F.substring("text", 1, room // 8)).alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("mixed", "text"))
     chosen = ranked.withColumn("place", place).where(F.col("place") <= texts).orderBy("lang", "place").collect()
     samples: dict[str, str] = {}

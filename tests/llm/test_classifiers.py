@@ -159,6 +159,19 @@ def test_language_cases(spark):
         language.identify(texts(spark, rows, Score=1), samples)
 
 
+def test_copies_neither_thin_out_nor_fill_a_sample(spark):
+    """A language of three texts with thousands of copies is learned, and a copied text counts once in a sample."""
+    few = [(f"{word} blue river {i}", "few") for i, word in enumerate(["eins", "zwei", "drei"])]
+    many = [(f"{'stone ' * 30}w{''.join(chr(97 + int(d)) for d in str(i))}", "many") for i in range(60)]
+    rows = few * 4000 + many + many[:3] * 500
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    samples = language.training_texts(docs, "text", "lang", texts=40)
+    assert sorted(samples) == ["few", "many"]
+    assert sorted(samples["few"].split()) == sorted("eins zwei drei".split() + ["blue", "river"] * 3)
+    rare = [w for w in samples["many"].split() if w != "stone"]
+    assert len(rare) == len(set(rare)) == 40
+
+
 # --- secrets -------------------------------------------------------------------------------------
 
 PATTERNS = [
