@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 import sys
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,39 +20,61 @@ TRAIN_SYMBOLS = 160_000
 TRAIN_TEXTS = 400
 PIECE = 256
 _LETTER = re.compile(r"[^\W\d_]")
-_PLANE = 1 << 16
+_POINTS = sys.maxunicode + 1
+_WIDEST = 64
 _OTHER, _SPACE = 0, 1
 
 
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(_PLANE)])
+    return np.array([chr(c).isalpha() for c in range(_POINTS)])
+
+
+class Transitions:
+    """The suffix automaton of one text. States are multiples of the width of its own alphabet; the first is 0.
+
+    Up to _WIDEST symbols they are a table, beyond that sorted keys, whose size does not depend on the alphabet.
+    """
+
+    def __init__(self, symbols: np.ndarray, codes: int):
+        known = np.unique(symbols)
+        self.own = np.zeros(codes, np.int32)  # the symbols of this text by their code; 0 is none of them
+        self.own[known] = np.arange(1, len(known) + 1)
+        self.width = len(known) + 1
+        following = _automaton(self.own[symbols].tolist())
+        state = np.repeat(np.arange(len(following)), [len(f) for f in following])
+        at = state * self.width + np.array([s for f in following for s in f], np.int64)
+        to = np.array([t for f in following for t in f.values()], np.int64) * self.width
+        if self.width <= _WIDEST:
+            self.keys, self.to = None, np.full(len(following) * self.width, -1, np.int32)
+            self.to[at] = to
+        else:
+            order = np.argsort(at)
+            self.keys, self.to = np.append(at[order], -1), np.append(to[order], -1)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where each state goes with a symbol of `own`; -1 if nowhere."""
+        if self.keys is None:
+            return self.to.take(state + symbol)
+        place = np.searchsorted(self.keys[:-1], state + symbol)
+        return np.where(self.keys.take(place) == state + symbol, self.to.take(place), -1)
 
 
 class Automata:
-    """Suffix automata of one text per language, as one transition table over a shared alphabet."""
+    """Suffix automata of one text per language. Every letter of any sample is a symbol; all others are one more."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        letters = Counter(c for text in samples.values() for c in text if c != " " and ord(c) < _PLANE)
-        self.code = np.zeros(_PLANE, np.uint8)
+        alphabet = sorted({c for text in samples.values() for c in text if c != " "})
+        self.code = np.zeros(_POINTS, np.min_scalar_type(len(alphabet) + 1))
         self.code[~once("letters", _letters)] = _SPACE
-        alphabet = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:60]]
         for i, c in enumerate(alphabet):
             self.code[ord(c)] = i + 2
-        self.width = 64
-        tables, self.roots, base = [], [], 0
-        for lang in self.langs:
-            table = _automaton(self.symbols(samples[lang]).tolist(), self.width)
-            self.roots.append(base)
-            tables.append(np.where(table >= 0, table * self.width + base, -1).astype(np.int32))
-            base += table.size
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.tables = [Transitions(self.symbols(samples[lang]), len(alphabet) + 2) for lang in self.langs]
         self.weight = np.array([math.log2(len(samples[lang]) + 2) for lang in self.langs])
 
     def symbols(self, text: str) -> np.ndarray:
         """Letters in lower case by their code, everything else as single spaces between them."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-        codes = self.code[np.where(points < _PLANE, points, 0x4E00)] if len(points) else np.zeros(0, np.uint8)
+        codes = self.code[np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")]
         double = (codes[1:] == _SPACE) & (codes[:-1] == _SPACE)
         return codes[np.concatenate([[True], ~double])] if len(codes) else codes
 
@@ -78,25 +99,25 @@ class Automata:
             n = int(np.searchsorted(-length, -step))
             grid[step, :n] = flat[first[:n] + step]
         active = [int(np.searchsorted(-length, -step)) for step in range(PIECE)]
-        for j, root in enumerate(self.roots):
-            state = np.full(len(pieces), root, np.int32)
+        for j, table in enumerate(self.tables):
+            state = np.zeros(len(pieces), table.to.dtype)
             made = np.zeros(len(pieces), np.int64)
             for step in range(int(length[0])):
                 n = active[step]
-                symbol = grid[step, :n]
-                reached = self.table.take(state[:n] + symbol)
+                symbol = table.own.take(grid[step, :n])
+                reached = table.step(state[:n], symbol)
                 # a phrase begins where none is under way and where the longest match ends
-                made[:n] += (reached < 0) | (state[:n] == root)
+                made[:n] += (reached < 0) | (state[:n] == 0)
                 lost = np.flatnonzero(reached < 0)
                 # a symbol without any match is a phrase of its own
-                reached[lost] = np.maximum(self.table.take(root + symbol[lost]), root)
+                reached[lost] = np.maximum(table.step(np.zeros(len(lost), state.dtype), symbol[lost]), 0)
                 state[:n] = reached
             np.add.at(counts[:, j], owner, made)
         return counts
 
 
-def _automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a symbol sequence; -1 where there is none."""
+def _automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Per state of the suffix automaton of a symbol sequence, where each symbol leads."""
     following, link, longest, last = [{}], [-1], [0], 0
     for s in symbols:
         state = len(following)
@@ -121,10 +142,7 @@ def _automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[state] = clone
         last = state
-    table = np.full((len(following), width), -1, np.int32)
-    rows = np.repeat(np.arange(len(following)), [len(f) for f in following])
-    table[rows, [s for f in following for s in f]] = [t for f in following for t in f.values()]
-    return table
+    return following
 
 
 def training_texts(labelled: DataFrame, text: str, lang: str, symbols: int = TRAIN_SYMBOLS, texts: int = TRAIN_TEXTS) -> dict[str, str]:
@@ -163,8 +181,9 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", keep:
     `score` is the lead over the second, from 0 to 1 (1 if only one language is known).
 
     NULL texts and texts without a letter are `und` with score 0, and so are all texts if nothing was learned.
-    Whole texts are parsed, repeated rows give repeated results, no column but the text is read. Memory: the
-    automata take about 0.5 KB per training symbol, bounded by TRAIN_SYMBOLS for all languages together.
+    Whole texts are parsed, repeated rows give repeated results, no column but the text is read. Every
+    letter of the samples counts as itself; letters that no sample has are one symbol. Memory: the automata take at most
+    about 0.5 KB per training symbol, bounded by TRAIN_SYMBOLS for all languages together.
     """
     kept = docs.columns if keep is None else keep
     if clash := {c.lower() for c in kept} & {"lang_pred", "score"}:

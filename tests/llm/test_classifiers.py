@@ -172,6 +172,27 @@ def test_copies_neither_thin_out_nor_fill_a_sample(spark):
     assert len(rare) == len(set(rare)) == 40
 
 
+def test_every_letter_of_the_samples_counts(spark):
+    """Languages that share a script but not its letters, next to scripts that fill any short list of frequent letters."""
+    draw = random.Random(5)
+
+    def prose(letters, n):
+        return " ".join("".join(draw.choice(letters) for _ in range(draw.randint(2, 6))) for _ in range(n))
+
+    letters = {"la": range(0x61, 0x7B), "el": range(0x3B1, 0x3CA), "ru": range(0x430, 0x450), "be": range(0x450, 0x460)}
+    letters |= {"zh": range(0x4E00, 0x4E00 + 900), "ja": range(0x5300, 0x5300 + 700), "xa": range(0x20000, 0x20000 + 80), "xb": range(0x20100, 0x20100 + 80)}
+    letters = {k: [c for c in map(chr, v) if c.lower() == c and c.isalpha()] for k, v in letters.items()}
+    samples = {k: prose(v, 1500 if k in ("la", "el", "ru") else 200) for k, v in letters.items()}
+    automata = language.Automata(samples)
+    mixed = [c for v in letters.values() for c in v[:40]]
+    told = [(k, prose(v, 20)) for k, v in letters.items() for _ in range(3)]
+    docs = [t for _, t in told] + [prose(mixed + ["\u0e01", "\U00030000"], 60) for _ in range(6)]
+    got = automata.phrases([automata.symbols(t) for t in docs])
+    assert got.tolist() == [[plain_phrases(samples[lang], t) for lang in automata.langs] for t in docs]
+    out = language.identify(texts(spark, [(i, t) for i, (_, t) in enumerate(told)]), samples)
+    assert {r.doc_id: r.lang_pred for r in out.collect()} == {i: k for i, (k, _) in enumerate(told)}
+
+
 # --- secrets -------------------------------------------------------------------------------------
 
 PATTERNS = [
