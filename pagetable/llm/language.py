@@ -18,6 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TRAIN_SYMBOLS = 160_000
 TRAIN_TEXTS = 400
+TRAIN_SHARES = 8
 PIECE = 256
 _LETTER = re.compile(r"[^\W\d_]")
 _POINTS = sys.maxunicode + 1
@@ -145,8 +146,12 @@ def _automaton(symbols: list[int]) -> list[dict[int, int]]:
     return following
 
 
-def training_texts(labelled: DataFrame, text: str, lang: str, symbols: int = TRAIN_SYMBOLS, texts: int = TRAIN_TEXTS) -> dict[str, str]:
-    """Per language up to `symbols` / languages characters from at most `texts` texts, chosen by a hash of the text.
+def training_texts(
+    labelled: DataFrame, text: str, lang: str, symbols: int = TRAIN_SYMBOLS, texts: int = TRAIN_TEXTS, shares: int = TRAIN_SHARES
+) -> dict[str, str]:
+    """Per language up to `symbols` / languages characters (1,000 at least) from at most `texts` texts, chosen by a hash
+    of the text. Of a text's letters and the single spaces between them, at most one part in `shares` of its language's
+    characters is taken, in one piece at a place drawn from the hash, so that openings do not stand for whole texts.
 
     Copies of a text within a language are one text. The sample is bounded whatever the table: the distinct texts of
     languages are counted by their hashes, rows thinned by hash to about four times the number of texts asked for, copies
@@ -161,7 +166,11 @@ def training_texts(labelled: DataFrame, text: str, lang: str, symbols: int = TRA
     spread = 1 << 30
     limits = [F.lit(x) for name, n in counts.items() for x in (name, min(spread, 4 * texts * spread // n + 1))]
     thinned = rows.where(F.pmod("mixed", F.lit(spread)) <= F.element_at(F.create_map(*limits), F.col("lang")))
-    ranked = thinned.groupBy("lang", "mixed").agg(F.min(F.substring("text", 1, room // 8)).alias("text"))
+    thinned = thinned.withColumn("text", F.regexp_replace("text", r"[^\p{L}]+", " "))
+    left = F.greatest(F.length("text") - room // shares, F.lit(0))
+    start = F.pmod(F.xxhash64("mixed", F.lit("place")), left + 1).cast("int") + 1
+    piece = F.substring("text", start, F.lit(room // shares))
+    ranked = thinned.groupBy("lang", "mixed").agg(F.min(piece).alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("mixed", "text"))
     chosen = ranked.withColumn("place", place).where(F.col("place") <= texts).orderBy("lang", "place").collect()
     samples: dict[str, str] = {}

@@ -193,6 +193,20 @@ def test_every_letter_of_the_samples_counts(spark):
     assert {r.doc_id: r.lang_pred for r in out.collect()} == {i: k for i, (k, _) in enumerate(told)}
 
 
+def test_pieces_come_from_the_whole_text(spark):
+    """Long texts that open with the same lines: the sample holds what follows them."""
+    word = lambda i: "".join(chr(97 + int(d)) for d in f"{i:05d}")
+    rows = [("licence " * 50 + "12 34 " * 500 + " ".join(word(100 * i + j) for j in range(100)), "a") for i in range(100)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    sample = language.training_texts(docs, "text", "lang", symbols=4000, texts=50, shares=40)["a"]
+    words = sample.split()
+    assert 3500 < len(sample) <= 4000
+    assert 0.2 < sum(w == "licence" for w in words) * 8 / len(sample) < 0.6
+    assert len(language.training_texts(docs, "text", "lang", symbols=4000, texts=7, shares=40)["a"]) <= 7 * 101
+    held = {w[:3] for w in words if len(w) == 5 and w != "licence"}
+    assert len(held) >= 10
+
+
 # --- secrets -------------------------------------------------------------------------------------
 
 PATTERNS = [
