@@ -172,10 +172,11 @@ def hits(
     extended word by word to both sides, as far as a window through it can reach.
 
     NULL and empty texts have no words. Repeated rows, also of items, give repeated results and count once as items.
-    Rows of one doc_id with different texts are told apart by `text_key`, a hash of the text. NULL ids stay. Extra
-    columns are ignored; empty tables give no hits or no rows.
+    Rows of one doc_id with different texts are told apart by `text_key`, a hash of the text. NULL ids stay: an
+    item with a NULL id is matched like any other and only has no id to add to `items` and `n_items`. Extra columns are
+    ignored; empty tables give no hits or no rows.
     """
-    named = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null")
+    named = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
     of_items = stored(_fingerprints(named, window, gram, list(range(1, window)), None, True), "items")
     # at most window - 1 values
     shorts = sorted(r["n_words"] for r in of_items.where(F.col("n_words").between(1, window - 1)).select("n_words").distinct().collect())

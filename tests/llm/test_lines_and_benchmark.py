@@ -124,3 +124,14 @@ def test_benchmark_cases(spark):
     nothing = bench.where("false")
     assert decontaminate.drop_contaminated(docs, nothing).count() == len(CASES)
     assert decontaminate.hits(texts(spark, []), bench).count() == 0
+
+
+def test_items_without_id_contaminate(spark):
+    """An item with a NULL id is matched; only the list of ids lacks it."""
+    passage = "a passage of ten words and more that has no id at all"
+    rows = [(1, f"before {passage} after"), (2, "nothing of it"), (3, f"lone and {passage}"), (4, "lone")]
+    bench = spark.createDataFrame([(None, passage), (8, "lone"), (None, passage)], "item_id long, text string")
+    docs = texts(spark, rows)
+    got = {r.doc_id: (r.n_hit, r.n_items, r["items"], r.contaminated) for r in decontaminate.hits(docs, bench).collect()}
+    assert got == {1: (13, 0, [], True), 2: (0, 0, [], False), 3: (14, 1, ["8"], True), 4: (1, 1, ["8"], True)}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [2]
