@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagetable.llm.blocks import block_pairs, together
 from pagetable.llm.components import components
-from pagetable.llm.store import stored
+from pagetable.llm.store import spare, stored
 from pagetable.llm.worker import forest, small, text_bytes, whole_groups
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -46,13 +46,19 @@ def fingerprint(data: bytes, words: int = WORDS) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, fp) per row of `docs`; fp as a signed long."""
+    return _fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text), words)
+
+
+def _fingerprints(rows: DataFrame, words: int) -> DataFrame:
+    """`rows` (columns of longs, then text last) with fp in place of the text."""
+    kept = rows.columns[:-1]
 
     def run(batches):
         for batch in small(batches):
-            fps = np.array([fingerprint(t, words) for t in text_bytes(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, words) for t in text_bytes(batch.column(len(kept)))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fps.view(np.int64))], names=[*kept, "fp"])
 
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*kept, "fp"]))
 
 
 def ring(bits: int) -> list[tuple[int, int]]:
@@ -148,20 +154,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component like others but names none unless all its members are NULL. Extra columns are ignored; an empty table
     gives an empty one.
     """
-    prints = stored(fingerprints(docs, doc_id, text, words), "fingerprints")
+    groups = _grouped(fingerprints(docs, doc_id, text, words), bits)
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return groups.select("doc_id", digits, "component_id")
+
+
+def _grouped(prints: DataFrame, bits: int) -> DataFrame:
+    """`prints` with the root of each row's component, a fingerprint, and component_id."""
+    prints = stored(prints, "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes.select("fp"), bits), "a", "b")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(named, "fp").select("doc_id", digits, "component_id")
+    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
     """`docs` with one row per component: that of its smallest doc_id, once. Rows with a NULL doc_id stay: no component
-    can be named after them."""
-    groups = near_duplicates(docs, doc_id, text, words, bits)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs[doc_id] == keep["_keep"], "left_semi").dropDuplicates([doc_id])
+    can be named after them.
+
+    Different texts under one doc_id are told apart by a hash of the text, so each of their components keeps its row. Of
+    several texts of the smallest doc_id in one component the one with the least hash stays, of several rows with that
+    text the first by its other columns, written as JSON.
+    """
+    key = spare("text_key", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64(text))
+    prints = keyed.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(key).alias("text_key"), F.col(text))
+    named = _grouped(_fingerprints(prints, words), bits).where("doc_id = component_id")
+    keep = named.groupBy("root", F.col("doc_id").alias("_keep")).agg(F.min("text_key").alias("_key"))
+    same = (keyed[doc_id] == keep["_keep"]) & (keyed[key] == keep["_key"])
+    row, others = F.struct(*docs.columns), F.to_json(F.struct(*[c for c in docs.columns if c != text]))
+    kept = keyed.join(keep, same, "left_semi").groupBy(doc_id, key).agg(F.min_by(row, others).alias("row")).select("row.*")
     return kept.unionByName(docs.where(docs[doc_id].isNull()))

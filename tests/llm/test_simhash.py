@@ -72,6 +72,18 @@ def test_empty(spark):
     assert simhash.one_per_group(docs).count() == 0
 
 
+def test_texts_under_one_id_keep_their_groups(spark):
+    """Two texts of one doc_id in two components both stay; of copies under it one row, the first by its other columns."""
+    a, b, c = ("alpha beta gamma delta", "one two three four five", "quite another text of other words")
+    rows = [(1, a, "z"), (1, b, "y"), (2, a, "x"), (1, a, "w"), (1, a, None), (0, c, "v"), (1, c, "u"), (4, b, "t")]
+    rows += [(7, t, "s") for t in ("same words here", "Same words here", "same  words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = sorted(tuple(r) for r in simhash.one_per_group(docs).collect())
+    assert [r for r in kept if r[0] != 7] == [(0, c, "v"), (1, a, "w"), (1, b, "y")]
+    assert len(kept) == 4
+    assert sorted(tuple(r) for r in simhash.one_per_group(docs.repartition(5)).collect()) == kept
+
+
 @pytest.mark.parametrize("bits", [1, 2, 3, 4, 6])
 def test_every_link_connects(spark, bits):
     """Dense and sparse fingerprints: the components of the links are those of all pairs, with small blocks too."""
