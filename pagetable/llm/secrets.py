@@ -196,16 +196,20 @@ def format_score(learned: dict, value: str) -> float:
     return best
 
 
-def _split(text: str) -> tuple[list, list[tuple[int, int]]]:
-    """The base spans, and the candidates that touch none of them."""
+def _split(text: str) -> tuple[list, list[tuple[int, int]], list[tuple[int, int]]]:
+    """The base spans, the candidates that touch none of them, and those that touch some and lie in none of them."""
     base = base_spans(text)
     starts, reach = [b[1] for b in base], list(accumulate((b[2] for b in base), max))
-    free = []
+    free, wider = [], []
     for m in _CANDIDATE.finditer(text):
         before = bisect_left(starts, m.end())  # base spans that start before the candidate ends
         if not before or reach[before - 1] <= m.start():
             free.append((m.start(), m.end()))
-    return base, free
+            continue
+        upto = bisect_left(starts, m.start() + 1)  # base spans that start no later than the candidate
+        if not upto or reach[upto - 1] < m.end():
+            wider.append((m.start(), m.end()))
+    return base, free, wider
 
 
 def labelled_samples(docs: DataFrame, text: str = "text", per_kind: int = TRAIN_PER_KIND) -> dict[str, list[str]]:
@@ -221,7 +225,7 @@ def labelled_samples(docs: DataFrame, text: str = "text", per_kind: int = TRAIN_
         for batch in small(batches):
             for data in text_bytes(batch.column(0)):
                 text = data.decode()
-                base, free = _split(text)
+                base, free, _ = _split(text)
                 for kind, value in [(b[0], text[b[3] : b[4]]) for b in base] + [(3, text[a:b]) for a, b in free]:
                     lowest[kind][value] = zlib.crc32(value.encode())
             for kind, values in enumerate(lowest):
@@ -244,8 +248,9 @@ def scan(docs: DataFrame, learned: dict, text: str = "text", keep: list[str] | N
     """The columns `keep` (default: all) with `spans`: an array of (kind, start, end, score), in code points.
 
     The kinds assign, access and hex are the matches of fixed patterns, always kept (score NULL). The kind `format`
-    adds runs of 16 or more credential characters that touch none of them, if an automaton inferred from labelled
-    credentials finds them likelier than the one of ordinary text by `margin` per character.
+    adds runs of 16 or more credential characters that lie in none of them, if an automaton inferred from labelled
+    credentials finds them likelier than the one of ordinary text by `margin` per character. A run that holds or crosses
+    a base span is added beside it.
 
     NULL and empty texts have no spans; repeated rows give repeated results; an empty table gives an empty one. Whole
     texts are scanned. If nothing was learned, only fixed patterns count. A column called spans is an error.
@@ -264,9 +269,9 @@ def scan(docs: DataFrame, learned: dict, text: str = "text", keep: list[str] | N
             rows = []
             for data in text_bytes(batch.column(len(kept))):
                 text = data.decode()
-                base, free = _split(text)
+                base, free, wider = _split(text)
                 spans = [(b[1], b[0], b[2], None) for b in base]
-                for a, b in free:
+                for a, b in free + wider:
                     value = text[a:b]
                     score = scores.get(value)
                     if score is None:

@@ -274,6 +274,21 @@ def test_formats_are_inferred(spark):
     assert sum(bool(got[200 + i]) for i in range(100)) <= 2
 
 
+def test_runs_around_base_spans_are_scored(spark):
+    """A longer key with 24 hex characters in a row inside is reported whole, beside the base span."""
+    draw = random.Random(4)
+    pick = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    every = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    told = [(i, f"token={pick(every, 40)} {pick('abcdefghijklmnopqrstuvwxyz', 20)}") for i in range(400)]
+    learned = secrets.infer(secrets.labelled_samples(texts(spark, told)))
+    keys = [(i, f"see {pick(every, 15)}Z{pick('0123456789abcdef', 24)}Z{pick(every, 15)} there") for i in range(100)]
+    inside = [(200 + i, f"token={pick(every, 40)} {pick('0123456789abcdef', 30)}") for i in range(20)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(texts(spark, keys + inside), learned).collect()}
+    assert all([s for s in got[i] if s[0] != "format"] == plain_base(t) for i, t in keys + inside)
+    assert sum(("format", 4, 60) in got[i] for i in range(100)) >= 90
+    assert not any(s[0] == "format" for i, _ in inside for s in got[i])
+
+
 def test_automata_merge_and_score():
     draw = random.Random(0)
     strings = ["".join(draw.choice("9f") for _ in range(12)) for _ in range(300)]
