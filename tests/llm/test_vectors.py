@@ -71,6 +71,23 @@ def test_recall(spark, seed):
     assert sum(got.values()) >= 0.98 * sum(want.values()) > 0
 
 
+@pytest.mark.parametrize("common", [0.0, 0.6, 0.72, 0.87])
+def test_pairs_at_the_limit_meet(common):
+    """Also on vectors with a common mean, whose subtraction widens the angle of a pair."""
+    draw = np.random.default_rng(8)
+
+    def rows(n):
+        v = draw.standard_normal((n, 64))
+        v = (1 - common**2) ** 0.5 * v / np.linalg.norm(v, axis=1, keepdims=True) + common * np.eye(64)[0]
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    model, a = vectors.Quantiser(rows(10_000)), rows(3000)
+    aside = draw.standard_normal(a.shape)
+    aside -= (aside * a).sum(axis=1, keepdims=True) * a
+    b = 0.98 * a + (1 - 0.98**2) ** 0.5 * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    assert (model.keys(a) == model.keys(b)).any(axis=1).mean() >= 0.98
+
+
 def test_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
