@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from pagetable.llm.tokens import ChunkEncoder
+from pagetable.llm.store import spare
 from pagetable.llm.worker import once, small, text_bytes, with_columns
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,9 +35,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     added += [T.StructField("decoded", T.BinaryType())] if decode else []
     if clash := {c.lower() for c in kept} & {f.name for f in added}:
         raise ValueError(f"columns with the names of results: {sorted(clash)}")
-    inner = "_text"
-    while inner in kept:
-        inner = "_" + inner
+    inner = spare("_text", kept)
     source = docs.select(*kept, docs[text].alias(inner))
     schema = T.StructType([docs.schema[k] for k in kept] + added)
 

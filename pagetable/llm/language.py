@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 import sys
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagetable.llm.store import spare
 from pagetable.llm.worker import once, small, text_bytes, with_columns
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -20,7 +20,6 @@ TRAIN_SYMBOLS = 160_000
 TRAIN_TEXTS = 400
 TRAIN_SHARES = 8
 PIECE = 256
-_LETTER = re.compile(r"[^\W\d_]")
 _POINTS = sys.maxunicode + 1
 _WIDEST = 64
 _OTHER, _SPACE = 0, 1
@@ -149,7 +148,7 @@ def _automaton(symbols: list[int]) -> list[dict[int, int]]:
 def training_texts(
     labelled: DataFrame, text: str, lang: str, symbols: int = TRAIN_SYMBOLS, texts: int = TRAIN_TEXTS, shares: int = TRAIN_SHARES
 ) -> dict[str, str]:
-    """Per language up to `symbols` / languages characters (1,000 at least) from at most `texts` texts, chosen by a hash
+    """Per language up to `symbols` / languages characters from at most `texts` texts, chosen by a hash
     of the text. Of a text's letters and the single spaces between them, at most one part in `shares` of its language's
     characters is taken, in one piece at a place drawn from the hash, so that openings do not stand for whole texts.
 
@@ -162,7 +161,7 @@ def training_texts(
     counts = {r["lang"]: r["count"] for r in rows.select("lang", "mixed").distinct().groupBy("lang").count().collect()}
     if not counts:
         return {}
-    room = max(symbols // len(counts), 1000)
+    room = max(symbols // len(counts), 1)
     spread = 1 << 30
     limits = [F.lit(x) for name, n in counts.items() for x in (name, min(spread, 4 * texts * spread // n + 1))]
     thinned = rows.where(F.pmod("mixed", F.lit(spread)) <= F.element_at(F.create_map(*limits), F.col("lang")))
@@ -177,7 +176,7 @@ def training_texts(
     for r in chosen:
         held = samples.get(r["lang"], "")
         if len(held) < room:
-            own = " ".join(re.findall(r"[^\W\d_]+", r["text"].lower()))
+            own = " ".join("".join(c if c.isalpha() else " " for c in r["text"].lower()).split())
             samples[r["lang"]] = f"{held} {own}"[:room]
     return samples
 
@@ -197,16 +196,14 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", keep:
     kept = docs.columns if keep is None else keep
     if clash := {c.lower() for c in kept} & {"lang_pred", "score"}:
         raise ValueError(f"columns with the names of results: {sorted(clash)}")
-    inner = "_text"
-    while inner in kept:
-        inner = "_" + inner
+    inner = spare("_text", kept)
     stamp = hash(tuple(sorted(samples.items())))
 
     def run(batches):
         automata = once(("automata", stamp), lambda: Automata(samples))
         for batch in small(batches, 512):
             texts = [t.decode() for t in text_bytes(batch.column(len(kept)))]
-            known = [bool(_LETTER.search(t)) and bool(automata.langs) for t in texts]
+            known = [any(map(str.isalpha, t)) and bool(automata.langs) for t in texts]
             parsed = [automata.symbols(t) if k else np.zeros(0, np.uint8) for t, k in zip(texts, known)]
             cost = automata.phrases(parsed) * automata.weight
             langs, scores = [], []

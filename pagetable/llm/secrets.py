@@ -258,9 +258,7 @@ def scan(docs: DataFrame, learned: dict, text: str = "text", keep: list[str] | N
     kept = docs.columns if keep is None else keep
     if "spans" in [c.lower() for c in kept]:
         raise ValueError("a column has the name of the result: spans")
-    inner = "_text"
-    while inner in kept:
-        inner = "_" + inner
+    inner = spare("_text", kept)
     kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):

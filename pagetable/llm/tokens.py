@@ -82,6 +82,7 @@ class ChunkEncoder:
         self.mean, self.chunks_kept, self.words_kept = mean_chunk, chunks_kept, words_kept
         added = spec.get("added_tokens", [])
         self.by_word = _drops_space(spec)
+        self.parts_marks = self.by_word and _pattern(spec).endswith(_LETTERS_AND_MARKS)
         # upper-case ASCII may be folded before the cache where the file folds it anyway
         self.folds = self.by_word and "Lowercase" in json.dumps(spec.get("normalizer"))
         self.marks = {t["content"].encode().lower() for t in added}
@@ -114,20 +115,22 @@ class ChunkEncoder:
         inside = (~_SPACE[data]).view(np.int8)
         edges = np.diff(inside, prepend=np.int8(0), append=np.int8(0))
         start, stop = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        core = stop.copy()  # punctuation behind an ASCII letter or digit is a word of its own
-        for _ in range(4):
-            core -= _PUNCTUATION[data[core - 1]] & (core - 1 > start)
-        core = core[(core < stop) & _PLAIN[data[core - 1]]]
-        start, stop = np.sort(np.concatenate([start, core])), np.sort(np.concatenate([stop, core]))
+        if self.parts_marks:
+            core = stop.copy()  # punctuation behind an ASCII letter or digit is a word of its own
+            for _ in range(4):
+                core -= _PUNCTUATION[data[core - 1]] & (core - 1 > start)
+            core = core[(core < stop) & _PLAIN[data[core - 1]]]
+            start, stop = np.sort(np.concatenate([start, core])), np.sort(np.concatenate([stop, core]))
         length = stop - start
         short = length <= 16
         low, high = _packed(data, np.where(short, start, 0), np.where(short, length, 0))
         mixed = (low ^ (low >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (high ^ (high >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        mixed += length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # a word may end in zero bytes
         far = np.flatnonzero(~short)
         mixed[far] = np.arange(len(far), dtype=np.uint64)  # long words are looked up one by one
         order = np.argsort(mixed)
         same = np.ones(max(len(order) - 1, 0), bool)
-        for key in (mixed, low, high):
+        for key in (mixed, low, high, length):
             ranked = key[order]
             same &= ranked[1:] == ranked[:-1]
         if len(far):
@@ -250,11 +253,21 @@ def _join_key(left: bytes, right: bytes) -> bytes:
 _FIRST = re.compile(rb"[ \t-\r]*[^ \t-\r]*")
 
 
+# letters, digits and everything else are pieces apart
+_LETTERS_AND_MARKS = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _pattern(spec: dict) -> str:
+    steps = spec.get("pre_tokenizer") or {}
+    first = (steps.get("pretokenizers") or [steps])[0]
+    return (first.get("pattern") or {}).get("Regex", r"\s")
+
+
 def _drops_space(spec: dict) -> bool:
     """Whether white space separates words and is part of no token, so that words can be encoded alone."""
     steps = spec.get("pre_tokenizer") or {}
     first = (steps.get("pretokenizers") or [steps])[0]
-    matched = (first.get("pattern") or {}).get("Regex", r"\s")
+    matched = _pattern(spec)
     normal = spec.get("normalizer") or {}
     kinds = {n["type"] for n in normal.get("normalizers", [normal]) if n}
     return (
@@ -262,6 +275,7 @@ def _drops_space(spec: dict) -> bool:
         and first.get("behavior") == "Removed"
         and first.get("invert") is True
         and r"\s" not in matched.replace(r"[^\s", "[^")
+        and not re.search(r"\.|\\[DSWHV]|\[\^(?!\\s)", matched)  # these match white space too
         and kinds <= {"NFC", "NFD", "Replace", "Lowercase"}
         and not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in spec.get("added_tokens", []))
     )

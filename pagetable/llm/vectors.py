@@ -81,6 +81,8 @@ class Quantiser:
 def _unit(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = flat.reshape(len(column), -1)
+    # the largest entry first, so that no square leaves the range of doubles
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True, initial=0)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 

@@ -146,10 +146,10 @@ def test_predictions_see_the_text_only(spark):
 def test_language_cases(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     samples = language.training_texts(docs.select("text", "lang"), "text", "lang")
-    rows = CASES + [(40, "12 34 !?"), (41, "東京"), (42, "the and of with this that")]
-    out = language.identify(texts(spark, rows, lang="q", _text="r"), samples)
+    rows = CASES + [(40, "12 34 !?"), (43, "½ ² Ⅷ ①"), (41, "東京"), (42, "the and of with this that")]
+    out = language.identify(texts(spark, rows, lang="q", _TEXT="r"), samples)
     got = {str(r.doc_id): (r.lang_pred, r.score) for r in out.collect()}
-    assert got["7"] == got["3"] == got["5"] == got["40"] == ("und", 0.0)
+    assert got["7"] == got["3"] == got["5"] == got["40"] == got["43"] == ("und", 0.0)
     assert got["42"][0] == "en" and got["41"][0] in samples
     assert {r.lang_pred for r in language.identify(texts(spark, rows), {}).collect()} == {"und"}
     assert language.training_texts(docs.where("false").select("text", "lang"), "text", "lang") == {}

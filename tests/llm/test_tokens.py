@@ -1,6 +1,8 @@
 """BPE encoding and token files against the tokenizers library itself."""
 
 import hashlib
+import json
+import random
 import zlib
 
 import numpy as np
@@ -38,6 +40,38 @@ def test_encoder_equals_the_library(spark, name):
             assert encoder.decode(got).decode() == lib.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("kept", [4_000, 20])
+def test_random_texts(name, kept):
+    """Words that differ in zero bytes, controls, combining marks and punctuation only, in one call and across calls."""
+    draw = random.Random(kept)
+    letters = ["a", "file", "B", "1", "\0", "\0\0", "\x01", "\x7f", "\u0301", "\u0338", "é", "ß", "東", "İ", ".", ",", "'s", "'", "(", "_", "=", "\u200d", "😀"]
+    spaces = [" ", " ", " ", "\n", "\t", "\x1c", "\u2003", "\u0085", "  "]
+    encoder, lib = ChunkEncoder(queries.tokenizer(name), mean_chunk=24, chunks_kept=kept, words_kept=50 * kept), library(name)
+    docs = ["see a file\0 then a file here"]
+    docs += ["".join(draw.choice(letters if draw.random() < 0.7 else spaces) for _ in range(draw.randint(0, 30))) for _ in range(10_000)]
+    for at in range(0, len(docs), 97):
+        own = docs[at : at + 97]
+        want = lib.encode_batch(own, add_special_tokens=False)
+        for text, ids, got in zip(own, want, encoder.encode_many([t.encode() for t in own])):
+            assert np.frombuffer(got, "<u4").tolist() == ids.ids, text
+
+
+def test_pattern_that_keeps_punctuation(tmp_path):
+    """A file whose words hold their punctuation: it is not split off before encoding."""
+    vocab = {c: i for i, c in enumerate(["a", "b", "c", "d", ".", "d."])}
+    spec = {
+        "version": "1.0", "added_tokens": [], "normalizer": None, "post_processor": None, "decoder": None,
+        "pre_tokenizer": {"type": "Split", "pattern": {"Regex": r"[^\s]+"}, "behavior": "Removed", "invert": True},
+        "model": {"type": "BPE", "vocab": vocab, "merges": [["d", "."]]},
+    }
+    path = tmp_path / "own.json"
+    path.write_text(json.dumps(spec))
+    encoder = ChunkEncoder(str(path), mean_chunk=16)
+    for text in ("abcd.", "ab d. d .", "d.. a d.\0"):
+        assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == ids_of(Tokenizer.from_file(str(path)), text)
+
+
 def test_equal_passages_are_cut_alike():
     passage = b"the same long passage of many words " * 60
     a, b = cuts([b"one " * 40 + passage, b"quite another beginning " * 30 + passage], 128)
@@ -56,8 +90,8 @@ def test_query_is_what_the_library_gives(spark):
 
 
 def test_encode_cases(spark):
-    out = bpe.encode(texts(spark, CASES, _text="a", source="b"), queries.tokenizer())
-    assert out.columns == ["doc_id", "text", "_text", "source", "ids", "n_tokens", "decoded"]
+    out = bpe.encode(texts(spark, CASES, _TEXT="a", source="b"), queries.tokenizer())
+    assert out.columns == ["doc_id", "text", "_TEXT", "source", "ids", "n_tokens", "decoded"]
     lib = library("word_bpe_49k.json")
     for r in out.collect():
         assert np.frombuffer(r.ids, "<u4").tolist() == ids_of(lib, r.text) and r.n_tokens == len(r.ids) // 4

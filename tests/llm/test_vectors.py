@@ -24,7 +24,8 @@ def plain(rows, cosine=0.98):
             i = root[i]
         return i
 
-    unit = [np.array(v, float) / np.linalg.norm(np.array(v, float)) if ok else None for (_, v, _), ok in zip(rows, fine)]
+    scaled = [np.array(v, float) / max(map(abs, v)) if ok else None for (_, v, _), ok in zip(rows, fine)]
+    unit = [v / np.linalg.norm(v) if v is not None else None for v in scaled]
     for i in range(n):
         for j in range(i):
             if fine[i] and fine[j] and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= cosine:
@@ -94,6 +95,7 @@ def test_cases(spark):
         (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [], 1), (7, [0.0, -0.0], 1),
         (8, [nan, 1.0], 1), (9, [inf, 1.0], 1), (10, [None, 1.0], 1), (11, [1.0, 0.0, 0.0], 1), (2, [2.0, 0.0], 1), (None, [1.0, 0.01], 1),
         (12, [0.0, 5.0], 1), (13, [-0.0, 5.0], 1), (14, [1.0, 0.0, 0.1], 1), (None, [0.0, 1.0], 3), (15, [1e-30, 0.0], 1),
+        (16, [1e-200, 0.0], 4), (17, [1e308, 1e308], 4), (18, [1e308, 0.99e308], 4), (19, [1e-320, 0.0], 4), (20, [5e-324, 5e-324], 4),
     ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"v": F.lit(1), "n_links": F.lit(2), "g": F.lit(3)})
     assert as_set(vectors.near_vectors(df).collect()) == as_set(plain(rows))
