@@ -173,8 +173,8 @@ def hits(
 
     NULL and empty texts have no words. Repeated rows, also of items, give repeated results and count once as items.
     Rows of one doc_id with different texts are told apart by `text_key`, a hash of the text. NULL ids stay: an
-    item with a NULL id is matched like any other and only has no id to add to `items` and `n_items`. Extra columns are
-    ignored; empty tables give no hits or no rows.
+    item with a NULL id is matched like any other and counts in `n_items` (all such items as one); it only has no id to
+    list in `items`. Extra columns are ignored; empty tables give no hits or no rows.
     """
     named = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
     of_items = stored(_fingerprints(named, window, gram, list(range(1, window)), None, True), "items")
@@ -218,15 +218,16 @@ def hits(
 
     spans = pairs.mapInArrow(extend, f"doc {doc_type}, txt long, item string, a int, b int")
     per_doc = spans.groupBy("doc", "txt").agg(
-        F.collect_set(F.struct("a", "b")).alias("spans"), F.array_sort(F.collect_set("item")).alias("found")
-    )
+        F.collect_set(F.struct("a", "b")).alias("spans"), F.array_sort(F.collect_set("item")).alias("found"),
+        F.max(F.col("item").isNull().cast("int")).alias("unnamed"),
+    )
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.a, s.b - 1)))))
-    per_doc = per_doc.select("doc", "txt", "found", covered.cast("long").alias("hit"))
+    per_doc = per_doc.select("doc", "txt", "found", "unnamed", covered.cast("long").alias("hit"))
     joined = marked.select("doc_id", "text_key", "n_words").join(per_doc, key, "left")
     none = F.array().cast("array<string>")
     return joined.select(
         "doc_id", "text_key", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.greatest(F.size("found"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("found", none).alias("items"),
+        F.coalesce(F.size("found") + F.col("unnamed"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("found", none).alias("items"),
         F.col("hit").isNotNull().alias("contaminated"),
     )
 
