@@ -180,27 +180,29 @@ def hits(
     of_items = stored(_fingerprints(named, window, gram, list(range(1, window)), None, True), "items")
     # at most window - 1 values
     shorts = sorted(r["n_words"] for r in of_items.where(F.col("n_words").between(1, window - 1)).select("n_words").distinct().collect())
-    item_grams = of_items.select("item", F.explode("grams").alias("i"))
-    item_grams = item_grams.select("item", "i.k", "i.h", "i.off", "i.ctx")
+    item_grams = of_items.select("item", F.explode("grams").alias("i")).select("item", "i.k", "i.h", "i.off", "i.ctx")
     wanted = _filter(item_grams.select("h"))
 
-    key = [F.col("doc_id").eqNullSafe(F.col("doc")), F.col("text_key") == F.col("txt")]
+    # words hold no spaces, so the key names one context
+    context = F.unhex(F.md5(F.concat_ws(" ", "k", "h", "off", F.array_join("ctx", " "))))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     marked = stored(_fingerprints(source, window, gram, shorts, wanted, False), "doc-grams")
     doc_grams = marked.where(F.size("grams") > 0).select("doc_id", "text_key", F.explode("grams").alias("d"))
-    doc_grams = doc_grams.select("doc_id", "text_key", "d.*").distinct()
-    on = [doc_grams.k == item_grams.k, doc_grams.h == item_grams.h]
-    pairs = doc_grams.join(item_grams, on).select(
-        "doc_id", "text_key", "item", doc_grams.k, "at", doc_grams.off.alias("d_off"), doc_grams.ctx.alias("d_ctx"),
-        item_grams.off.alias("i_off"), item_grams.ctx.alias("i_ctx"),
+    doc_grams = doc_grams.select("doc_id", "text_key", "d.*").withColumn("c", context)
+    item_grams = item_grams.withColumn("ic", context)
+    # a passage that many documents or items share is one context on its side: pairs are of contexts, not of occurrences
+    of_docs = doc_grams.groupBy("c", "k", "h").agg(F.first("off").alias("d_off"), F.first("ctx").alias("d_ctx"))
+    holders = item_grams.groupBy("ic", "k", "h").agg(
+        F.first("off").alias("i_off"), F.first("ctx").alias("i_ctx"), F.collect_set("item").alias("items"),
+        F.max(F.col("item").isNull().cast("int")).alias("unnamed"),
     )
-    doc_type = source.schema["doc_id"].dataType.simpleString()
+    pairs = of_docs.join(holders.drop("items", "unnamed"), ["k", "h"]).select("c", "ic", "k", "d_off", "d_ctx", "i_off", "i_ctx")
 
     def extend(batches):
-        for batch in batches:
+        for batch in small(batches, 4096):
             rows, starts, stops = [], [], []
-            columns = [batch.column(i).to_pylist() for i in range(3, 9)]
-            for r, (k, at, d_off, d, i_off, i) in enumerate(zip(*columns)):
+            columns = [batch.column(i).to_pylist() for i in range(2, 7)]
+            for r, (k, d_off, d, i_off, i) in enumerate(zip(*columns)):
                 if d[d_off : d_off + k] != i[i_off : i_off + k]:
                     continue
                 left, right = 0, k
@@ -210,19 +212,26 @@ def hits(
                     right += 1
                 if left + right >= min(window, len(i)):
                     rows.append(r)
-                    starts.append(at - left)
-                    stops.append(at + right)
+                    starts.append(-left)
+                    stops.append(right)
             found = batch.take(pa.array(rows, pa.int32()))
-            columns = [found.column(i) for i in range(3)] + [pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "txt", "item", "a", "b"])
+            columns = [found.column(0), found.column(1), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["c", "ic", "a", "b"])
 
-    spans = pairs.mapInArrow(extend, f"doc {doc_type}, txt long, item string, a int, b int")
-    per_doc = spans.groupBy("doc", "txt").agg(
-        F.collect_set(F.struct("a", "b")).alias("spans"), F.array_sort(F.collect_set("item")).alias("found"),
-        F.max(F.col("item").isNull().cast("int")).alias("unnamed"),
+    met = pairs.mapInArrow(extend, "c binary, ic binary, a int, b int").join(holders.select("ic", "items", "unnamed"), "ic")
+    of_context = met.groupBy("c").agg(
+        F.collect_set(F.struct("a", "b")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+        F.max("unnamed").alias("unnamed"),
+    )
+    places = doc_grams.groupBy("doc_id", "text_key", "c").agg(F.collect_set("at").alias("at")).join(of_context, "c")
+    own = F.flatten(F.transform("at", lambda p: F.transform("spans", lambda s: F.struct((p + s.a).alias("a"), (p + s.b).alias("b")))))
+    per_doc = places.groupBy(F.col("doc_id").alias("doc"), F.col("text_key").alias("txt")).agg(
+        F.flatten(F.collect_list(own)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("found"),
+        F.max("unnamed").alias("unnamed"),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.a, s.b - 1)))))
     per_doc = per_doc.select("doc", "txt", "found", "unnamed", covered.cast("long").alias("hit"))
+    key = [F.col("doc_id").eqNullSafe(F.col("doc")), F.col("text_key") == F.col("txt")]
     joined = marked.select("doc_id", "text_key", "n_words").join(per_doc, key, "left")
     none = F.array().cast("array<string>")
     return joined.select(
