@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetable.llm import bpe, decontaminate, language, lines, quality, repeats, secrets, simhash, tokenfile, vectors
+from pagetable.llm import bpe, decontaminate, language, lines, quality, repeats, secrets, simhash, tokenfile, toxicity, vectors
 from pagetable.llm.store import folder
 
 END_ID = 2
@@ -132,6 +132,14 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(fold != 0))
+    told = toxicity.score(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return told.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 OP10_SQL = """
 WITH RECURSIVE fine AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
@@ -159,5 +167,6 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_token_files": op9_token_files,
     "op10_vectors": op10_vectors,
+    "op11_toxicity": op11_toxicity,
 }
 SQL = {"op2_decontaminate": OP2_SQL, "op6_lines": OP6_SQL, "op10_vectors": OP10_SQL}
