@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetable.llm import bpe, decontaminate, language, lines, quality, repeats, secrets, simhash, tokenfile, toxicity, vectors, whitening
+from pagetable.llm import bpe, decontaminate, language, lines, quality, repeats, secrets, simhash, spelling
+from pagetable.llm import tokenfile, toxicity, vectors, whitening
 from pagetable.llm.store import folder
 
 END_ID = 2
@@ -140,6 +141,10 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -172,6 +177,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_vectors": op10_vectors,
     "op11_toxicity": op11_toxicity,
+    "op12_spelling": op12_spelling,
     "op13_whitening": op13_whitening,
 }
 SQL = {"op2_decontaminate": OP2_SQL, "op6_lines": OP6_SQL, "op10_vectors": OP10_SQL}
