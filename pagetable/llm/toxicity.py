@@ -213,14 +213,18 @@ def learn(
     rate = counts[1] / (counts[0] + counts[1])
     spread = 1 << 30
     limit = F.when(F.col("one") == 1, min(spread, 4 * per_class * spread // counts[1])).otherwise(min(spread, 4 * per_class * spread // counts[0]))
-    drawn = told.where(F.pmod(F.xxhash64("own_id", F.lit("draw")), F.lit(spread)) < limit)
-    texts = docs.select(F.col(doc_id).alias("own_id"), F.col(text).alias("text")).join(drawn, "own_id")
-    texts = stored(texts.select("one", F.coalesce("text", F.lit("")).alias("text")).withColumn("own", F.xxhash64("text", F.lit("own"))), "toxic-texts")
-    place = F.row_number().over(Window.partitionBy("one").orderBy("own"))
-    chosen = texts.select("one", "own").distinct().withColumn("place", place).where(F.col("place") <= per_class).select("one", "own")
+    # about 8 * per_class narrow rows at most, so that no text but theirs is moved
+    drawn = told.where(F.pmod(F.xxhash64("own_id", F.lit("draw")), F.lit(spread)) < limit).limit(10 * per_class)
+    texts = docs.select(F.col(doc_id).alias("own_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "own_id")
+    texts = texts.select("one", F.coalesce("text", F.lit("")).alias("text")).withColumn("own", F.xxhash64("text", F.lit("own")))
+    texts = stored(texts.withColumn("row", F.monotonically_increasing_id()), "toxic-texts")
     # equal texts have equal bags: one of them stays
-    kept = texts.join(chosen, ["one", "own"]).dropDuplicates(["one", "own"]).select("one", "text", "own")
-    found = kept.mapInArrow(_bags, "one int, own long, parts array<int>, weights array<float>").orderBy("own", "one").toArrow()
+    firsts = texts.groupBy("one", "own").agg(F.min("row").alias("row"))
+    place = F.row_number().over(Window.partitionBy("one").orderBy("own"))
+    chosen = firsts.withColumn("place", place).where(F.col("place") <= per_class).select("row")
+    kept = texts.join(F.broadcast(chosen), "row").select("one", "text", "own")
+    found = kept.mapInArrow(_bags, "one int, own long, parts array<int>, weights array<float>").toArrow()
+    found = found.sort_by([("own", "ascending"), ("one", "ascending")])
     ones, own = found.column("one").to_numpy().astype(float), found.column("own").to_numpy()
     parts, weights = (found.column(c).combine_chunks() for c in ("parts", "weights"))
     bags = [(parts[i].values.to_numpy(), weights[i].values.to_numpy()) for i in range(len(ones))]
