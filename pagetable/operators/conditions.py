@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagetable.functions.regex import java_regex
 from pagetable.operators.dom import text_of
-from pagetable.operators.selectors import find_first, select
+from pagetable.operators.selectors import finding, select
 from pagetable.plans.library import Condition, Rule
 
 
@@ -55,8 +55,9 @@ def holds_on_page(cond: Condition, dom="dom", chunks="chunks") -> Column:
     return condition_holds(select(cond.css, dom), cond.regex, chunks)
 
 
-def holds_in_match(cond: Condition, node: Column, dom="dom", chunks="chunks") -> Column:
-    first = find_first(node, cond.css, dom)
+def holds_in_match(cond: Condition, node: Column, find, chunks="chunks") -> Column:
+    """`find` as `selectors.finding` gives it."""
+    first = find(node, cond.css)
     if not cond.regex.strip():
         return first.isNotNull()
     return first.isNotNull() & finds(text_of(first, chunks), cond.regex)
@@ -144,16 +145,19 @@ def filter_matches(matches: Column, rule: Rule, dom="dom", chunks="chunks") -> C
     for its first sub-match (NULL when there is none)."""
     if not rule.match_pre:
         return matches
-    kept = F.filter(matches, lambda m: any_of(holds_in_match(c, m, dom, chunks) for c in rule.match_pre))
-    if not any(c.rule_css for c in rule.match_pre):
-        return kept
-    if all(c.rule_css == rule.match_pre[0].rule_css for c in rule.match_pre):
-        return F.transform(kept, lambda m: find_first(m, rule.match_pre[0].rule_css, dom))
-    return F.transform(
-        kept,
-        lambda m: first_true(
-            [holds_in_match(c, m, dom, chunks) for c in rule.match_pre],
-            [find_first(m, c.rule_css, dom) if c.rule_css else m for c in rule.match_pre],
-            m,
-        ),
-    )
+    wanted, used = F.size(matches) > 0, [c.css for c in rule.match_pre]
+    swaps = [c.rule_css for c in rule.match_pre]
+
+    def kept(find):
+        return F.filter(matches, lambda m: any_of(holds_in_match(c, m, find, chunks) for c in rule.match_pre))
+
+    if not any(swaps):
+        return finding(used, dom, kept, wanted)
+    if len(set(swaps)) == 1:
+        return finding([*used, swaps[0]], dom, lambda find: F.transform(kept(find), lambda m: find(m, swaps[0])), wanted)
+
+    def swapped(m, find):
+        holds = [holds_in_match(c, m, find, chunks) for c in rule.match_pre]
+        return first_true(holds, [find(m, css) if css else m for css in swaps], m)
+
+    return finding([*used, *filter(None, swaps)], dom, lambda find: F.transform(kept(find), lambda m: swapped(m, find)), wanted)

@@ -6,8 +6,11 @@ functions: row-local, no shuffle, no Python at run time. Supported: type, `*`, `
 `:first-child`, `:last-child`, `:not(...)` and selector lists.
 """
 
+from __future__ import annotations
+
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +30,10 @@ class SelectorError(ValueError):
     pass
 
 
+def _either(flags) -> Column:
+    return reduce(or_, flags)
+
+
 def _plain(name: str) -> str:
     return re.sub(r"\\(.)", r"\1", name)
 
@@ -75,7 +82,7 @@ def _nth(arg: str):
     return (int(m[1]) if step is None else step), int(m[2] or 0)
 
 
-def _test(t: dict, n: Column, dom: Column, lo) -> Column | None:
+def _test(t: dict, n: Column, page: _Page) -> Column | None:
     if "type" in t:
         return None if t["type"] == "*" else n["tag"] == _plain(t["type"]).lower()
     if "id" in t:
@@ -108,14 +115,16 @@ def _test(t: dict, n: Column, dom: Column, lo) -> Column | None:
     if pseudo == "first-child":
         return n["nth"] == 1
     if pseudo == "last-child":
-        return ~F.coalesce(F.get(dom, n["sub_end"] + 1)["parent"] == n["parent"], F.lit(False))
+        return ~F.coalesce(F.get(page.dom, n["sub_end"] + 1)["parent"] == n["parent"], F.lit(False))
     if pseudo == "not":
-        return ~_element_matches(arg, n, dom, lo)
+        if arg in page.nots:
+            return ~page.reached(page.nots[arg], n["idx"])
+        return ~_either(_compound(steps[0][1], n, page) for steps in _chains(arg))
     raise SelectorError(f"unsupported pseudo-class :{pseudo}")
 
 
-def _compound(tests, n: Column, dom: Column, lo) -> Column:
-    checks = [c for c in (_test(t, n, dom, lo) for t in tests) if c is not None]
+def _compound(tests, n: Column, page: _Page) -> Column:
+    checks = [c for c in (_test(t, n, page) for t in tests) if c is not None]
     if not checks:
         return F.lit(True)
     out = checks[0]
@@ -124,39 +133,22 @@ def _compound(tests, n: Column, dom: Column, lo) -> Column:
     return out
 
 
-def _chain(steps, n: Column, dom: Column, lo) -> Column:
-    """Does element `n` match steps[0], with the rest satisfied to its left?"""
-    here = _compound(steps[0][1], n, dom, lo)
-    if len(steps) == 1:
-        return here
-    comb, rest = steps[0][0], steps[1:]
-
-    def at(i: Column) -> Column:
-        inside = (i >= 0) if lo is None else (i >= lo)
-        return inside & F.coalesce(_chain(rest, F.get(dom, i), dom, lo), F.lit(False))
-
-    if comb == ">":
-        return here & at(n["parent"])
-    if comb == "+":
-        return here & at(n["prev"])
-    link, count = ("parent", n["depth"]) if comb == " " else ("prev", n["nth"] - 1)
-
-    def further(way, _):
-        found = way["found"] | at(way["at"])
-        return F.struct(F.get(dom, way["at"])[link].alias("at"), found.alias("found"))
-
-    start = F.struct(n[link].alias("at"), F.lit(False).alias("found"))
-    return here & (count > 0) & F.aggregate(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), start, further)["found"]
+def _chains(css: str) -> list[tuple]:
+    chains = [_steps(part) for part in _split_list(css)]
+    if not chains:
+        raise SelectorError("empty selector")
+    return chains
 
 
-def _element_matches(css: str, n: Column, dom: Column, lo=None) -> Column:
-    out = None
-    for part in _split_list(css):
-        hit = _chain(_steps(part), n, dom, lo)
-        out = hit if out is None else out | hit
-    if out is None:
-        raise SelectorError("empty selector")
-    return out
+def _linked_nots(css: str) -> list[str]:
+    """The arguments of `:not()` in a selector that have combinators, inner ones first."""
+    found = []
+    for steps in _chains(css):
+        for t in (t for _, tests in steps for t in tests if t.get("pseudo") == "not"):
+            inner = _linked_nots(t.get("arg", ""))
+            if inner or any(len(s) > 1 for s in _chains(t.get("arg", ""))):
+                found += [*inner, t.get("arg", "")]
+    return list(dict.fromkeys(found))
 
 
 def _c(col) -> Column:
@@ -168,85 +160,177 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _reached(flags: Column, dom: Column, link: str) -> Column:
-    """Per element whether its flag or one further along the link (parent or earlier sibling) is set, by doubling."""
+class _Page:
+    """The elements that a selector looks at: the whole page, or what lies from place `first` on as if nothing were before it.
+
+    `nots` holds, for arguments of `:not()` with combinators, the result of `_nearest` on the same elements.
+    """
+
+    def __init__(self, dom: Column, elements: Column | None = None, first: Column | None = None, nots=None):
+        self.dom, self.elements, self.first, self.nots = dom, dom if elements is None else elements, first, nots or {}
+
+    def place(self, idx: Column) -> Column:
+        return idx if self.first is None else idx - self.first
+
+    def reached(self, nearest: Column, idx: Column) -> Column:
+        return F.coalesce(F.get(nearest, self.place(idx)) >= 0, F.lit(False))
+
+    def knowing(self, css: str, use) -> Column:
+        """`use(page)` with the linked `:not()` arguments of `css` computed before."""
+        missing = [arg for arg in _linked_nots(css) if arg not in self.nots]
+        if not missing:
+            return use(self)
+
+        def bound(value):
+            return _Page(self.dom, self.elements, self.first, {**self.nots, missing[0]: value}).knowing(css, use)
+
+        return _let(_nearest(missing[0], self), bound)
+
+
+def _greatest_along(values: Column, page: _Page, link: str) -> Column:
+    """Per element the greatest value at it or further along the link (parent or earlier sibling), by doubling."""
 
     def double(way, _):
-        s, to = way["s"], way["to"]
+        v, to = way["v"], way["to"]
         return F.struct(
-            F.transform(s, lambda x, i: x | F.coalesce(F.get(s, F.get(to, i)), F.lit(False))).alias("s"),
+            F.transform(v, lambda x, i: F.greatest(x, F.get(v, F.get(to, i)))).alias("v"),
             F.transform(to, lambda t: F.coalesce(F.get(to, t), F.lit(-1))).alias("to"),
         )
 
-    start = F.struct(flags.alias("s"), F.transform(dom, lambda n: n[link]).alias("to"))
-    rounds = F.ceil(F.log2(F.size(dom) + 1)).cast("int")
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), start, double)["s"]
+    start = F.struct(values.alias("v"), F.transform(page.elements, lambda n: page.place(n[link])).alias("to"))
+    far = F.array_max(F.transform(page.elements, lambda n: n["depth"] if link == "parent" else n["nth"]))
+    rounds = F.ceil(F.log2(F.coalesce(far, F.lit(1)) + 1)).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), start, double)["v"]
 
 
-def _flags(steps, dom: Column) -> Column:
-    """Per element whether it matches the chain: one pass over the page for each step."""
+def _nearest_of(steps, page: _Page) -> Column:
+    """Per element that matches the chain the place of its leftmost element, as near as possible; -1 for the others. So
+    the element matches within a scope if that place is not before the scope. One pass over the page for each step."""
     if len(steps) == 1:
-        return F.transform(dom, lambda n: F.coalesce(_compound(steps[0][1], n, dom, None), F.lit(False)))
-    comb, rest = steps[0][0], _flags(steps[1:], dom)
+        return F.transform(page.elements, lambda n: F.when(_compound(steps[0][1], n, page), n["idx"]).otherwise(F.lit(-1)))
+    comb, rest = steps[0][0], _nearest_of(steps[1:], page)
     link = "parent" if comb in " >" else "prev"
     if comb in " ~":
-        rest = _let(rest, lambda flags: _reached(flags, dom, link))
+        rest = _let(rest, lambda values: _greatest_along(values, page, link))
 
-    def step(flags):
+    def step(values):
         def here(n):
-            return F.coalesce(F.get(flags, n[link]), F.lit(False)) & F.coalesce(_compound(steps[0][1], n, dom, None), F.lit(False))
+            beside = F.coalesce(F.get(values, page.place(n[link])), F.lit(-1))
+            return F.when((beside >= 0) & _compound(steps[0][1], n, page), beside).otherwise(F.lit(-1))
 
-        return F.transform(dom, here)
+        return F.transform(page.elements, here)
 
     return _let(rest, step)
 
 
+def _nearest(css: str, page: _Page) -> Column:
+    """`_nearest_of` for a selector list: the nearest of all its chains."""
+    told = [_nearest_of(steps, page) for steps in _chains(css)]
+    out = told[0]
+    for other in told[1:]:
+        out = F.zip_with(out, other, lambda a, b: F.greatest(a, b))
+    return out
+
+
+def _matching(css: str, page: _Page) -> Column:
+    """The elements that match, in document order."""
+    if all(len(steps) == 1 for steps in _chains(css)):
+        return F.filter(page.elements, lambda n: _either(_compound(steps[0][1], n, page) for steps in _chains(css)))
+    return _let(_nearest(css, page), lambda near: F.filter(page.elements, lambda n: page.reached(near, n["idx"])))
+
+
 def select(css: str, dom="dom") -> Column:
     """ARRAY of the page's elements that match, in document order; time is linear in the page but for a logarithm."""
-    d = _c(dom)
-    chains = [_steps(part) for part in _split_list(css)]
-    if not any(comb in (" ", "~") for steps in chains for comb, _ in steps if comb):
-        return F.filter(d, lambda n: _element_matches(css, n, d))
-    flags = [_flags(steps, d) for steps in chains]
-    either = flags[0]
-    for other in flags[1:]:
-        either = F.zip_with(either, other, lambda a, b: a | b)
-    return _let(either, lambda hit: F.filter(d, lambda n: F.get(hit, n["idx"])))
+    return _Page(_c(dom)).knowing(css, lambda page: _matching(css, page))
 
 
 def match_count(css: str, dom="dom") -> Column:
     return F.size(select(css, dom))
 
 
-def _inside(node: Column, css: str, d: Column) -> Column:
-    """Indices of matches in the subtree of `node`; the node itself is a candidate and the top of the scope."""
-    return F.filter(
-        F.sequence(node["idx"], node["sub_end"]),
-        lambda i: F.coalesce(_element_matches(css, F.get(d, i), d, node["idx"]), F.lit(False)),
-    )
+def _found(css: str, page: _Page) -> Column:
+    """The page's matches for `_first_in`: their places, and the greatest `_nearest` place up to each, which only grows."""
+    if all(len(steps) == 1 for steps in _chains(css)):
+        places = F.transform(_matching(css, page), lambda n: n["idx"])
+        return _let(places, lambda at: F.struct(at.alias("at"), at.alias("top")))
 
+    def found(near):
+        at = F.filter(F.transform(near, lambda x, i: F.when(x >= 0, i)), lambda i: i.isNotNull())
+        top = F.filter(near, lambda x: x >= 0)
 
-def find_first(node: Column, css: str, dom="dom") -> Column:
-    """First match inside an element, NULL if there is none."""
+        def double(v, step):
+            return F.transform(v, lambda x, i: F.greatest(x, F.get(v, i - F.pow(F.lit(2), step).cast("int"))))
+
+        rounds = F.ceil(F.log2(F.size(top) + 1)).cast("int")
+        return F.struct(at.alias("at"), F.aggregate(F.sequence(F.lit(0), rounds), top, double).alias("top"))
+
+    return _let(_nearest(css, page), found)
+
+
+def _first_in(found: Column, first: Column, last: Column) -> Column:
+    """The first place from `first` to `last` that matches with nothing before `first`, NULL if none: of the matches whose
+    nearest chain starts in time the first one is where the greatest start so far reaches the scope (bisection)."""
+
+    def halve(way, _):
+        a, b = way["a"], way["b"]
+        mid = F.floor((a + b) / 2).cast("int")
+        late = F.get(found["top"], mid) >= first
+        return F.when(a < b, F.struct(F.when(late, a).otherwise(mid + 1).alias("a"), F.when(late, mid).otherwise(b).alias("b"))).otherwise(way)
+
+    size = F.size(found["top"])
+    rounds = F.ceil(F.log2(size + 1)).cast("int")
+    way = F.aggregate(F.sequence(F.lit(0), rounds), F.struct(F.lit(0).alias("a"), size.alias("b")), halve)
+    return _let(F.get(found["at"], way["a"]), lambda i: F.when(i <= last, i))
+
+
+def finding(csses: list[str], dom, use, wanted: Column | None = None) -> Column:
+    """`use(find)` where `find(node, css)` is the first match of one of `csses` inside an element, NULL if there is none;
+    the element itself is a candidate and the top of what the selector sees.
+
+    The matches are found once for the page, so that `find` costs a bisection however often it is called. Only a
+    `:not()` with combinators depends on the scope as a whole: such a selector passes over the scope. Where `wanted` is false nothing is
+    looked for.
+    """
     d = _c(dom)
-    return F.get(d, F.try_element_at(_inside(node, css, d), F.lit(1)))
+    elements = d if wanted is None else F.when(wanted, d).otherwise(F.slice(d, 1, 0))
+    csses = list(dict.fromkeys(csses))
+    ready = [css for css in csses if not _linked_nots(css)]
+
+    def find(held: dict, node: Column, css: str) -> Column:
+        return _let(F.struct(node["idx"].alias("first"), node["sub_end"].alias("last")), lambda scope: below(held, scope, css))
+
+    def below(held: dict, scope: Column, css: str) -> Column:
+        if css in held:
+            return F.get(d, _first_in(held[css], scope["first"], scope["last"]))
+
+        def within(part):
+            page = _Page(d, part, scope["first"])
+            return F.get(page.knowing(css, lambda known: _matching(css, known)), F.lit(0))
+
+        return _let(F.slice(d, scope["first"] + 1, scope["last"] - scope["first"] + 1), within)
 
+    def bind(rest: list[str], held: dict) -> Column:
+        if not rest:
+            return use(lambda node, css: find(held, node, css))
+        return _let(_found(rest[0], _Page(d, elements)), lambda value: bind(rest[1:], {**held, rest[0]: value}))
 
-def holds_inside(node: Column, css: str, dom="dom") -> Column:
-    return F.size(_inside(node, css, _c(dom))) > 0
+    return bind(ready, {})
+
+
+def find_first(node: Column, css: str, dom="dom") -> Column:
+    """First match inside an element, NULL if there is none. For many elements of a page use `finding`."""
+    return finding([css], dom, lambda find: find(node, css))
 
 
 def containing(outer: str, inner: str, dom="dom") -> Column:
     """First `outer` element that has an `inner` element below it, NULL if none."""
     d = _c(dom)
-    hits = F.filter(
-        select(outer, d),
-        lambda o: F.exists(
-            F.sequence(o["idx"], o["sub_end"]),
-            lambda i: (i > o["idx"]) & F.coalesce(_element_matches(inner, F.get(d, i), d), F.lit(False)),
-        ),
-    )
-    return F.try_element_at(hits, F.lit(1))
+
+    def first(places):
+        bound = F.struct(places.alias("at"), places.alias("top"))
+        return F.try_element_at(F.filter(select(outer, d), lambda o: _first_in(bound, o["idx"] + 1, o["sub_end"]).isNotNull()), F.lit(1))
+
+    return _let(F.transform(select(inner, d), lambda n: n["idx"]), first)
 
 
 def matches_frame(parsed, css: str):
