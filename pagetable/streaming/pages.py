@@ -9,10 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagetable.functions.values import content_hash
 from pagetable.operators.runlog import progress_windows
-from pagetable.plans.checkpoints import drop_folder
 from pagetable.plans.crawl import gate_captures
 from pagetable.plans.extraction import extract
 from pagetable.plans.library import Library
+from pagetable.streaming.log import BatchLog, KeyRuns
 
 
 def stream_extract(page_stream: DataFrame, lib: Library, accessed_at=None, **options) -> DataFrame:
@@ -36,53 +36,6 @@ def stream_dedup(page_stream: DataFrame, key: str = "hash", event_time: str | No
     return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
-class BatchLog:
-    """A table that grows by one folder per micro-batch (overwritten if the batch is repeated), compacted now and then.
-
-    `fold` reduces the rows of many batches to those that still matter. Every `every` batches all earlier ones are folded
-    into one table beside the log and their folders removed, so a reader meets one folded table and fewer than 2 * `every` folders.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, fold, every: int = 20):
-        self.spark, self.path, self.fold, self.every = spark, path.rstrip("/"), fold, every
-        self.schema = T.StructType([f for f in schema.fields if f.name != "batch"])
-
-    def _numbers(self, folder: str, prefix: str) -> list[int]:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        files = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []
-        return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
-
-    def _folded(self, upto: int) -> str:
-        return f"{self.path}-folded/upto={upto:012d}"
-
-    def _batch(self, number: int) -> str:
-        return f"{self.path}/batch={number:012d}"
-
-    def rows(self, before: int | None = None) -> DataFrame:
-        """All rows with their `batch`, or those of earlier batches: a repeated batch does not see its first attempt."""
-        folded = [n for n in self._numbers(f"{self.path}-folded", "upto=") if before is None or n < before]
-        start = folded[-1] + 1 if folded else 0
-        single = [n for n in self._numbers(self.path, "batch=") if n >= start and (before is None or n < before)]
-        whole = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
-        out = self.spark.read.schema(whole).parquet(self._folded(folded[-1])) if folded else self.spark.createDataFrame([], whole)
-        if single:
-            recent = self.spark.read.schema(whole).option("basePath", self.path).parquet(*[self._batch(n) for n in single])
-            out = out.unionByName(recent)
-        return out
-
-    def append(self, rows: DataFrame, number: int) -> None:
-        if number and number % self.every == 0 and number - 1 not in self._numbers(f"{self.path}-folded", "upto="):
-            old = self._numbers(f"{self.path}-folded", "upto=")
-            self.fold(self.rows(before=number)).write.mode("overwrite").parquet(self._folded(number - 1))
-            for n in self._numbers(self.path, "batch="):
-                if n < number:
-                    drop_folder(self.spark, self._batch(n))
-            for n in old:
-                drop_folder(self.spark, self._folded(n))
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(self._batch(number))
-
-
 def _latest(key: str, order: list[str]):
     """Folds a log to the row per key that is greatest in `order`."""
 
@@ -94,26 +47,24 @@ def _latest(key: str, order: list[str]):
     return fold
 
 
-def stream_first_seen(page_stream: DataFrame, path: str, key: str = "hash", order: str = "page_id"):
+def stream_first_seen(page_stream: DataFrame, path: str, key: str = "hash", order: str = "page_id", **runs):
     """Exact dedup against everything ever seen: a writer whose log at `path` holds the first captures.
 
-    Of the earlier batches only the keys are read, from one folded table and the batches since.
+    Keys are kept in levels of runs (`KeyRuns`, which `runs` is passed to); captures are written once.
     """
     from pagetable.operators.frontier import first_per_key
 
     keyed = page_stream if key in page_stream.columns else page_stream.withColumn(key, content_hash("html"))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        log = BatchLog(batch.sparkSession, path, keyed.schema, lambda rows: rows)
-        seen = log.rows(before=batch_id).select(key)
-        log.append(first_per_key(batch, key, order).join(seen, key, "left_anti"), batch_id)
+        KeyRuns(batch.sparkSession, path, key, **runs).append(first_per_key(batch, key, order), batch_id)
 
     return keyed.writeStream.foreachBatch(merge)
 
 
-def first_seen(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def first_seen(spark: SparkSession, path: str, schema: T.StructType, key: str = "hash") -> DataFrame:
     """The captures that a `stream_first_seen` log holds."""
-    return BatchLog(spark, path, schema, lambda rows: rows).rows().drop("batch")
+    return KeyRuns(spark, path, key).rows(schema)
 
 
 OUTCOMES = T.StructType(
