@@ -152,7 +152,12 @@ def _after(n):
 
 def crawl_depth_first(spark, sf):
     out = crawl(linked_pages(spark, sf), NEXT_LINKS, seed(spark, sf), order="dfs", accessed_at=AT).frontier
-    return out.select("url", F.col("status").cast("long").alias("status"))
+    return out.select("url", "seq", F.col("status").cast("long").alias("status"))
+
+
+# pre-order, the last link of a page first: a page comes before what lies below it
+DEPTH_FIRST_SQL = f"""WITH RECURSIVE {PLACES_SQL} SELECT k.url, 200 AS status,
+  row_number() OVER (ORDER BY list_transform(w.path, lambda p: -p)) - 1 AS seq FROM walk w JOIN keyed k ON k.page_id = w.id"""
 
 
 def crawl_pending(spark, sf):
@@ -249,7 +254,7 @@ QUERIES = {
     "crawl_frontier": (crawled, CRAWLED_SQL),
     "crawl_records": (crawled_records, CRAWLED_RECORDS_SQL),
     "crawl_resume": (crawl_resumed, f"SELECT url, seq, status FROM ({_after(35)})"),
-    "crawl_depth_first": (crawl_depth_first, f"WITH RECURSIVE {WALK_SQL} SELECT url, 200 AS status FROM reached JOIN keyed ON page_id = id"),
+    "crawl_depth_first": (crawl_depth_first, DEPTH_FIRST_SQL),
     "crawl_pending": (crawl_pending, f"SELECT url, discovered_from FROM ({_after(15)}) WHERE status = -1"),
     "stream_extract": (streamed, FLAGSHIP_SQL),
     "stream_dedup": (streamed_dedup, "SELECT DISTINCT sha256(text) AS hash FROM documents"),

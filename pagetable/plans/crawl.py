@@ -18,8 +18,9 @@ Queue entries are kept as given; they meet the corpus by their canonical form.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagetable.functions.http import (
@@ -50,9 +51,13 @@ FRONTIER_COLUMNS = [
 
 
 _SETTLED = (
-    "url string, seq long, depth int, discovered_from string, path array<bigint>, status int, contenttype string, "
+    "url string, seq long, depth int, discovered_from string, src long, pos long, status int, contenttype string, "
     "contentlength long, lastmodified string, hash string, reached boolean"
 )
+_QUEUED = "url string, key string, depth int, discovered_from string, src long, pos long"
+SMALL = 20_000  # rows of a level that are broadcast, and shuffled and ordered in one task
+FEW = 500  # URLs that are looked up by name, so that other buckets of a corpus of MANY rows are not read
+MANY = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -124,22 +129,17 @@ def corpus_facts(pages: DataFrame, lib: Library, content_types: str, schemes) ->
     )
 
 
-def _queue_rows(df: DataFrame) -> DataFrame:
-    return df.select(
-        "url",
-        F.col("seq").cast("long").alias("seq"),
-        F.col("depth").cast("int").alias("depth"),
-        F.col("discovered_from").cast("string").alias("discovered_from"),
-        "path",
-    )
-
-
 def _met_in(seen: DataFrame, some: DataFrame, key: str) -> DataFrame:
     """Keys of `some` that the growing table `seen` has; `seen` is only shuffled when `some` is large."""
     return seen.select(key).join(some.select(key), key, "left_semi")
 
 
 class _Walk:
+    """Three actions per level: new URLs are written, counted, and written again with their outcome.
+
+    Queue rows have `src`, the place of the page that they were found on, and `pos`, their place on it.
+    """
+
     def __init__(self, pages, lib, accessed_at, content_types, schemes, base):
         self.spark, self.lib, self.accessed_at = pages.sparkSession, lib, accessed_at
         self.schemes = schemes
@@ -147,71 +147,111 @@ class _Walk:
         facts = through_table(corpus_facts(pages, lib, content_types, schemes), f"{self.base}/facts")
         # of several captures of one URL the earliest counts
         first = facts.groupBy("url").agg(F.min("_rank").alias("_rank"))
-        once = facts.join(first, ["url", "_rank"], "left_semi")
+        once = facts.join(first, ["url", "_rank"], "left_semi").withColumn("_n", F.size("rows"))
         # bucketed by URL: of a level that is not broadcast, only its own rows are shuffled
-        self.facts = bucketed_table(once, f"{self.base}/corpus", "url")
+        self.facts = bucketed_table(once.withColumnRenamed("url", "key"), f"{self.base}/corpus", "key")
+        self.corpus_rows = self.facts.count()
         self.queued: list[str] = []
         self.done: list[str] = []
         self.size, self.top, self.bytes, self.fresh = 0, -1, 0, 0
         self.rate = (0, 0, 0)
+        self.session = self.spark
+
+    @cached_property
+    def quick(self) -> SparkSession:
+        """A session for small levels: what they shuffle is one partition, which needs no plan at run time."""
+        own = self.spark.newSession()
+        for name, value in self.spark.conf.getAll.items():
+            if own.conf.isModifiable(name):
+                own.conf.set(name, value)
+        own.conf.set("spark.sql.adaptive.enabled", "false")
+        own.conf.set("spark.sql.shuffle.partitions", "1")
+        return own
 
     def keep_earlier(self, earlier: DataFrame) -> None:
         """URLs and hashes of an earlier run count as seen."""
         queued, done = f"{self.base}/queue-earlier", f"{self.base}/done-earlier"
-        rows = earlier.withColumn("path", F.array().cast("array<bigint>"))
-        self.add(through_table(_queue_rows(rows), queued), queued)
+        rows = earlier.withColumns({"key": canonical_url("url"), "src": F.lit(None), "pos": F.lit(None)})
+        self.add(rows, queued)
+        self.top = max(self.top, earlier.agg(F.max("seq")).first()[0] or -1)
         through_table(earlier.select("hash"), done)
         self.done.append(done)
 
     def read(self, paths: list[str], columns: str) -> DataFrame:
         """Some columns of several level tables; stating them spares a look into the files."""
-        return self.spark.read.schema(columns).parquet(*paths)
+        return self.session.read.schema(columns).parquet(*paths)
+
+    def add(self, rows: DataFrame, path: str) -> DataFrame:
+        """Writes new URLs and counts them."""
+        wanted = [c.split() for c in _QUEUED.split(", ")]
+        level = through_table(rows.select(*[F.col(c).cast(kind).alias(c) for c, kind in wanted]), path)
+        self.queued.append(path)
+        self.fresh, size = level.agg(F.count("*"), F.sum(F.octet_length("url"))).first()
+        self.size += self.fresh
+        self.bytes += size or 0
+        self.session = self.quick if self.fresh <= SMALL else self.spark
+        return self.read([path], _QUEUED)
 
     def queue(self, rows: DataFrame, order: list[str]) -> DataFrame:
-        """Write new URLs in queue order; `seq` grows from level to level but is not dense yet."""
+        """New URLs with `seq`, which grows in queue order from level to level but is not dense yet. Every row of `rows` has
+        another (src, pos), so the numbers come out alike whenever they are computed from the written rows."""
         path = f"{self.base}/queue-{len(self.queued)}"
-        ordered = rows.orderBy(*order).withColumn("seq", F.monotonically_increasing_id() + F.lit(self.top + 1))
-        return self.add(through_table(_queue_rows(ordered), path), path)
-
-    def add(self, level: DataFrame, path: str) -> DataFrame:
-        self.queued.append(path)
-        state = level.agg(
-            F.count("*").alias("n"), F.max("seq").alias("top"), F.sum(F.octet_length("url")).alias("bytes")
-        ).first()
-        self.fresh = state["n"]
-        self.size += state["n"]
-        self.bytes += state["bytes"] or 0
-        self.top = max(self.top, -1 if state["top"] is None else state["top"])
-        return level
+        level = self.add(rows, path)
+        order = [*order, "url"]
+        if self.fresh <= SMALL:
+            ordered = level.coalesce(1).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id() + F.lit(self.top + 1))
+            self.top += self.fresh
+        else:
+            numbered = level.orderBy(*order).withColumn("seq", F.monotonically_increasing_id() + F.lit(self.top + 1))
+            ordered = through_table(numbered, f"{path}-ordered")
+            self.top = ordered.agg(F.max("seq")).first()[0]
+        return ordered
+
+    def looked_up(self, level: DataFrame) -> DataFrame:
+        """The level's rows with what the corpus has of them; rows that it lacks have NULLs."""
+        if self.fresh > SMALL:
+            facts = self.facts.drop("rows", "_rank")  # bucketed: only the level is shuffled
+            return through_table(level.join(facts, "key", "left"), f"{self.base}/met-{len(self.done)}")
+        if self.fresh <= FEW and self.corpus_rows >= MANY:
+            facts = self.facts.where(F.col("key").isin([r[0] for r in level.select("key").distinct().collect()]))
+        else:
+            facts = self.session.read.schema(self.facts.schema).parquet(f"{self.base}/corpus")
+        facts = facts.drop("rows", "_rank")
+        # the corpus stays where it is; an outer join could not broadcast the level
+        told = [c for c in facts.columns if c != "key"]
+        met = facts.join(F.broadcast(level), "key").select(*level.columns, F.struct(*told).alias("told"))
+        both = met.unionByName(level.withColumn("told", F.lit(None).cast(met.schema["told"].dataType)))
+        kept = [F.first(c).alias(c) for c in level.columns if c != "seq"]
+        return both.groupBy("seq").agg(*kept, F.first("told", ignorenulls=True).alias("told")).select(*level.columns, "told.*")
 
     def visit(self, level: DataFrame) -> DataFrame:
-        """Join a level with the corpus and settle every row's outcome as if all of it were fetched."""
-        k = len(self.done)
-        # inner: a level below the broadcast threshold meets the corpus without shuffling it
-        facts = self.facts.drop("rows", "_rank").withColumnRenamed("url", "_key")
-        named = level.withColumn("_key", canonical_url("url"))
-        met = through_table(facts.join(named, "_key").drop("_key"), f"{self.base}/met-{k}")
-        absent = level.join(met.select("url"), "url", "left_anti")
+        """Every row's outcome as if all of the level were fetched, written."""
+        looked_up = self.looked_up(level)
         status = (
             F.when(~allowed_scheme("url", self.schemes), F.lit(BAD_SCHEME))
             .otherwise(F.coalesce("status", F.lit(NOT_CAPTURED)))
             .cast("int")
         )
-        looked_up = met.unionByName(absent, allowMissingColumns=True).withColumn("status", status)
-        first = met.where("hash is not null").groupBy("hash").agg(F.min("seq").alias("seq"))
+        looked_up = looked_up.withColumn("status", status)
+        first = looked_up.where("hash is not null").groupBy("hash").agg(F.min("seq").alias("seq"))
         if self.done:
-            known = _met_in(self.read(self.done, "hash string").where("hash is not null"), first, "hash")
+            known = _met_in(self.read(self.done, "hash string").where("hash is not null"), self.brief(first), "hash")
             first = first.join(known, "hash", "left_anti")
-        flagged = looked_up.join(first.select("seq", F.lit(True).alias("_new")), "seq", "left")
+        flagged = looked_up.join(self.brief(first.select("seq", F.lit(True).alias("_new"))), "seq", "left")
         new = F.coalesce("_new", F.lit(False))
-        return flagged.select(
-            *[c for c in looked_up.columns if c != "hash"],
+        visited = flagged.select(
+            *[c for c in looked_up.columns if c not in ("hash", "key")],
             F.when(new, F.col("hash")).alias("hash"),
             (new & F.coalesce("html_page", F.lit(False))).alias("reached"),
         )
+        return through_table(visited, f"{self.base}/done-{len(self.done)}")
+
+    def brief(self, rows: DataFrame) -> DataFrame:
+        """Broadcast what comes from a level of a checked size."""
+        return F.broadcast(rows) if self.fresh <= SMALL else rows
 
     def settle(self, visited: DataFrame, stop: int | None) -> DataFrame:
-        """Write the level; pages after `stop` go back to pending."""
+        """The level as it counts; pages after `stop` go back to pending."""
         path = f"{self.base}/done-{len(self.done)}"
         cells = ["status", "contenttype", "contentlength", "lastmodified", "hash"]
         if stop is not None:
@@ -223,25 +263,25 @@ class _Walk:
                     "reached": inside & F.col("reached"),
                 }
             )
-        out = through_table(visited, path)
+            path += "-stopped"
+            visited = through_table(visited, path)
         self.done.append(path)
-        return out
+        return visited
 
     def next_level(self, done: DataFrame, max_size: int, max_bytes) -> DataFrame:
         """New URLs on the reached pages, as far as the queue limits allow."""
         links = done.where("reached").select(
             F.col("url").alias("discovered_from"),
-            F.col("seq").alias("src_seq"),
+            F.col("seq").alias("src"),
             (F.col("depth") + 1).alias("depth"),
-            F.col("path").alias("_above"),
             F.posexplode("links").alias("pos", "url"),
         )
-        placed = links.withColumn("path", F.concat("_above", F.array(-F.col("pos").cast("long")))).drop("_above")
-        once = first_links(placed, order=("src_seq", "pos"))
-        candidates = through_table(once, f"{self.base}/links-{len(self.queued)}")
+        candidates = first_links(links, order=("src", "pos"))
+        if self.fresh > SMALL:
+            candidates = through_table(candidates, f"{self.base}/links-{len(self.queued)}")
         known = _met_in(self.read(self.queued, "url string"), candidates, "url")
-        fresh = candidates.join(known, "url", "left_anti")
-        order = ["src_seq", "pos"]
+        fresh = candidates.join(known, "url", "left_anti").withColumn("key", canonical_url("url"))
+        order = ["src", "pos"]
         if max_size >= 0:
             fresh = first_rows(fresh, order, max(max_size - self.size, 0))
         if size_to_bytes(max_bytes) > 0:
@@ -286,7 +326,7 @@ def _crawl(walk, seeds, dfs, max_pages, max_queue_size, max_queue_bytes, min_hit
         kept = old.select(*[F.col(c) if c in old.columns else F.lit(None).alias(c) for c in FRONTIER_COLUMNS])
         earlier = kept.withColumn("seq", F.col("seq").cast("long"))
         walk.keep_earlier(earlier)
-    level = walk.queue(_starting_rows(seeds, frontier, max_queue_size), ["_old", "_at"])
+    level = walk.queue(_starting_rows(seeds, frontier, max_queue_size), ["src", "pos"])
     processed, levels, stopped = 0, 0, False
     pending_level = None
     while not stopped and walk.fresh:
@@ -323,23 +363,50 @@ def _starting_rows(seeds: DataFrame, frontier: DataFrame | None, max_size: int)
         first = old.unionByName(first)
     elif max_size >= 0:
         first = first_rows(first, ["_at"], max_size)
+    # places before all pages that will be found: pending ones first
     return first.withColumns(
-        {"discovered_from": F.lit(None).cast("string"), "path": F.array(-F.col("_at"))}
+        {"discovered_from": F.lit(None).cast("string"), "src": F.col("_old") - 2, "pos": F.col("_at"), "key": canonical_url("url")}
     )
 
 
 def _rate_stop(walk: _Walk, visited: DataFrame, min_rate: float, samples: int) -> int | None:
     """First page of the level at which the below-minimum streak is long enough; what the next level needs is carried."""
-    log = visited.select("seq", "url", "reached").withColumn("_key", canonical_url("url"))
-    hits = walk.facts.select(F.col("url").alias("_key"), F.size("rows").alias("_n"))
-    log = log.join(hits, "_key", "left").select(
-        "seq", "reached", F.when(F.col("reached"), F.coalesce("_n", F.lit(0))).otherwise(F.lit(0)).alias("hit")
-    )
-    streaks = below_rate_streak(log, min_rate, samples, reached="reached", start=walk.rate)
+    hit = F.when(F.col("reached"), F.coalesce("_n", F.lit(0))).otherwise(F.lit(0)).alias("hit")
+    streaks = below_rate_streak(visited.select("seq", "reached", hit), min_rate, samples, reached="reached", start=walk.rate)
     walk.rate = streak_state(streaks, walk.rate)
     return stop_seq(streaks.where("reached"), samples).first()["stop"]
 
 
+def preorder(rows: DataFrame, folder: str) -> DataFrame:
+    """(seq, place): each row's place from 0 on in pre-order of the forest that `src` (a row's `seq`, negative for roots) spans,
+    the last child by `pos` first.
+
+    List ranking: every row has an arc into it and one out of it, each arc a successor (first child, next sibling or
+    back to the parent). The arcs into rows that lie ahead are counted by pointer jumping, so the number of rounds is the
+    logarithm of the number of rows, however deep the forest is. Roots are ordered by (src, pos) as one list.
+    """
+    narrow = through_table(rows.select("seq", "src", "pos"), f"{folder}/forest")
+    below = narrow.where("src >= 0")
+    last = below.groupBy("src").agg(F.max(F.struct("pos", "seq")).alias("_c")).select(F.col("src").alias("seq"), F.col("_c.seq").alias("child"))
+    following = Window.partitionBy("src").orderBy(F.col("pos").desc(), F.col("seq").desc())
+    siblings = below.select("seq", "src", F.lead("seq").over(following).alias("next"))
+    roots = through_table(number_rows(narrow.where("src < 0").withColumns({"_a": -F.col("src"), "_b": -F.col("pos")}), ["_a", "_b"], "_i"), f"{folder}/roots")
+    after = roots.select(F.col("seq").alias("next"), (F.col("_i") - 1).alias("_i"))
+    linked = siblings.unionByName(roots.join(after, "_i", "left").select("seq", F.lit(None).cast("long").alias("src"), "next"))
+    linked = linked.join(last, "seq", "left")
+    way_in = F.struct((F.col("seq") * 2).alias("arc"), F.coalesce(F.col("child") * 2, F.col("seq") * 2 + 1).alias("to"), F.lit(1).cast("long").alias("ahead"))
+    way_out = F.struct((F.col("seq") * 2 + 1).alias("arc"), F.coalesce(F.col("next") * 2, F.col("src") * 2 + 1).alias("to"), F.lit(0).cast("long").alias("ahead"))
+    arcs, turn = through_table(linked.select(F.inline(F.array(way_in, way_out))), f"{folder}/arcs-0"), 0
+    while not arcs.where("to is not null").isEmpty():
+        turn += 1
+        onward = arcs.select(F.col("arc").alias("to"), F.col("to").alias("_to"), F.col("ahead").alias("_ahead"))
+        # arcs that have reached the end stay; of the others no two have one successor
+        moved = arcs.where("to is not null").join(onward, "to").select("arc", F.col("_to").alias("to"), (F.col("ahead") + F.col("_ahead")).alias("ahead"))
+        arcs = through_table(moved.unionByName(arcs.where("to is null")), f"{folder}/arcs-{turn}")
+    total = narrow.count()
+    return arcs.where("arc % 2 = 0").select(F.floor(F.col("arc") / 2).alias("seq"), (F.lit(total) - F.col("ahead")).alias("place"))
+
+
 def _result(walk: _Walk, earlier, pending_level, levels: int, dfs: bool) -> CrawlResult:
     spark, accessed_at = walk.spark, walk.accessed_at
     at = F.current_timestamp() if accessed_at is None else F.lit(accessed_at).cast("timestamp")
@@ -351,16 +418,18 @@ def _result(walk: _Walk, earlier, pending_level, levels: int, dfs: bool) -> Craw
         )
     # dense positions: after those of an earlier run, pre-order for depth-first
     top = None if earlier is None else earlier.agg(F.max("seq")).first()[0]
-    order = ["path"] if dfs else ["_order"]
-    renamed = rows.withColumnRenamed("seq", "_order")
-    rows = number_rows(renamed, order, "seq", 0 if top is None else top + 1).drop("_order")
+    start = 0 if top is None else top + 1
+    if dfs:
+        rows = rows.join(preorder(rows, walk.base), "seq").drop("seq").withColumn("seq", F.col("place") + start)
+    else:
+        rows = number_rows(rows.withColumnRenamed("seq", "_order"), ["_order"], "seq", start)
     pending = F.col("status") == PENDING
     view = rows.withColumn("fetched", F.when(~pending, format_accessed(at))).select(*FRONTIER_COLUMNS)
     if earlier is not None:
         view = earlier.select(*FRONTIER_COLUMNS).unionByName(view)
     extracted = rows.where("reached").select("url")
-    named = extracted.withColumn("_key", canonical_url("url"))
-    gated = walk.facts.select(F.col("url").alias("_key"), "rows").join(named, "_key").select("url", "rows")
+    named = extracted.withColumn("key", canonical_url("url"))
+    gated = walk.facts.select("key", "rows").join(named, "key").select("url", "rows")
     if walk.lib.csv_cols:
         records = gated.select("url", F.inline("rows"))
     else:

@@ -219,3 +219,32 @@ def test_library_without_links_or_columns(spark):
     library = Library.from_dict({"library": [{"ruleName": "t", "ruleCSSSelector": "h1", "ruleTargetAttribute": "text"}]})
     got = crawl(corpus, library, seeds, accessed_at=AT)
     assert got.frontier.count() == 1 and got.records.count() == 0
+
+
+def test_preorder_of_random_forests(spark, tmp_path):
+    """Against a recursive walk: many roots, deep chains and wide nodes, roots in two groups."""
+    import random
+
+    from pagetable.plans.crawl import preorder
+
+    draw = random.Random(3)
+    rows, kids = [], {}
+    for i in range(400):
+        seq = 3 * i + 1  # places need not be dense
+        deep = draw.random() < 0.5 and i > 10
+        src = -draw.randint(1, 2) if i < 5 else (rows[-1][0] if deep else draw.choice(rows)[0])
+        rows.append((seq, src, i))
+        kids.setdefault(src, []).append((i, seq))
+    want = []
+
+    def walk(seq):
+        want.append(seq)
+        for _, child in sorted(kids.get(seq, []), reverse=True):
+            walk(child)
+
+    for group in (-1, -2):
+        for _, root in sorted(kids.get(group, []), reverse=True):
+            walk(root)
+    got = preorder(spark.createDataFrame(rows, "seq long, src long, pos long"), str(tmp_path / "forest")).collect()
+    assert [r["seq"] for r in sorted(got, key=lambda r: r["place"])] == want
+    assert sorted(r["place"] for r in got) == list(range(len(rows)))
