@@ -22,24 +22,26 @@ def records(pages, library, **options):
     return sorted((tuple(r) for r in out.drop("dateaccessed").collect()), key=str)
 
 
-PLANTS = lib(
+STATIONS = lib(
     [
-        {"ruleName": "plant", "ruleURLActivationCondition": [r"garden\.example/(?!shelf/)\w+"], "ruleCSSSelector": "h2.name", **TEXT},
-        {"ruleName": "cost", "ruleURLActivationCondition": [r"garden\.example/(?!shelf/)\w+"],
-         "ruleCSSSelector": ".offer > .cost", **TEXT, "ruleRemoveChars": ["$"]},
+        {"ruleName": "level", "ruleURLActivationCondition": [r"/station/\d+$", "^buoy:"], "ruleCSSSelector": "dl dd", **TEXT, "ruleRemoveChars": ["~", " m"]},
+        {"ruleName": "kind", "ruleURLActivationCondition": ["station|buoy"], "ruleCSSSelector": "main[data-kind]", "ruleTargetAttribute": "data-kind", "ruleReturnedMatchPos": 0},
+        {"ruleName": "keeper", "ruleURLActivationCondition": ["/staff"], "ruleCSSSelector": "em", **TEXT},
     ],
-    ["plant", "cost"],
+    ["kind", "keeper", "level"],
 )
 
 
-def test_detail_page(one_page):
-    html = "<h2 class=name> Blue  Thistle </h2><div class='wide offer'><p class=cost>$4.20</p></div><p class=cost>$9</p>"
-    pages = one_page(("http://garden.example/thistle", html), ("http://garden.example/shelf/thistle", html), ("http://garden.example/e", "<p>"))
-    out = extract(pages, PLANTS, AT)
-    assert out.columns == ["dateaccessed", "url", "plant", "cost"]
-    assert records(pages, PLANTS) == [
-        ("http://garden.example/e", "", ""),  # all empty, but present: kept without constraints
-        ("http://garden.example/thistle", "Blue Thistle", "4.20"),
+def test_scalars_of_a_page(one_page):
+    """Texts and attributes, patterns that leave rules out, removed characters; the last match counts."""
+    html = "<main data-kind='tide gauge'><dl><dt>low<dd>1.0 m<dt> high <dd>\n ~3.25  m</dl></main>"
+    pages = one_page(("//sea/station/7", html), ("//sea/station/7/map", html), ("buoy:9", "<p>gone</p>"), ("//sea/news", html))
+    out = extract(pages, STATIONS, AT)
+    assert out.columns == ["dateaccessed", "url", "kind", "keeper", "level"]
+    assert records(pages, STATIONS) == [
+        ("//sea/station/7", "tide gauge", None, "3.25"),
+        ("//sea/station/7/map", "tide gauge", None, None),
+        ("buoy:9", "", None, ""),  # nothing found, but present: kept without constraints
     ]
     assert csv_view(out).first()["dateaccessed"] == "06/05/2024 07:08:09"
 
@@ -96,37 +98,35 @@ def test_selector_override(one_page):
     assert got == {"a": "a1", "b": "a2", "c": "Zoo", "d": ""}
 
 
-ROWERS = lib(
+RECIPE = lib(
     [
-        {"ruleName": "rowers", "ruleCSSSelector": "h3 + table.plain tr", **TEXT, "ruleReturnsMore": True,
-         "ruleMatchPreconditions": [{"ecCSSSelector": "td:nth-child(2)", "ecTextCondition": r"^(1\d|[45])$"}],
-         "rulePostCSSSelector": ["th", "td:nth-child(2)", "td:nth-child(3)"], "ruleReturnedValueNames": ["rower", "races", "sunk", "more"],
-         "ruleRemoveChars": ["[", "]†"]},
-        {"ruleName": "title", "ruleCSSSelector": "h1", **TEXT},
+        {"ruleName": "dish", "ruleCSSSelector": "header", **TEXT},
+        {"ruleName": "steps", "ruleCSSSelector": "section.step", **TEXT, "ruleReturnsMore": True, "ruleRemoveChars": ["(", ")*"],
+         "ruleMatchPreconditions": [{"ecCSSSelector": "time[min]", "ecTextCondition": r"\d\d"}],
+         "rulePostCSSSelector": ["b", "time", "em ~ i"], "ruleReturnedValueNames": ["verb", "minutes", "tool", "spare"]},
     ],
-    ["rower", "races", "sunk", "title"],
-    minimum=0.8,
+    ["verb", "minutes", "tool", "dish"],
+    minimum=0.7,
 )
 
 
-def rowers_page(rows):
-    body = "".join(f"<tr><th>{n}<td>{w}" + (f"<td>{l}" if l is not None else "") for n, w, l in rows)
-    return f"<h1>Cup</h1><h3>x</h3><table class='wide plain'><tr><th>name<th>w<th>l{body}</table><table class=plain><tr><th>no<td>9</table>"
+def recipe_page(steps):
+    made = "".join(f"<section class='on step'><b>{v}</b><i>-</i><time min=1>{m}</time>" + ("" if t is None else f"<em>by</em><u>a</u><i>{t}</i>") + "</section>" for v, m, t in steps)
+    return f"<header>Stew</header>{made}<section class=step><b>Note</b><time>99</time></section><section class=tip><time min=1>77</time></section>"
 
 
-def test_record_list_with_match_filter(one_page):
-    page = rowers_page([("A[1]", 12, 1), ("B†", 3, 0), ("C†", 4, None), ("D", 5, "")])
-    # C and D have two of three fields: 0.67 < 0.8
-    assert records(one_page(("u", page)), ROWERS) == [("u", "A1", "12", "1", None)]
-    assert records(one_page(("u", page)), ROWERS, gate=False) == [
-        ("u", "A1", "12", "1", None), ("u", "C", "4", "", None), ("u", "D", "5", "", None),
+def test_records_of_chosen_matches(one_page):
+    page = recipe_page([("Fry(2)*", 12, "pan"), ("Rest", 3, "bowl"), ("Boil*", 40, None), ("Cool", 55, "")])
+    # Rest takes less than ten minutes; Boil and Cool have two of three fields: 0.67 < 0.7
+    assert records(one_page(("u", page)), RECIPE) == [("u", "Fry2", "12", "pan", None)]
+    assert records(one_page(("u", page)), RECIPE, gate=False) == [
+        ("u", "Boil", "40", "", None), ("u", "Cool", "55", "", None), ("u", "Fry2", "12", "pan", None),
     ]
-    assert records(one_page(("u", page)), ROWERS, attach_scalars=True)[0][-1] == "Cup"
+    assert records(one_page(("u", page)), RECIPE, attach_scalars=True)[0][-1] == "Stew"
 
 
-def test_empty_record_list_falls_back_to_the_record(one_page):
-    # title is the only present field of the page record
-    assert records(one_page(("u", "<h1>Cup</h1>")), ROWERS) == [("u", None, None, None, "Cup")]
+def test_a_page_without_chosen_matches_is_one_record(one_page):
+    assert records(one_page(("u", "<header>Stew</header>")), RECIPE) == [("u", None, None, None, "Stew")]
 
 
 def test_match_replacement_with_attribute(one_page):
@@ -159,17 +159,18 @@ def test_missing_replacement_in_other_shapes(one_page):
     assert row["recs"] is None and row["n1"] == "one" and row["m1"] is None
 
 
-def test_script_target(one_page):
+def test_values_in_scripts(one_page):
+    js = {"ruleTarget": "js"}
     rules = [
-        {"ruleName": "ticks", "ruleTarget": "js", "ruleContentCondition": r"axis\(.*ticks=\[([^\]]*)\]"},
-        {"ruleName": "rows", "ruleTarget": "js", "ruleContentCondition": r"axis\(.*rows=\[([^\]]*)\]"},
-        {"ruleName": "none", "ruleTarget": "js", "ruleContentCondition": r"zzz(.)"},
-        {"ruleName": "nogroup", "ruleTarget": "js", "ruleContentCondition": r"axis"},
-        {"ruleName": "other", "ruleTarget": "js", "ruleContentCondition": r"x", "rulePreconditions": [{"ecCSSSelector": "script", "ecRuleCSSSelector": r"^v=(\d)"}]},
+        {**js, "ruleName": "total", "ruleContentCondition": r"\btotal *= *(-?\d+)"},
+        {**js, "ruleName": "unit", "ruleContentCondition": r'"unit":\s*"(\w+)"'},
+        {**js, "ruleName": "absent", "ruleContentCondition": r"missing=(.)"},
+        {**js, "ruleName": "without_group", "ruleContentCondition": "total"},
+        {**js, "ruleName": "replaced", "ruleContentCondition": "q", "rulePreconditions": [{"ecCSSSelector": "p", "ecRuleCSSSelector": r"id:(\w+);"}]},
     ]
-    html = "<script>var a = '</p>';\nv=7</script><p>v=8</p><script>axis(ticks=['a','b'], rows=[1,2])</script>"
+    html = "<p>total = 1; id:no;</p><script>if (1 < 2) { total =\t3; total = -41; } // id:k8;</script><script type=x>{\"unit\":\n\"mm\"}</script>"
     row = apply_library(one_page(("u", html)), lib(rules)).first()
-    assert (row["ticks"], row["rows"], row["none"], row["nogroup"], row["other"]) == ("'a','b'", "1,2", None, None, "7")
+    assert [row[r["ruleName"]] for r in rules] == ["-41", "mm", None, None, "k8"]
 
 
 def test_mixed_detail_and_listing(one_page):
@@ -255,17 +256,17 @@ def test_two_record_lists(one_page):
 
 
 def test_preview_and_single_rule(one_page):
-    pages = one_page(("u", rowers_page([("A", 12, 1)])))
-    rows = preview(pages, ROWERS).orderBy("rule", "pos").collect()
+    pages = one_page(("u", recipe_page([("Fry", 12, "pan")])))
+    rows = preview(pages, RECIPE).orderBy("rule").collect()
     assert [(r["rule"], r["kind"], r["pos"], r["value"]) for r in rows] == [
-        ("rowers", "records", 0, '{"rower":"A","races":"12","sunk":"1"}'), ("title", "scalar", 0, "Cup"),
+        ("dish", "scalar", 0, "Stew"), ("steps", "records", 0, '{"verb":"Fry","minutes":"12","tool":"pan"}'),
     ]
-    assert preview(pages, ROWERS, "title").count() == 1
-    assert apply_rule(pages, ROWERS, "title").columns == ["page_id", "url", "title"]
+    assert preview(pages, RECIPE, "dish").count() == 1
+    assert apply_rule(pages, RECIPE, "dish").columns == ["page_id", "url", "dish"]
     with pytest.raises(KeyError):
-        apply_rule(pages, ROWERS, "none")
-    more = ROWERS.with_rule({"ruleName": "h3", "ruleCSSSelector": "h3", **TEXT})
-    assert apply_rule(pages, more, "h3").first()["h3"] == "x"
+        apply_rule(pages, RECIPE, "none")
+    more = RECIPE.with_rule({"ruleName": "tip", "ruleCSSSelector": ".tip", **TEXT})
+    assert apply_rule(pages, more, "tip").first()["tip"] == "77"
 
 
 def test_statistics(one_page):
