@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetable.llm.store import spare, stored
@@ -220,8 +220,8 @@ def learn(
     texts = stored(texts.withColumn("row", F.monotonically_increasing_id()), "toxic-texts")
     # equal texts have equal bags: one of them stays
     firsts = texts.groupBy("one", "own").agg(F.min("row").alias("row"))
-    place = F.row_number().over(Window.partitionBy("one").orderBy("own"))
-    chosen = firsts.withColumn("place", place).where(F.col("place") <= per_class).select("row")
+    own_class = [firsts.where(F.col("one") == one).orderBy("own").limit(per_class) for one in (0, 1)]
+    chosen = own_class[0].union(own_class[1]).select("row")
     kept = texts.join(F.broadcast(chosen), "row").select("one", "text", "own")
     found = kept.mapInArrow(_bags, "one int, own long, parts array<int>, weights array<float>").toArrow()
     found = found.sort_by([("own", "ascending"), ("one", "ascending")])
