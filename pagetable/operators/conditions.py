@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagetable.functions.regex import java_regex
 from pagetable.operators.dom import text_of
-from pagetable.operators.selectors import finding, select
+from pagetable.operators.selectors import finding, let, select
 from pagetable.plans.library import Condition, Rule
 
 
@@ -60,7 +60,7 @@ def holds_in_match(cond: Condition, node: Column, find, chunks="chunks") -> Colu
     first = find(node, cond.css)
     if not cond.regex.strip():
         return first.isNotNull()
-    return first.isNotNull() & finds(text_of(first, chunks), cond.regex)
+    return let(first, lambda sub: sub.isNotNull() & finds(text_of(sub, chunks), cond.regex))
 
 
 _WORD = re.compile(r"\s*(\(|\)|[^\s()]+)")
@@ -145,19 +145,23 @@ def filter_matches(matches: Column, rule: Rule, dom="dom", chunks="chunks") -> C
     for its first sub-match (NULL when there is none)."""
     if not rule.match_pre:
         return matches
-    wanted, used = F.size(matches) > 0, [c.css for c in rule.match_pre]
+    return let(matches, lambda found: _chosen(found, rule, dom, chunks))
+
+
+def _chosen(matches: Column, rule: Rule, dom, chunks) -> Column:
+    used = [c.css for c in rule.match_pre]
     swaps = [c.rule_css for c in rule.match_pre]
 
     def kept(find):
         return F.filter(matches, lambda m: any_of(holds_in_match(c, m, find, chunks) for c in rule.match_pre))
 
     if not any(swaps):
-        return finding(used, dom, kept, wanted)
+        return finding(used, dom, kept, matches)
     if len(set(swaps)) == 1:
-        return finding([*used, swaps[0]], dom, lambda find: F.transform(kept(find), lambda m: find(m, swaps[0])), wanted)
+        return finding([*used, swaps[0]], dom, lambda find: F.transform(kept(find), lambda m: find(m, swaps[0])), matches)
 
     def swapped(m, find):
         holds = [holds_in_match(c, m, find, chunks) for c in rule.match_pre]
         return first_true(holds, [find(m, css) if css else m for css in swaps], m)
 
-    return finding([*used, *filter(None, swaps)], dom, lambda find: F.transform(kept(find), lambda m: swapped(m, find)), wanted)
+    return finding([*used, *filter(None, swaps)], dom, lambda find: F.transform(kept(find), lambda m: swapped(m, find)), matches)

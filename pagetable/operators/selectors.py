@@ -155,7 +155,7 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """`use(value)` with the value computed once: inside a lambda a plain expression is computed for every element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -184,7 +184,7 @@ class _Page:
         def bound(value):
             return _Page(self.dom, self.elements, self.first, {**self.nots, missing[0]: value}).knowing(css, use)
 
-        return _let(_nearest(missing[0], self), bound)
+        return let(_nearest(missing[0], self), bound)
 
 
 def _greatest_along(values: Column, page: _Page, link: str) -> Column:
@@ -211,7 +211,7 @@ def _nearest_of(steps, page: _Page) -> Column:
     comb, rest = steps[0][0], _nearest_of(steps[1:], page)
     link = "parent" if comb in " >" else "prev"
     if comb in " ~":
-        rest = _let(rest, lambda values: _greatest_along(values, page, link))
+        rest = let(rest, lambda values: _greatest_along(values, page, link))
 
     def step(values):
         def here(n):
@@ -220,7 +220,7 @@ def _nearest_of(steps, page: _Page) -> Column:
 
         return F.transform(page.elements, here)
 
-    return _let(rest, step)
+    return let(rest, step)
 
 
 def _nearest(css: str, page: _Page) -> Column:
@@ -236,7 +236,7 @@ def _matching(css: str, page: _Page) -> Column:
     """The elements that match, in document order."""
     if all(len(steps) == 1 for steps in _chains(css)):
         return F.filter(page.elements, lambda n: _either(_compound(steps[0][1], n, page) for steps in _chains(css)))
-    return _let(_nearest(css, page), lambda near: F.filter(page.elements, lambda n: page.reached(near, n["idx"])))
+    return let(_nearest(css, page), lambda near: F.filter(page.elements, lambda n: page.reached(near, n["idx"])))
 
 
 def select(css: str, dom="dom") -> Column:
@@ -252,10 +252,11 @@ def _found(css: str, page: _Page) -> Column:
     """The page's matches for `_first_in`: their places, and the greatest `_nearest` place up to each, which only grows."""
     if all(len(steps) == 1 for steps in _chains(css)):
         places = F.transform(_matching(css, page), lambda n: n["idx"])
-        return _let(places, lambda at: F.struct(at.alias("at"), at.alias("top")))
+        return let(places, lambda at: F.struct(at.alias("at"), at.alias("top")))
 
     def found(near):
-        at = F.filter(F.transform(near, lambda x, i: F.when(x >= 0, i)), lambda i: i.isNotNull())
+        start = F.lit(0) if page.first is None else page.first
+        at = F.filter(F.transform(near, lambda x, i: F.when(x >= 0, i + start)), lambda i: i.isNotNull())
         top = F.filter(near, lambda x: x >= 0)
 
         def double(v, step):
@@ -264,7 +265,7 @@ def _found(css: str, page: _Page) -> Column:
         rounds = F.ceil(F.log2(F.size(top) + 1)).cast("int")
         return F.struct(at.alias("at"), F.aggregate(F.sequence(F.lit(0), rounds), top, double).alias("top"))
 
-    return _let(_nearest(css, page), found)
+    return let(_nearest(css, page), found)
 
 
 def _first_in(found: Column, first: Column, last: Column) -> Column:
@@ -280,24 +281,23 @@ def _first_in(found: Column, first: Column, last: Column) -> Column:
     size = F.size(found["top"])
     rounds = F.ceil(F.log2(size + 1)).cast("int")
     way = F.aggregate(F.sequence(F.lit(0), rounds), F.struct(F.lit(0).alias("a"), size.alias("b")), halve)
-    return _let(F.get(found["at"], way["a"]), lambda i: F.when(i <= last, i))
+    return let(F.get(found["at"], way["a"]), lambda i: F.when(i <= last, i))
 
 
-def finding(csses: list[str], dom, use, wanted: Column | None = None) -> Column:
+def finding(csses: list[str], dom, use, nodes: Column | None = None) -> Column:
     """`use(find)` where `find(node, css)` is the first match of one of `csses` inside an element, NULL if there is none;
     the element itself is a candidate and the top of what the selector sees.
 
     The matches are found once for the page, so that `find` costs a bisection however often it is called. Only a
-    `:not()` with combinators depends on the scope as a whole: such a selector passes over the scope. Where `wanted` is false nothing is
-    looked for.
+    `:not()` with combinators depends on the scope as a whole: such a selector passes over the scope. Of a page whose elements
+    in question are `nodes`, only the stretch that holds them is looked at.
     """
     d = _c(dom)
-    elements = d if wanted is None else F.when(wanted, d).otherwise(F.slice(d, 1, 0))
     csses = list(dict.fromkeys(csses))
     ready = [css for css in csses if not _linked_nots(css)]
 
     def find(held: dict, node: Column, css: str) -> Column:
-        return _let(F.struct(node["idx"].alias("first"), node["sub_end"].alias("last")), lambda scope: below(held, scope, css))
+        return let(F.struct(node["idx"].alias("first"), node["sub_end"].alias("last")), lambda scope: below(held, scope, css))
 
     def below(held: dict, scope: Column, css: str) -> Column:
         if css in held:
@@ -307,14 +307,23 @@ def finding(csses: list[str], dom, use, wanted: Column | None = None) -> Column:
             page = _Page(d, part, scope["first"])
             return F.get(page.knowing(css, lambda known: _matching(css, known)), F.lit(0))
 
-        return _let(F.slice(d, scope["first"] + 1, scope["last"] - scope["first"] + 1), within)
+        return let(F.slice(d, scope["first"] + 1, scope["last"] - scope["first"] + 1), within)
 
-    def bind(rest: list[str], held: dict) -> Column:
+    def bind(page: _Page, rest: list[str], held: dict) -> Column:
         if not rest:
             return use(lambda node, css: find(held, node, css))
-        return _let(_found(rest[0], _Page(d, elements)), lambda value: bind(rest[1:], {**held, rest[0]: value}))
+        return let(_found(rest[0], page), lambda value: bind(page, rest[1:], {**held, rest[0]: value}))
 
-    return bind(ready, {})
+    if nodes is None or not ready:
+        return bind(_Page(d), ready, {})
+    first = F.coalesce(F.array_min(F.transform(nodes, lambda n: n["idx"])), F.lit(0))
+    last = F.coalesce(F.array_max(F.transform(nodes, lambda n: n["sub_end"])), F.lit(-1))
+
+    def within_stretch(stretch):
+        part = F.slice(d, stretch["first"] + 1, F.greatest(stretch["last"] - stretch["first"] + 1, F.lit(0)))
+        return let(part, lambda elements: bind(_Page(d, elements, stretch["first"]), ready, {}))
+
+    return let(F.struct(first.alias("first"), last.alias("last")), within_stretch)
 
 
 def find_first(node: Column, css: str, dom="dom") -> Column:
@@ -330,7 +339,7 @@ def containing(outer: str, inner: str, dom="dom") -> Column:
         bound = F.struct(places.alias("at"), places.alias("top"))
         return F.try_element_at(F.filter(select(outer, d), lambda o: _first_in(bound, o["idx"] + 1, o["sub_end"]).isNotNull()), F.lit(1))
 
-    return _let(F.transform(select(inner, d), lambda n: n["idx"]), first)
+    return let(F.transform(select(inner, d), lambda n: n["idx"]), first)
 
 
 def matches_frame(parsed, css: str):

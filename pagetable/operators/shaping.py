@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagetable.functions.values import remove_chars
 from pagetable.operators.conditions import finds
 from pagetable.operators.dom import attr_of, text_of
-from pagetable.operators.selectors import finding
+from pagetable.operators.selectors import finding, let
 
 
 def has_gap(matches: Column) -> Column:
@@ -51,16 +51,19 @@ def values_positional(matches: Column, names, remove=(), chunks="chunks") -> dic
 def records_of(matches: Column, fields, remove=(), dom="dom", chunks="chunks") -> Column:
     """ARRAY<STRUCT>: per match the text of each field's first sub-match, '' if there is none."""
 
+    def cell(sub):
+        text = remove_chars(text_of(sub, chunks), remove, per_character=True)
+        return F.when(sub.isNotNull(), text).otherwise(F.lit(""))
+
     def record(m, find):
-        cells = []
-        for name, css in fields:
-            sub = find(m, css)
-            text = remove_chars(text_of(sub, chunks), remove, per_character=True)
-            cells.append(F.when(sub.isNotNull(), text).otherwise(F.lit("")).alias(name))
-        return F.struct(*cells)
+        return F.struct(*[let(find(m, css), cell).alias(name) for name, css in fields])
 
     used = [css for _, css in fields]
-    return finding(used, dom, lambda find: F.transform(matches, lambda m: record(m, find)), F.size(matches) > 0)
+
+    def records(found):
+        return finding(used, dom, lambda find: F.transform(found, lambda m: record(m, find)), found)
+
+    return let(matches, records)
 
 
 def value_attr(matches: Column, attr: str, pos: int) -> Column:

@@ -61,10 +61,12 @@ def test_first_match_of_every_scope(one_page, css):
     parsed = parse_dom(one_page(*pages))
     every = finding([written], "dom", lambda find: F.transform("dom", lambda n: find(n, written)["idx"]))
     one = find_first(F.get("dom", F.lit(1)), written)["idx"]
-    for r in parsed.select("dom", every.alias("got"), one.alias("one"), select(written)["idx"].alias("all")).collect():
+    some = finding([written], "dom", lambda find: F.transform(select("xa"), lambda n: find(n, written)["idx"]), select("xa")).alias("some")
+    for r in parsed.select("dom", some, every.alias("got"), one.alias("one"), select(written)["idx"].alias("all")).collect():
         dom = [{**n.asDict(), "tag": n["tag"].removeprefix("x") if n["tag"].startswith("x") else "-"} for n in r.dom]
         assert r.got == [first(dom, i, css) for i in range(len(dom))]
         assert r.one == r.got[1]
+        assert r.some == [first(dom, i, css) for i in range(len(dom)) if dom[i]["tag"] == "a"]
         assert r["all"] == [i for i in range(len(dom)) if any(holds(dom, i, c, 0) for c in CHAINS[css])]
 
 
