@@ -11,6 +11,7 @@ from pagetable.functions.http import header_get
 from pagetable.functions.values import content_hash, format_accessed
 from pagetable.operators.frontier import update_frontier
 from pagetable.operators.joins import spread_join
+from pagetable.operators.positions import fetch, file_of, has_positions, row_of
 from pagetable.operators.quality import any_present, passes_gate
 from pagetable.operators.records import append, remove_records, update_records
 from pagetable.plans.checkpoints import run_folder, through_table
@@ -35,18 +36,25 @@ def page_states(pages: DataFrame) -> DataFrame:
     return _states(pages).select("url", "status", "lastmodified", "hash")
 
 
-def _states(pages: DataFrame) -> DataFrame:
+def _captured(pages: DataFrame):
+    return next((F.col(c).cast("long") for c in ("seq", "page_id") if c in pages.columns), F.lit(0).cast("long"))
+
+
+def _states(pages: DataFrame, placed: bool = False) -> DataFrame:
+    """The latest capture of each URL; `placed` adds its position in its file (_file, _row), which settles ties."""
     has_headers = "headers" in pages.columns
-    order = next((F.col(c).cast("long") for c in ("seq", "page_id") if c in pages.columns), F.lit(0).cast("long"))
+    place = [file_of().alias("_file"), row_of().alias("_row")] if placed else []
     rows = pages.select(
         "url",
-        order.alias("_at"),
+        _captured(pages).alias("_at"),
         (F.col("status") if "status" in pages.columns else F.lit(200)).alias("status"),
         (header_get("headers", "Last-Modified") if has_headers else F.lit("")).alias("lastmodified"),
         content_hash("html").alias("hash"),
+        *place,
     )
-    latest = rows.groupBy("url").agg(F.max(F.struct("_at", "hash", "status", "lastmodified")).alias("_s"))
-    return latest.select("url", "_s._at", "_s.status", "_s.lastmodified", "_s.hash")
+    cells = ["_at", "hash", "status", "lastmodified", *(["_file", "_row"] if placed else [])]
+    latest = rows.groupBy("url").agg(F.max(F.struct(*cells)).alias("_s"))
+    return latest.select("url", *[f"_s.{c}" for c in cells])
 
 
 def records_with_frontier(records: DataFrame, frontier: DataFrame) -> DataFrame:
@@ -78,7 +86,9 @@ def refresh(
 
     A page that gives a record overwrites the known cells of all rows of its URL; a page that gives
     a record list replaces the rows of its URL. `gate=True` applies the library's constraints.
-    Only hashes and dates of all pages are compared; sources are read again for changed pages only.
+    Only hashes and dates of all pages are compared; sources are read again for changed pages only. Of a Parquet table
+    (below filters and projections) they are fetched by file and row number, so no source is shuffled (`positions.fetch`);
+    pages computed otherwise meet the changed URLs in a join.
     """
     with run_folder(records.sparkSession, "refresh") as base:
         return _refresh(records, frontier, pages_now, lib, accessed_at, gate, base)
@@ -87,14 +97,16 @@ def refresh(
 def _refresh(records, frontier, pages_now, lib, accessed_at, gate, base) -> RefreshResult:
     tracked = records.select("url").distinct()
     absent = missing_urls(records, frontier)
-    states = _states(pages_now).join(tracked, "url", "left_semi")
+    placed = has_positions(pages_now)
+    states = _states(pages_now, placed).join(tracked, "url", "left_semi")
     changed = through_table(changed_pages(states, frontier), f"{base}/changed")
-    at = next((F.col(c).cast("long") for c in ("seq", "page_id") if c in pages_now.columns), F.lit(0).cast("long"))
-    latest = pages_now.select("url", "html", at.alias("_at"), content_hash("html").alias("hash"))
-    sources = latest.join(changed.select("url", "_at", "hash"), ["url", "_at", "hash"], "left_semi")
-    # the same capture twice is one
-    rows = page_rows(parse_active(sources.dropDuplicates(["url"]).select("url", "html"), lib), lib)
-    shaped = through_table(rows.select("url", "_rows", "_is_list"), f"{base}/rows")
+    if placed:
+        sources = fetch(pages_now, changed.select("url", "_file", "_row"), "url", "_file", "_row")
+    else:
+        latest = pages_now.select("url", "html", _captured(pages_now).alias("_at"), content_hash("html").alias("hash"))
+        met = latest.join(changed.select("url", "_at", "hash"), ["url", "_at", "hash"], "left_semi")
+        sources = [met.dropDuplicates(["url"])]  # the same capture twice is one
+    shaped = _extracted(sources, lib, base)
     flat = shaped.select("url", "_is_list", F.inline_outer("_rows"))
     if gate:
         keep = passes_gate(flat.schema, lib.csv_cols, lib.required, lib.min_filled)
@@ -125,4 +137,15 @@ def _refresh(records, frontier, pages_now, lib, accessed_at, gate, base) -> Refr
     results = changed.select("url", "status", "lastmodified", "hash")
     if "fetched" in frontier.columns:
         results = results.withColumn("fetched", format_accessed(at))
-    return RefreshResult(merged, update_frontier(frontier.unionByName(added), results), changed.drop("_at"), base)
+    known = changed.drop("_at", "_file", "_row")
+    return RefreshResult(merged, update_frontier(frontier.unionByName(added), results), known, base)
+
+
+def _extracted(sources, lib: Library, base: str) -> DataFrame:
+    """(url, _rows, _is_list) of the pages of all steps, each stored before the next one is read."""
+    paths = []
+    for step in sources:
+        rows = page_rows(parse_active(step.select("url", "html"), lib), lib).select("url", "_rows", "_is_list")
+        paths.append(f"{base}/rows-{len(paths)}")
+        stored = through_table(rows, paths[-1])
+    return stored.sparkSession.read.schema(stored.schema).parquet(*paths)
