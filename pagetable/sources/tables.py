@@ -9,10 +9,11 @@ from pyspark.sql.utils import AnalysisException
 
 from pagetable.functions.http import is_text
 from pagetable.functions.urls import mirror_path, url_host
-from pagetable.functions.values import format_accessed
+from pagetable.functions.values import format_accessed, size_to_bytes
 from pagetable.operators.scan import number_rows
 from pagetable.plans.library import Library
 from pagetable.schemas import FRONTIER, RUNS
+from pagetable.sources.quoted import largest_file, read_quoted
 
 
 def records_schema(lib: Library) -> T.StructType:
@@ -33,6 +34,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def _split_bytes(spark: SparkSession) -> int:
+    size = size_to_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes").upper().removesuffix("B"))
+    return size if size > 0 else 1 << 27
+
+
 def read_frontier(spark: SparkSession, path: str, statuses=None, sep: str = ";") -> DataFrame:
     """Saved frontier in queue order (`seq`), optionally only some statuses; an empty table when there is none.
 
@@ -74,10 +80,19 @@ def write_frontier(frontier: DataFrame, path: str, sep: str = ";") -> None:
     rows.write.mode("overwrite").options(sep=sep, header=True, escape='"').csv(path)
 
 
-def read_records(spark: SparkSession, path: str, lib: Library, sep: str = ";") -> DataFrame:
-    """Saved records; an empty table when there are none."""
+def read_records(spark: SparkSession, path: str, lib: Library, sep: str = ";", by_block: bool | None = None) -> DataFrame:
+    """Saved records; an empty table when there are none.
+
+    A cell may hold line breaks. Where a file is larger than 16 splits, files are read in blocks (`quoted`), which asks that
+    cells with quotes are quoted, as `write_records` does; otherwise, or with `by_block=False`, by one task each. Blocks
+    cost about 7 times the CPU, as lines are shuffled by block, so they pay for large files only.
+    """
     if not _exists(spark, path):
         return empty_records(spark, lib)
+    if by_block is None:
+        by_block = largest_file(spark, path) > 16 * _split_bytes(spark)
+    if by_block:
+        return read_quoted(spark, path, records_schema(lib), sep)
     options = dict(sep=sep, header=True, quote='"', escape='"', multiLine=True, enforceSchema=False)
     return spark.read.schema(records_schema(lib)).options(**options).csv(path)
 
