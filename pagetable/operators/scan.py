@@ -92,15 +92,53 @@ def number_rows(df: DataFrame, order, name: str = "rn", start: int = 0) -> DataF
     return numbered.select(*df.columns, position.cast("long").alias(name))
 
 
-def first_rows(df: DataFrame, order, n: int) -> DataFrame:
-    """The first n rows in the given (total) order of columns.
+def _least(keys: DataFrame, order, k: int, bins: int, small: int):
+    """The k-th (from 1) of the rows of `keys` in `order`, or None where there are fewer.
 
-    Only the order columns are sorted, across all tasks; the n-th key then is a filter on the rows.
+    Each round takes some keys of the range that holds the k-th as bounds and counts the range's rows up to and at each
+    of them, in one row a task. The range between two neighbouring bounds is the next round's; a range of at most `small`
+    rows is left to a sort with a limit. Bounds that equal the k-th end the search, so ties do not prolong it.
+    """
+    key = F.struct(*order)
+    literal = lambda row: F.struct(*[F.lit(row[c]).cast(keys.schema[c].dataType).alias(c) for c in order])
+    rows, left, count = keys, k, keys.count()
+    if count < k:
+        return None
+    turn = 0
+    while count > small:
+        # some 30 rows a bin on average, whatever the range's size
+        drawn = rows.sample(min(1.0, 30 * bins / count), seed=turn).orderBy(*order).limit(60 * bins).collect()
+        bounds = drawn[:: max(len(drawn) // bins, 1)]
+        turn += 1
+        if not bounds:
+            continue
+        tests = [F.count_if(key <= literal(b)).alias(f"u{i}") for i, b in enumerate(bounds)]
+        ties = [F.count_if(key == literal(b)).alias(f"t{i}") for i, b in enumerate(bounds)]
+        got = rows.agg(*tests, *ties).first()
+        above = next((i for i in range(len(bounds)) if got[f"u{i}"] >= left), len(bounds))
+        if above < len(bounds) and got[f"u{above}"] - got[f"t{above}"] < left:
+            return bounds[above]
+        under = got[f"u{above - 1}"] if above else 0
+        count = (got[f"u{above}"] - got[f"t{above}"] if above < len(bounds) else count) - under
+        left -= under
+        if above:
+            rows = rows.where(key > literal(bounds[above - 1]))
+        if above < len(bounds):
+            rows = rows.where(key < literal(bounds[above]))
+    return rows.orderBy(*order).limit(left).agg(F.max(key).alias("k")).first()["k"]
+
+
+def first_rows(df: DataFrame, order, n: int, bins: int = 64, small: int = 100_000) -> DataFrame:
+    """The first n rows in the given (total) order of columns; NULLs come first, and rows that equal the n-th stay.
+
+    Nothing is sorted as a whole: the order columns are stored once, the n-th key is found by counting (`_least`), and
+    it is a filter on the rows.
     """
     if n <= 0:
         return df.limit(0)
-    keys = number_rows(df.select(*order), order, "_place").where(F.col("_place") == n - 1).first()
-    if keys is None:
+    keys = through_table(df.select(*order), new_folder(df.sparkSession, "keys"))
+    nth = _least(keys, list(order), n, bins, small)
+    if nth is None:
         return df
-    last = F.struct(*[F.lit(keys[c]).cast(df.schema[c].dataType).alias(c) for c in order])
+    last = F.struct(*[F.lit(nth[c]).cast(df.schema[c].dataType).alias(c) for c in order])
     return df.where(F.struct(*order) <= last)
