@@ -92,12 +92,24 @@ def number_rows(df: DataFrame, order, name: str = "rn", start: int = 0) -> DataF
     return numbered.select(*df.columns, position.cast("long").alias(name))
 
 
+def _bin(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
+    """2 i + 1 for a key that equals the i-th bound, 2 i for one below it and above the bound before, by bisection."""
+    if lo == hi:
+        return F.lit(2 * lo)
+    mid = (lo + hi) // 2
+    return (
+        F.when(key < bounds[mid], _bin(key, bounds, lo, mid))
+        .when(key == bounds[mid], F.lit(2 * mid + 1))
+        .otherwise(_bin(key, bounds, mid + 1, hi))
+    )
+
+
 def _least(keys: DataFrame, order, k: int, bins: int, small: int):
     """The k-th (from 1) of the rows of `keys` in `order`, or None where there are fewer.
 
-    Each round takes some keys of the range that holds the k-th as bounds and counts the range's rows up to and at each
-    of them, in one row a task. The range between two neighbouring bounds is the next round's; a range of at most `small`
-    rows is left to a sort with a limit. Bounds that equal the k-th end the search, so ties do not prolong it.
+    Each round takes some keys of the range that holds the k-th as bounds and counts the range's rows at and between
+    them. The range between two neighbouring bounds is the next round's; a range of at most `small` rows is left to a sort
+    with a limit. A bound that equals the k-th ends the search, so ties do not prolong it.
     """
     key = F.struct(*order)
     literal = lambda row: F.struct(*[F.lit(row[c]).cast(keys.schema[c].dataType).alias(c) for c in order])
@@ -108,23 +120,23 @@ def _least(keys: DataFrame, order, k: int, bins: int, small: int):
     while count > small:
         # some 30 rows a bin on average, whatever the range's size
         drawn = rows.sample(min(1.0, 30 * bins / count), seed=turn).orderBy(*order).limit(60 * bins).collect()
-        bounds = drawn[:: max(len(drawn) // bins, 1)]
+        cut = drawn[:: max(len(drawn) // bins, 1)]
+        bounds = [b for i, b in enumerate(cut) if not i or b != cut[i - 1]]
         turn += 1
         if not bounds:
             continue
-        tests = [F.count_if(key <= literal(b)).alias(f"u{i}") for i, b in enumerate(bounds)]
-        ties = [F.count_if(key == literal(b)).alias(f"t{i}") for i, b in enumerate(bounds)]
-        got = rows.agg(*tests, *ties).first()
-        above = next((i for i in range(len(bounds)) if got[f"u{i}"] >= left), len(bounds))
-        if above < len(bounds) and got[f"u{above}"] - got[f"t{above}"] < left:
-            return bounds[above]
-        under = got[f"u{above - 1}"] if above else 0
-        count = (got[f"u{above}"] - got[f"t{above}"] if above < len(bounds) else count) - under
-        left -= under
-        if above:
-            rows = rows.where(key > literal(bounds[above - 1]))
-        if above < len(bounds):
-            rows = rows.where(key < literal(bounds[above]))
+        sizes = dict(rows.groupBy(_bin(key, [literal(b) for b in bounds], 0, len(bounds)).alias("b")).count().collect())
+        hit, under = 0, 0
+        while under + sizes.get(hit, 0) < left:
+            under += sizes.get(hit, 0)
+            hit += 1
+        if hit % 2:
+            return bounds[hit // 2]
+        left, count = left - under, sizes[hit]
+        if hit:
+            rows = rows.where(key > literal(bounds[hit // 2 - 1]))
+        if hit < 2 * len(bounds):
+            rows = rows.where(key < literal(bounds[hit // 2]))
     return rows.orderBy(*order).limit(left).agg(F.max(key).alias("k")).first()["k"]
 
 
