@@ -76,7 +76,7 @@ def test_records_of_large_files_are_read_by_blocks(spark, tmp_path, small_blocks
     lib = Library.from_dict({"csvLineFormat": ["t", "u"], "library": []})
     recs = spark.createDataFrame([("x", f"u{i}", f'a "{i}"\n;' * (i % 5), None if i % 3 else "") for i in range(400)], "dateaccessed string, url string, t string, u string")
     tb.write_records(recs.coalesce(2), str(tmp_path / "r"))
-    assert quoted.largest_file(spark, str(tmp_path / "r")) > 16 * 97
+    assert quoted.largest_file(spark, str(tmp_path / "r")) > 64 * 97
     by_block = tb.read_records(spark, str(tmp_path / "r"), lib)
     whole = tb.read_records(spark, str(tmp_path / "r"), lib, by_block=False)
     assert by_block._jdf.queryExecution().toString().count("Window") and "Window" not in whole._jdf.queryExecution().toString()
