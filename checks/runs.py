@@ -13,7 +13,8 @@ from pagetable.operators.frontier import pending
 from pagetable.plans.checkpoints import new_folder
 from pagetable.sources.tables import csv_view, read_frontier, write_frontier
 from pagetable.streaming.pages import (
-    current_frontier, current_windows, first_seen, save_stream, stream_dedup, stream_first_seen, stream_frontier, stream_progress, stream_windows,
+    current_distinct, current_frontier, current_windows, first_seen, save_stream, stream_dedup, stream_distinct, stream_first_seen,
+    stream_frontier, stream_progress, stream_windows,
 )
 
 L = f"WITH {RUN_LOG_SQL}"
@@ -217,6 +218,19 @@ def streamed_frontier(spark, sf):
     return current_frontier(spark, f"{path}/out").select("url", "seq", F.col("status").cast("long").alias("status"), "hash")
 
 
+def streamed_distinct(spark, sf):
+    """Whether the estimates are within 5 % (three standard errors) of the exact numbers."""
+    path = new_folder(spark, "distinct")
+    captures = _document_stream(spark, sf).select(F.col("doc_id").cast("string").alias("url"), "hash")
+    query = stream_distinct(captures, f"{path}/out")
+    query.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", content_hash("text").alias("hash"))
+    exact = rows.agg(F.count_distinct("doc_id").alias("n_urls"), F.count_distinct("hash").alias("n_hashes")).first()
+    near = lambda got, n: (F.abs(F.col(got) - n) <= 0.05 * n).alias(f"{got}_near")
+    numbers = [F.lit(exact[n]).cast("long").alias(n) for n in ("n_urls", "n_hashes")]
+    return current_distinct(spark, f"{path}/out").select(*numbers, near("urls", exact["n_urls"]), near("hashes", exact["n_hashes"]))
+
+
 def streamed_progress(spark, sf):
     """All windows of the log, those still open at the end too."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
@@ -259,6 +273,11 @@ QUERIES = {
     "stream_extract": (streamed, FLAGSHIP_SQL),
     "stream_dedup": (streamed_dedup, "SELECT DISTINCT sha256(text) AS hash FROM documents"),
     "stream_first_seen": (streamed_first, "SELECT min(doc_id) AS doc_id, sha256(text) AS hash FROM documents GROUP BY 2"),
+    "stream_distinct": (
+        streamed_distinct,
+        """SELECT count(DISTINCT doc_id) AS n_urls, count(DISTINCT text) AS n_hashes, true AS urls_near, true AS hashes_near
+  FROM documents""",
+    ),
     "stream_frontier": (streamed_frontier, "SELECT url, page_id AS seq, 200 AS status, sha256(html) AS hash FROM pages"),
     "stream_progress": (streamed_progress, PROGRESS_SQL),
     "stream_interval": (streamed_interval, FLAGSHIP_SQL),

@@ -99,6 +99,41 @@ def current_frontier(spark: SparkSession, path: str) -> DataFrame:
     return _latest("url", ["batch", "seq"])(_outcomes(spark, path).rows()).drop("batch")
 
 
+SKETCHES = T.StructType([T.StructField("urls", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
+
+
+def _united(log: DataFrame) -> DataFrame:
+    """Folds a log of sketches to one row (none for an empty log)."""
+    both = log.agg(*[F.hll_union_agg(c).alias(c) for c in SKETCHES.names], F.max("batch").alias("batch"))
+    return both.where("batch is not null")
+
+
+def _sketches(spark: SparkSession, path: str) -> BatchLog:
+    return BatchLog(spark, path, SKETCHES, _united)
+
+
+def stream_distinct(page_stream: DataFrame, path: str, precision: int = 12):
+    """Different URLs and contents so far: a writer whose log at `path` holds one row of sketches per batch.
+
+    A sketch has at most 2^`precision` registers, however many pages a batch has, and uniting is idempotent, so copies
+    across batches count once. The relative standard error is about 1.04 / 2^(precision / 2), 1.6 % by default.
+    """
+    keyed = page_stream if "hash" in page_stream.columns else page_stream.withColumn("hash", content_hash("html"))
+    keys = keyed.select("url", "hash")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        sketch = lambda c: F.hll_sketch_agg(c, precision)
+        _sketches(batch.sparkSession, path).append(batch.agg(sketch("url").alias("urls"), sketch("hash").alias("hashes")), number)
+
+    return keys.writeStream.foreachBatch(merge)
+
+
+def current_distinct(spark: SparkSession, path: str) -> DataFrame:
+    """(urls, hashes): the estimates of a `stream_distinct` log; no row before the first batch."""
+    united = _united(_sketches(spark, path).rows())
+    return united.select(*[F.hll_sketch_estimate(c).alias(c) for c in SKETCHES.names])
+
+
 def stream_progress(log_stream: DataFrame, ts: str = "ts", width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Progress figures per time window; late pages are waited for up to `delay`."""
     return progress_windows(log_stream.withWatermark(ts, delay), ts, width)

@@ -129,3 +129,19 @@ def test_bytes_per_batch_do_not_follow_the_history(spark, tmp_path):
     for number in range(1, 4):
         for short, long in zip(spent["short", number], spent["long", number]):
             assert long <= 1.5 * short + 20_000, spent
+
+
+def test_distinct_sketches(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from pagetable.streaming.pages import current_distinct, stream_distinct
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.range(30000).select(F.concat(F.lit("u"), F.col("id") % 20000).alias("url"), F.concat(F.lit("h"), F.col("id") % 700).alias("hash"))
+    rows.repartition(5).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    assert current_distinct(spark, out).count() == 0
+    query = stream_distinct(stream, out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = current_distinct(spark, out).collect()
+    assert len(got) == 1 and abs(got[0]["urls"] - 20000) < 1000 and abs(got[0]["hashes"] - 700) < 35
