@@ -289,6 +289,15 @@ def test_runs_around_base_spans_are_scored(spark):
     assert not any(s[0] == "format" for i, _ in inside for s in got[i])
 
 
+def test_scan_keeps_columns_named_like_its_own(spark):
+    """The text travels under a spare name, also beside a kept column called _text."""
+    docs = texts(spark, [(1, "password: hunter22"), (2, None)], _text="mine")
+    learned = secrets.infer({k: [] for k in [*secrets.KINDS[:3], "other"]})
+    got = secrets.scan(docs, learned, keep=["doc_id", "_text"]).collect()
+    found = sorted((r["doc_id"], r["_text"], [(s.kind, s.start, s.end) for s in r.spans]) for r in got)
+    assert found == [(1, "mine", [("assign", 0, 18)]), (2, "mine", [])]
+
+
 def test_automata_merge_and_score():
     draw = random.Random(0)
     strings = ["".join(draw.choice("9f") for _ in range(12)) for _ in range(300)]
