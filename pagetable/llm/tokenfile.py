@@ -147,7 +147,8 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
     sizes = table.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    placed = table.join(offsets, "part")
+    # one row per file: broadcast, so that the blocks are decoded where they are read
+    placed = table.join(F.broadcast(offsets), "part")
     return placed.select("offset", "start", "n_ids", "doc_ids", "lengths", "control", "data").mapInArrow(
         decode, "doc_id long, start long, n_tokens long, ids binary"
     )

@@ -59,6 +59,8 @@ def _packed(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np
     return pairs[:, 0] & _LOW[np.minimum(length, 8)], pairs[:, 1] & _LOW[np.maximum(length - 8, 0)]
 
 
+_BETWEEN = b"|"
+_TOGETHER = 1024
 _LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
@@ -89,6 +91,8 @@ class ChunkEncoder:
         self.plain = spec.get("decoder") is None
         size = self.lib.get_vocab_size(with_added_tokens=True)
         self.pieces = [(self.lib.id_to_token(i) or "").encode() for i in range(size)]
+        between = self.direct(_BETWEEN)
+        self.between = int(np.frombuffer(between, "<u4")[0]) if len(between) == 4 else None
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, bytes] = {}
@@ -103,11 +107,31 @@ class ChunkEncoder:
             self.words, self.older = {}, self.words
         known, older = self.words, self.older
         out = list(map(known.get, words))
-        for i in [i for i, ids in enumerate(out) if ids is None]:
-            word = words[i]
-            out[i] = known[word] = older.get(word) or self.direct(word)
+        new = [i for i, ids in enumerate(out) if ids is None]
+        met = {words[i]: older.get(words[i]) for i in new}
+        fresh = [w for w, ids in met.items() if not ids]
+        met.update(zip(fresh, self._apart(fresh)))
+        known.update(met)
+        for i in new:
+            out[i] = met[words[i]]
         return out
 
+    def _apart(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of these words: of many short ones in one call, told apart by a mark between them. Its id comes
+        once for every mark; if more are found, a word has it too, and the words are encoded one by one."""
+        joined = [i for i, w in enumerate(words) if len(w) <= 256 and _BETWEEN not in w] if self.between is not None else []
+        out: list[bytes | None] = [None] * len(words)
+        for at in range(0, len(joined), _TOGETHER):
+            own = joined[at : at + _TOGETHER]
+            text = (b" %s " % _BETWEEN).join([words[i] for i in own]).decode()
+            ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            marks = np.flatnonzero(ids == self.between)
+            if len(marks) == len(own) - 1:
+                raw = ids.tobytes()
+                for i, a, b in zip(own, [0, *(4 * marks + 4).tolist()], [*(4 * marks).tolist(), len(raw)]):
+                    out[i] = raw[a:b]
+        return [self.direct(w) if ids is None else ids for w, ids in zip(words, out)]
+
     def _from_words(self, chunks: list[bytes]) -> list[bytes]:
         """The ids of chunks without special tokens: of each distinct word once, then gathered for all words."""
         text = b" ".join(chunks)

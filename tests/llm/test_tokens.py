@@ -136,3 +136,26 @@ def test_variable_length_coding():
         ranks = draw.integers(0, 2 ** draw.integers(1, 32, n, dtype=np.uint64)).astype(np.uint32)
         control, data = tokenfile.pack(ranks)
         assert len(control) == -(-n // 4) and (tokenfile.unpack(control, data, n) == ranks).all()
+
+
+def test_words_encoded_together_have_their_own_ids():
+    """Words with the mark that keeps them apart, long ones, and other scripts."""
+    encoder = ChunkEncoder(queries.tokenizer())
+    words = [w.encode() for w in ["|", "a|b", "word", "x" * 500, "naïve", "東京都", "don't", "3.14", "́accent", " wide", "||", "!?", "ends"]]
+    assert encoder._apart(words) == [encoder.direct(w) for w in words]
+    assert encoder._apart([]) == []
+    encoder.between = int(np.frombuffer(encoder.direct(b"word"), "<u4")[0])  # a mark that words hold too
+    assert encoder._apart(words) == [encoder.direct(w) for w in words]
+
+
+def test_blocks_are_read_without_a_shuffle(spark):
+    out = folder(spark, "no-shuffle")
+    tokenfile.write_token_files(texts(spark, [(i, f"text {i}") for i in range(50)]), queries.tokenizer(), out, 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        read = tokenfile.read_token_files(spark, out)
+        assert read.count() == 50
+        plan = read._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
