@@ -26,6 +26,7 @@ PENALTY = 0.03
 TURNS = 200
 SCREEN = 25
 WORDS_KEPT = 300_000
+_PIECE = 1 << 18
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -124,6 +125,15 @@ class Model:
         return [sum(map(known.__getitem__, own)) / len(own) + self.base if own else self.base for own in split]
 
 
+def _sums(to: np.ndarray, amounts, size: int) -> np.ndarray:
+    """np.bincount(to, amounts(all), size), to the bit, without its copies of the whole input."""
+    out = np.zeros(size)
+    for at in range(0, len(to), _PIECE):
+        cut = slice(at, at + _PIECE)
+        np.add.at(out, to[cut].astype(np.intp), amounts(cut).astype(np.float64))
+    return out
+
+
 def train(
     bags: list[tuple[np.ndarray, np.ndarray]], ones: np.ndarray, rate: float, buckets: int = BUCKETS, dim: int = DIM,
     penalty: float = PENALTY, turns: int = TURNS, seed: int = 0,
@@ -138,10 +148,12 @@ def train(
     n = len(bags)
     rows = np.repeat(np.arange(n, dtype=np.int32), [len(b) for b, _ in bags])
     columns, values = np.concatenate([b for b, _ in bags]), np.concatenate([w for _, w in bags])
-    fine = (np.bincount(columns, minlength=buckets) >= LEAST_DOCS)[columns]
-    rows, columns, values = rows[fine], columns[fine], values[fine]
-    unit = np.sqrt(np.bincount(columns, np.square(values), buckets) / n)
-    values = values / unit[columns].astype(np.float32)
+    fine = (_sums(columns, lambda cut: np.ones(len(columns[cut])), buckets) >= LEAST_DOCS)[columns]
+    rows = rows[fine]  # one by one: the driver holds few copies
+    columns = columns[fine]
+    values = values[fine]
+    unit = np.sqrt(_sums(columns, lambda cut: np.square(values[cut]), buckets) / n)
+    values /= unit.astype(np.float32)[columns]
     layer = np.random.default_rng(seed).standard_normal((dim + 1, 2))
     layer[-1] = 0
     table = np.zeros((buckets, dim))
@@ -154,7 +166,7 @@ def train(
         return (told / told.sum(1, keepdims=True) - target) * weigh
 
     def folded(at, to, by, size):
-        return np.stack([np.bincount(to, by * column[at], size) for column in np.ascontiguousarray(at_of.T)], 1)
+        return np.stack([_sums(to, lambda cut: by[cut] * column[at[cut]], size) for column in np.ascontiguousarray(at_of.T)], 1)
 
     inner = np.append(np.zeros((n, dim)), np.ones((n, 1)), 1)
     for turn in range(turns):
@@ -162,14 +174,14 @@ def train(
             at_of = off(inner) @ layer[:-1].T
             pulls = np.linalg.norm(folded(rows, columns, values, buckets), axis=1)
             live = np.flatnonzero((pulls > penalty * 0.8) | table.any(axis=1))
-            place = np.full(buckets, -1, np.int64)
+            place = np.full(buckets, -1, np.int32)
             place[live] = np.arange(len(live))
             held = place[columns] >= 0
-            r, c, x = rows[held], place[columns[held]], values[held].astype(np.float64)
+            r, c, x = rows[held], place[columns[held]], values[held]
             v = np.ones(len(live))
             for _ in range(8 if len(live) else 0):  # the largest singular value of the classes' weighted texts
-                u = np.bincount(r, x * v[c], n) * weigh[:, 0]
-                v = np.bincount(c, x * u[r], len(live))
+                u = _sums(r, lambda cut: x[cut] * v[c[cut]], n) * weigh[:, 0]
+                v = _sums(c, lambda cut: x[cut] * u[r[cut]], len(live))
                 norm = float(np.linalg.norm(v))
                 v /= max(norm, 1e-12)
             own = table[live]
@@ -224,10 +236,10 @@ def learn(
     chosen = own_class[0].union(own_class[1]).select("row")
     kept = texts.join(F.broadcast(chosen), "row").select("one", "text", "own")
     found = kept.mapInArrow(_bags, "one int, own long, parts array<int>, weights array<float>").toArrow()
-    found = found.sort_by([("own", "ascending"), ("one", "ascending")])
     ones, own = found.column("one").to_numpy().astype(float), found.column("own").to_numpy()
-    parts, weights = (found.column(c).combine_chunks() for c in ("parts", "weights"))
-    bags = [(parts[i].values.to_numpy(), weights[i].values.to_numpy()) for i in range(len(ones))]
+    order = np.lexsort((ones, own))
+    bags = [(p.values.to_numpy(), w.values.to_numpy()) for p, w in zip(found.column("parts"), found.column("weights"))]
+    ones, own, bags = ones[order], own[order], [bags[i] for i in order]  # views of what came; nothing is copied
     aside = own % 4 == 0
     if len(set(ones[~aside])) < 2:
         aside[:] = False

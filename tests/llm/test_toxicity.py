@@ -105,3 +105,19 @@ def test_cases(spark):
     assert toxicity.learn(docs, labels.where("toxic = 0")) is None and toxicity.learn(docs.where("false"), labels) is None
     with pytest.raises(ValueError):
         toxicity.score(texts(spark, CASES, Score=1), model)
+
+
+def test_training_holds_few_copies_of_the_bags():
+    """The driver's memory: less than 40 bytes for each entry of 8 in the bags, when all buckets are trained."""
+    import tracemalloc
+
+    draw = np.random.default_rng(1)
+    bags = [(np.sort(draw.choice(8000, 2500, replace=False)).astype(np.int32), np.full(2500, 1 / 2500, np.float32)) for _ in range(600)]
+    ones = (np.arange(600) % 2).astype(float)
+    tracemalloc.start()
+    try:
+        toxicity.train(bags, ones, 0.5, buckets=8000, penalty=0.0, turns=2)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 40 * 600 * 2500
