@@ -40,7 +40,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     schema = T.StructType([docs.schema[k] for k in kept] + added)
 
     def run(batches):
-        encoder = once(("encoder", path), lambda: ChunkEncoder(path, words_kept=150_000))
+        encoder = once(("encoder", path), lambda: ChunkEncoder(path, words_kept=75_000))
         for batch in small(batches, 1024):
             coded = encoder.encode_many(text_bytes(batch.column(inner)))
             start, decoded, size = 0, [], 0

@@ -19,7 +19,7 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 # rows of an Arrow batch: texts are long, and the default of 10,000 rows takes tens of megabytes in worker and executor
-BATCH_ROWS = 3072
+BATCH_ROWS = 1536
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
