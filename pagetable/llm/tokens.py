@@ -59,6 +59,10 @@ def _packed(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np
     return pairs[:, 0] & _LOW[np.minimum(length, 8)], pairs[:, 1] & _LOW[np.maximum(length - 8, 0)]
 
 
+# words of these letters alone are left as they are by NFC and by lower-casing
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+# their bytes as characters of a byte-level vocabulary: those that do not stand for themselves
+_SHOWN = [("\x9f", "\u0141"), ("\xa0", "\u0142"), ("\xad", "\u0143")]
 _BETWEEN = b"|"
 _TOGETHER = 1024
 _LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
@@ -85,6 +89,8 @@ class ChunkEncoder:
         added = spec.get("added_tokens", [])
         self.by_word = _drops_space(spec)
         self.parts_marks = self.by_word and _pattern(spec).endswith(_LETTERS_AND_MARKS)
+        # the model alone has the ids of plain words: what comes before it leaves them as one piece
+        self.model = self.lib.model if self.by_word and _keeps_letters(spec) else None
         # upper-case ASCII may be folded before the cache where the file folds it anyway
         self.folds = self.by_word and "Lowercase" in json.dumps(spec.get("normalizer"))
         self.marks = {t["content"].encode().lower() for t in added}
@@ -117,10 +123,20 @@ class ChunkEncoder:
         return out
 
     def _apart(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each of these words: of many short ones in one call, told apart by a mark between them. Its id comes
-        once for every mark; if more are found, a word has it too, and the words are encoded one by one."""
-        joined = [i for i, w in enumerate(words) if len(w) <= 256 and _BETWEEN not in w] if self.between is not None else []
+        """The ids of each of these words. Plain ones go to the model, and of the others many short ones are encoded in one
+        call, told apart by a mark between them. Its id comes once for every mark; if more are found, a word has it too, and
+        the words are encoded one by one."""
         out: list[bytes | None] = [None] * len(words)
+        if self.model is not None:
+            plain = [i for i, w in enumerate(words) if len(w) <= 256 and _LETTERS.fullmatch(w)]
+            shown = b" ".join([words[i] for i in plain]).decode("latin-1")
+            for byte, char in _SHOWN:
+                shown = shown.replace(byte, char)
+            pieces = self.model.tokenize
+            for i, word in zip(plain, shown.split(" ")):
+                out[i] = array("I", [t.id for t in pieces(word)]).tobytes()
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        joined = [i for i in rest if len(words[i]) <= 256 and _BETWEEN not in words[i]] if self.between is not None else []
         for at in range(0, len(joined), _TOGETHER):
             own = joined[at : at + _TOGETHER]
             text = (b" %s " % _BETWEEN).join([words[i] for i in own]).decode()
@@ -281,6 +297,28 @@ _FIRST = re.compile(rb"[ \t-\r]*[^ \t-\r]*")
 _LETTERS_AND_MARKS = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+
+
+def _keeps_letters(spec: dict) -> bool:
+    """Whether a word of lower-case letters in NFC reaches a BPE model unchanged and whole, as the characters of its bytes."""
+    steps = spec.get("pre_tokenizer") or {}
+    split, *more = steps.get("pretokenizers") or [steps]
+    normal = spec.get("normalizer") or {}
+    return (
+        split.get("type") == "Split"
+        and split.get("behavior") == "Removed"
+        and split.get("invert") is True
+        and _pattern(spec) == _CONTRACTIONS + _LETTERS_AND_MARKS
+        and [m["type"] for m in more] == ["ByteLevel"]
+        and not more[0].get("use_regex", True)
+        and not more[0].get("add_prefix_space", True)
+        and all(n["type"] in ("NFC", "Lowercase") or n.get("pattern") == {"Regex": r"\s+"} for n in normal.get("normalizers", [normal]) if n)
+        and spec["model"]["type"] == "BPE"
+        and not spec["model"].get("dropout")
+    )
+
+
 def _pattern(spec: dict) -> str:
     steps = spec.get("pre_tokenizer") or {}
     first = (steps.get("pretokenizers") or [steps])[0]
