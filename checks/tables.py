@@ -138,10 +138,13 @@ def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = p.select("page_id", canonical_url("url").alias("u"))
     a = key.select(F.col("page_id").alias("_a"), F.col("u").alias("ua"))
     b = key.select(F.col("page_id").alias("_b"), F.col("u").alias("ub"))
-    wired = p.withColumns({"_a": (F.col("page_id") * 7 + 1) % n, "_b": (F.col("page_id") * 3 + 2) % n})
+    ids = p.select("page_id").distinct()
+    wired = ids.withColumns({"_a": (F.col("page_id") * 7 + 1) % n, "_b": (F.col("page_id") * 3 + 2) % n})
     link = F.concat(F.lit('<div id="next"><a href="'), "ua", F.lit('">x</a><a href="'), "ub", F.lit('">y</a></div>'))
-    return wired.join(a, "_a").join(b, "_b").select(
-        "page_id", canonical_url("url").alias("url"), F.concat("html", link).alias("html")
+    links = wired.join(a, "_a").join(b, "_b").select("page_id", link.alias("_link"))
+    # only narrow rows meet twice; sources are moved once
+    return p.join(links, "page_id").select(
+        "page_id", canonical_url("url").alias("url"), F.concat("html", "_link").alias("html")
     )
 
 

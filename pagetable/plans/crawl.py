@@ -222,7 +222,9 @@ class _Walk:
         met = facts.join(F.broadcast(level), "key").select(*level.columns, F.struct(*told).alias("told"))
         both = met.unionByName(level.withColumn("told", F.lit(None).cast(met.schema["told"].dataType)))
         kept = [F.first(c).alias(c) for c in level.columns if c != "seq"]
-        return both.groupBy("seq").agg(*kept, F.first("told", ignorenulls=True).alias("told")).select(*level.columns, "told.*")
+        found = both.groupBy("seq").agg(*kept, F.first("told", ignorenulls=True).alias("told")).select(*level.columns, "told.*")
+        # what follows uses it several times, and each would read the whole corpus
+        return through_table(found, f"{self.base}/met-{len(self.done)}")
 
     def visit(self, level: DataFrame) -> DataFrame:
         """Every row's outcome as if all of the level were fetched, written."""

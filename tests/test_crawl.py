@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import sys
 from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks.tables import linked_pages
 from pagetable.functions.http import ALLOWED_CONTENT
 from pagetable import Library, crawl, resume
 
@@ -248,3 +250,42 @@ def test_preorder_of_random_forests(spark, tmp_path):
     got = preorder(spark.createDataFrame(rows, "seq long, src long, pos long"), str(tmp_path / "forest")).collect()
     assert [r["seq"] for r in sorted(got, key=lambda r: r["place"])] == want
     assert sorted(r["place"] for r in got) == list(range(len(rows)))
+
+
+def test_a_level_reads_the_corpus_once(spark, monkeypatch):
+    """Outcomes of a level come from what was looked up for it, which is stored."""
+    module, inputs = sys.modules["pagetable.plans.crawl"], {}
+    store = module.through_table
+
+    def noted(df, path):
+        inputs[path.rsplit("/", 1)[-1]] = [f for f in df.inputFiles() if "/corpus/" in f]
+        return store(df, path)
+
+    monkeypatch.setattr(module, "through_table", noted)
+    pages = spark.createDataFrame([(i, f"http://h.example/p{i}", f"<h1>T{i}</h1><a href=/p{i + 1}>x</a>") for i in range(2)], "page_id long, url string, html string")
+    seeds = spark.createDataFrame([(0, "http://h.example/p0")], "seq long, url string")
+    assert crawl(pages, LIB, seeds, accessed_at=AT).frontier.count() == 3
+    assert inputs["met-0"] and inputs["met-1"]
+    assert not inputs["done-0"] and not inputs["done-1"]
+
+
+def test_linked_pages_move_sources_once(spark, tmp_path):
+    """Only one join holds the pages' sources; repeated and NULL ids give the rows that two joins of the pages give."""
+    rows = [(i, f"http://h.example/p{i}#a", f"<p>{i}</p>") for i in [0, 1, 2, 3, 3, 4, None]] + [(5, None, "<p>5</p>"), (6, "http://h.example/p6", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = linked_pages(spark, str(tmp_path))
+
+    def joins(plan):
+        below = sum(joins(plan.children().apply(i)) for i in range(plan.children().size()))
+        return below + (plan.nodeName() == "Join" and "html#" in plan.output().toString())
+
+    assert joins(got._jdf.queryExecution().optimizedPlan()) == 1
+    urls = {}
+    for i, url, _ in rows:
+        urls.setdefault(i, []).append(url and url.split("#")[0])
+    want = [
+        (i, url and url.split("#")[0], html and a and b and f'{html}<div id="next"><a href="{a}">x</a><a href="{b}">y</a></div>')
+        for i, url, html in rows if i is not None
+        for a in urls.get((7 * i + 1) % 9, []) for b in urls.get((3 * i + 2) % 9, [])
+    ]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
